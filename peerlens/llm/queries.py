@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, quality_rules, secret_scan, token_counts
+from . import bpe, language_id, packing, quality_rules, secret_scan, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def _over_documents(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": _over_documents(language_id.predictions),
+        "op2_packing": _over_documents(packing.packed),
         "op3_token_counts": _over_documents(token_counts.document_counts),
         "op4_quality_rules": _over_documents(quality_rules.verdicts),
         "op8_byte_bpe": _over_documents(bpe.digests),
