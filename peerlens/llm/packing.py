@@ -137,6 +137,20 @@ def price(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), made
 
 
+def invert(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivoting.  Row operations only: threaded LAPACK calls can block in a process that has forked."""
+    m = len(a)
+    w = np.hstack([a, np.eye(m)])
+    for i in range(m):
+        k = i + int(np.abs(w[i:, i]).argmax())
+        w[[i, k]] = w[[k, i]]
+        w[i] /= w[i, i]
+        factor = w[:, i].copy()
+        factor[i] = 0
+        w -= factor[:, None] * w[i]
+    return w[:, m:]
+
+
 def column_generation(weight: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """(patterns by class, how often each is used) of the linear program: fewest sequences that hold the demand."""
     m = len(weight)
@@ -145,7 +159,7 @@ def column_generation(weight: np.ndarray, demand: np.ndarray, room: int) -> tupl
     x = inverse @ demand
     for pivot in range(MOST_PIVOTS):
         if pivot % 512 == 511:
-            inverse = np.linalg.inv(basis)
+            inverse = invert(basis)
             x = np.maximum(inverse @ demand, 0)
         gain, column = price(inverse.sum(axis=0), weight, room)
         if gain <= 1 + 1e-5:
