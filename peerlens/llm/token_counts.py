@@ -53,45 +53,49 @@ class Counter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score, i == unk_id))
         self.automaton.make_automaton()
-        names = {p for p, _ in pieces}
+        names = self.names = {p for p, _ in pieces}
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in names} if byte_fallback else set()
         self.unknown = min(s for _, s in pieces) - self.UNKNOWN_LESS
         self.memo: dict[str, int] = {}
 
     def unknown_tokens(self, run: str) -> int:
+        if run in self.names:  # the unknown piece's own name, spelt out
+            return 1
         raw = run.encode("utf-8", "surrogatepass")
         return len(raw) if self.bytes and all(b in self.bytes for b in raw) else 1
 
     def word(self, text: str) -> int:
         """Pieces of one marked word."""
         n = len(text)
-        score = [0.0] * (n + 1)
-        before: list[int] = [-1] * (n + 1)
-        count = [0] * (n + 1)
-        # the unknown run that a path ends in: its start, or -1
-        run = [-1] * (n + 1)
-        arcs: list[list] = [[] for _ in range(n + 1)]
+        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        run = [-1] * (n + 1)  # the start of the unknown run that the path ends in, or -1
+        at, best, start, unknown, single = 1, None, 0, False, False
+
+        def close() -> None:
+            """Settle boundary `at`."""
+            nonlocal best, start, unknown
+            if not single and (best is None or score[at - 1] + self.unknown > best):
+                best, start, unknown = score[at - 1] + self.unknown, at - 1, True
+            score[at] = best
+            if unknown:
+                first = run[at] = run[start] if run[start] >= 0 else start
+                count[at] = count[first] + self.unknown_tokens(text[first:at])
+            else:
+                count[at] = count[start] + 1
+
+        # the automaton gives the pieces that end at one place longest first, so in order of their start
         for end, (size, s, unk) in self.automaton.iter(text):
-            arcs[end + 1].append((end + 1 - size, s, unk))
-        single = [False] * (n + 1)
-        for end in range(1, n + 1):
-            single[end] = any(end - a == 1 for a, _, _ in arcs[end])
-        for end in range(1, n + 1):
-            found = sorted(arcs[end])
-            if not single[end]:
-                found.append((end - 1, self.unknown, True))
-            best = None
-            for a, s, unk in found:
-                total = score[a] + s
-                if best is None or total > best:
-                    best, before[end] = total, a
-                    if unk:
-                        first = run[a] if run[a] >= 0 else a
-                        base = count[first]
-                        run[end], count[end] = first, base + self.unknown_tokens(text[first:end])
-                    else:
-                        run[end], count[end] = -1, count[a] + 1
-            score[end] = best
+            while at <= end:
+                close()
+                at, best, single = at + 1, None, False
+            total = score[end + 1 - size] + s
+            if best is None or total > best:
+                best, start, unknown = total, end + 1 - size, unk
+            if size == 1:
+                single = True
+        while at <= n:
+            close()
+            at, best, single = at + 1, None, False
         return count[n]
 
     def text(self, text: str | None) -> int:
