@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, packing, quality_rules, secret_scan, token_counts
+from . import bpe, language_id, packing, quality_rules, secret_scan, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": _over_documents(packing.packed),
         "op3_token_counts": _over_documents(token_counts.document_counts),
         "op4_quality_rules": _over_documents(quality_rules.verdicts),
+        "op5_substring_dedup": _over_documents(substring_dedup.removals),
         "op8_byte_bpe": _over_documents(bpe.digests),
         "op9_secret_scan": _over_documents(secret_scan.spans),
     }
@@ -31,5 +32,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality_rules.VERDICTS_SQL,
+        "op5_substring_dedup": substring_dedup.REMOVALS_SQL,
         "op9_secret_scan": secret_scan.SPANS_SQL,
     }
