@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from . import bpe, jaccard_join, language_id, packing, quality_rules, secret_scan, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": _over_documents(substring_dedup.removals),
         "op8_byte_bpe": _over_documents(bpe.digests),
         "op9_secret_scan": _over_documents(secret_scan.spans),
+        "op10_jaccard_join": _over_documents(jaccard_join.join),
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality_rules.VERDICTS_SQL,
         "op5_substring_dedup": substring_dedup.REMOVALS_SQL,
         "op9_secret_scan": secret_scan.SPANS_SQL,
+        "op10_jaccard_join": jaccard_join.JOIN_SQL,
     }
