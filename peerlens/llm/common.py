@@ -133,11 +133,17 @@ def drop_table(df: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now rather than at the next collection of the driver."""
+    """Let Spark's cleaner drop the shuffle files of finished jobs now rather than at the next collection of the driver.
+
+    The Python objects go first, then (after the bridge has passed that on) what they held in the driver's JVM."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.4)
 
 
 def n_parts(spark: SparkSession) -> int:

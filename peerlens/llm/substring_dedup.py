@@ -43,14 +43,6 @@ def _keys(df: DataFrame, text: str, doc_id: str) -> dict[str, Column]:
     return {"_id": common.long_id(doc_id), "_hash": F.xxhash64(F.col(text).cast("string"))}
 
 
-def _first_of(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Indices of the first row, by `order`, of each key; and for each row, whether its key has others."""
-    by = np.lexsort((order, key))
-    k = key[by]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    return by[new]
-
-
 def _document_order(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Rank of each text of a slice; equal (id, hash) have equal ranks."""
     order = np.lexsort((hashes, ids))
@@ -61,16 +53,17 @@ def _document_order(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _emit(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key to shuffle by, flag) of each row: a key's first row keeps it, with flag 1 if there are others at other places;
-    the others get a spread key and flag 2."""
-    flag = np.full(len(key), 2, np.int8)
-    first = _first_of(key, order)
-    by = np.argsort(key, kind="stable")
+    """(key to shuffle by, flag) of each row: a key's first place keeps the key, with flag 1 if the slice has others;
+    later places get a spread key and flag 2.  Rows of one place (repeated input rows) are alike."""
+    if not len(key):
+        return key, np.zeros(0, np.int8)
+    by = np.lexsort((order, key))
     k, o = key[by], order[by]
-    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    several = (np.maximum.reduceat(o, begin) != np.minimum.reduceat(o, begin)) if len(k) else np.zeros(0, bool)
-    # `first` is in key order, as `begin` is
-    flag[first] = several
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.concatenate([begin, [len(k)]]))
+    lowest, highest = np.repeat(o[begin], size), np.repeat(o[begin + size - 1], size)
+    flag = np.empty(len(key), np.int8)
+    flag[by] = np.where(o > lowest, 2, highest > lowest)
     return np.where(flag == 2, common.mix(order.astype(np.uint64) + key), key), flag
 
 
