@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, language_id, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from . import bpe, jaccard_join, language_id, line_dedup, media_match, packing, quality_rules, secret_scan, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": _over_documents(token_counts.document_counts),
         "op4_quality_rules": _over_documents(quality_rules.verdicts),
         "op5_substring_dedup": _over_documents(substring_dedup.removals),
+        "op6_line_dedup": _over_documents(line_dedup.removals),
+        "op7_media_match": lambda spark, sf_dir: media_match.copies(
+            media_match.rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+        ),
         "op8_byte_bpe": _over_documents(bpe.digests),
         "op9_secret_scan": _over_documents(secret_scan.spans),
         "op10_jaccard_join": _over_documents(jaccard_join.join),
