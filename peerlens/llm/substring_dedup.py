@@ -9,7 +9,7 @@ PERIOD that takes both to cover positions, and PERIOD - 1 + ANCHOR is a window's
 share an anchor at an aligned place.  Three passes over the texts, with a written table between them:
 
 1. anchors are shuffled by hash, and those that occur twice are marked;
-2. every window that holds a marked anchor at some shift is extended to its full words, as 128 hashed bits, and these are
+2. every window that holds a marked anchor at some shift is extended to its full words, as 96 hashed bits, and these are
    shuffled; all but the first occurrence are marked;
 3. the words under marked windows are removed.
 
@@ -17,8 +17,8 @@ Before each shuffle a slice of texts (about a megabyte) is aggregated: of equal
 under its hash; the others are known to be repeats and travel under a key of their own, so a hash that a third of all
 rows share brings one row a slice.
 
-Null texts and texts without words have no windows and keep the empty text.  Rows are told apart by (doc_id, hash of the
-text), a null doc_id coming first; rows that agree on both are one document, and each of them gets its result.  An empty
+Null texts and texts without words have no windows and keep the empty text.  Rows are told apart by (doc_id, 30 hashed bits
+of the text), a null doc_id coming first; rows that agree on both are one document, and each of them gets its result.  An empty
 table gives an empty table; other columns are not looked at.
 """
 
@@ -36,11 +36,13 @@ from . import common
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
-_KEY = "_id long, _hash long"
+#: Keys that later rows of a slice are spread over; they need no company, only an even share of the tasks.
+SPREAD = 1 << 12
 
 
 def _keys(df: DataFrame, text: str, doc_id: str) -> dict[str, Column]:
-    return {"_id": common.long_id(doc_id), "_hash": F.xxhash64(F.col(text).cast("string"))}
+    bits = F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 34)
+    return {"_id": common.long_id(doc_id), "_hash": bits}
 
 
 def _document_order(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -64,11 +66,11 @@ def _emit(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lowest, highest = np.repeat(o[begin], size), np.repeat(o[begin + size - 1], size)
     flag = np.empty(len(key), np.int8)
     flag[by] = np.where(o > lowest, 2, highest > lowest)
-    return np.where(flag == 2, common.mix(order.astype(np.uint64) + key), key), flag
+    return np.where(flag == 2, common.mix(key) % np.uint64(SPREAD), key), flag
 
 
 def anchors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """h, flag, _id and pos of the anchors of every whole text."""
+    """h, _id and at (position * 4 + flag) of the anchors of every whole text."""
 
     def run(column, ids, _hash):
         words = common.Words(common.to_bytes(column))
@@ -82,9 +84,9 @@ def anchors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         ids = ids.to_numpy()
         rank = _document_order(ids, _hash.to_numpy())
         key, flag = _emit(h, rank[doc] << 32 | pos)
-        return {"h": common.signed(key), "flag": flag, "_id": ids[doc], "pos": pos.astype(np.int32)}
+        return {"h": common.signed(key), "_id": ids[doc], "at": pos << 2 | flag}
 
-    return common.explode_texts(df, _keys(df, text, doc_id), text, run, "h long, flag byte, _id long, pos int")
+    return common.explode_texts(df, _keys(df, text, doc_id), text, run, "h long, _id long, at long")
 
 
 def _packed(marks: DataFrame, key: list[str]) -> DataFrame:
@@ -97,8 +99,8 @@ def repeated_anchors(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     from pyspark.sql import Window
 
     n = F.count("*").over(Window.partitionBy("h"))
-    found = anchors(df, text, doc_id).withColumn("n", n).where((F.col("n") > 1) | (F.col("flag") > 0))
-    return _packed(found, ["_id"])
+    found = anchors(df, text, doc_id).withColumn("n", n).where((F.col("n") > 1) | (F.col("at").bitwiseAND(F.lit(3)) > 0))
+    return _packed(found.withColumn("pos", F.shiftright("at", 2).cast("int")), ["_id"])
 
 
 def _positions(marks: pa.Array) -> list[np.ndarray]:
@@ -108,7 +110,7 @@ def _positions(marks: pa.Array) -> list[np.ndarray]:
 
 
 def candidates(df: DataFrame, marked: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """h1, h2, flag, _id, _hash and pos of every window that holds a marked anchor."""
+    """h1, h2, _id and at (hash bits, position, flag) of every window that holds a marked anchor."""
     key = _keys(df, text, doc_id)
     rows = df.select(*[c.alias(k) for k, c in key.items()], F.col(text).cast("string").alias("t")).join(marked, "_id")
 
@@ -132,24 +134,23 @@ def candidates(df: DataFrame, marked: DataFrame, text: str = "text", doc_id: str
         spread = flag == 2
         return {
             "h1": common.signed(np.where(spread, k, h1)),
-            "h2": common.signed(np.where(spread, order.astype(np.uint64), h2)),
-            "flag": flag,
+            "h2": np.where(spread, 0, (h2 >> np.uint64(33)).astype(np.int64)),
             "_id": ids[doc],
-            "_hash": hashes[doc],
-            "pos": pos.astype(np.int32),
+            "at": hashes[doc] << 34 | pos << 2 | flag,
         }
 
     keep = {k: F.col(k) for k in ("_id", "_hash", "marks")}
-    return common.explode_texts(rows, keep, "t", run, "h1 long, h2 long, flag byte, _id long, _hash long, pos int")
+    return common.explode_texts(rows, keep, "t", run, "h1 long, h2 int, _id long, at long")
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
     """_id, _hash and the positions of the windows that aren't the first of their words."""
     from pyspark.sql import Window
 
-    place = F.struct("_id", "_hash", "pos")
+    place = F.struct("_id", F.shiftrightunsigned("at", 2).alias("at"))
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
-    later = found.withColumn("first", first).where((F.col("flag") == 2) | (place != F.col("first")))
+    later = found.withColumn("first", first).where((F.col("at").bitwiseAND(F.lit(3)) == 2) | (place != F.col("first")))
+    later = later.select("_id", F.shiftrightunsigned("at", 34).alias("_hash"), F.shiftrightunsigned("at", 2).bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"))
     return _packed(later, ["_id", "_hash"])
 
 
