@@ -45,11 +45,17 @@ def top_k(seeds: DataFrame, vectors: DataFrame, k: int = 25, pairs: DataFrame |
 
 def top_k_matrix(seeds: DataFrame, vectors: DataFrame, k: int = 25) -> DataFrame:
     """As `top_k` over all vectors.  Each batch sends on its k best of each seed only.  The number of seeds is checked:
-    above MOST_MATRIX_SEEDS the seeds are handled in several such matrices."""
-    got = seeds.select(F.col("seed_id").cast("string").alias("seed_id"), "embedding").limit(MOST_MATRIX_SEEDS + 1).toArrow()
-    if got.num_rows > MOST_MATRIX_SEEDS:
-        half = F.pmod(F.xxhash64("seed_id"), F.lit(2))
-        return top_k_matrix(seeds.where(half == 0), vectors, k).union(top_k_matrix(seeds.where(half == 1), vectors, k))
+    above MOST_MATRIX_SEEDS the seeds are dealt over several such matrices by a hash."""
+    n = seeds.count()
+    if n > MOST_MATRIX_SEEDS:
+        parts = -(-2 * n // MOST_MATRIX_SEEDS)
+        deal = F.pmod(F.xxhash64("seed_id", F.lit(n)), F.lit(parts))
+        made = [top_k_matrix(seeds.where(deal == i), vectors, k) for i in range(parts)]
+        out = made[0]
+        for x in made[1:]:
+            out = out.union(x)
+        return out
+    got = seeds.select(F.col("seed_id").cast("string").alias("seed_id"), "embedding").toArrow()
     ids = got.column("seed_id").to_pylist()
     matrix = np.array(got.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
