@@ -109,7 +109,8 @@ def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_
     names = {f"c{i}": c for i, c in enumerate(keep.values())}
     key = _keys(text, doc_id)
     rows = df.select(*[c.alias(k) for k, c in (names | key).items()], F.col(text).cast("string").alias("t"))
-    rows = rows.join(gone, ["_id", "_hash"], "left").select(*names, "gone", "t")
+    # a sort-merge join at every size: what is removed grows with the corpus
+    rows = rows.join(gone.hint("merge"), ["_id", "_hash"], "left").select(*names, "gone", "t")
     passed = list(names)
 
     def run(column, *kept):
