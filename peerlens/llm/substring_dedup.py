@@ -112,7 +112,7 @@ def _positions(marks: pa.Array) -> list[np.ndarray]:
 def candidates(df: DataFrame, marked: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """h1, h2, _id and at (hash bits, position, flag) of every window that holds a marked anchor."""
     key = _keys(df, text, doc_id)
-    rows = df.select(*[c.alias(k) for k, c in key.items()], F.col(text).cast("string").alias("t")).join(marked, "_id")
+    rows = df.select(*[c.alias(k) for k, c in key.items()], F.col(text).cast("string").alias("t")).join(marked.hint("merge"), "_id")
 
     def run(column, ids, hashes, marks):
         words = common.Words(common.to_bytes(column))
@@ -164,7 +164,7 @@ def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_
     key = _keys(df, text, doc_id)
     names = {f"c{i}": c for i, c in enumerate(keep.values())}
     rows = df.select(*[c.alias(k) for k, c in (names | key).items()], F.col(text).cast("string").alias("t"))
-    rows = rows.join(later, ["_id", "_hash"], "left").select(*names, "marks", "t")
+    rows = rows.join(later.hint("merge"), ["_id", "_hash"], "left").select(*names, "marks", "t")
     passed = list(names)
 
     def run(column, *kept):
