@@ -41,10 +41,15 @@ def missing_if_empty(c: Column | str) -> Column:
 
 def normalize_name(c: Column | str) -> Column:
     """Lower-cased name without its corporate suffix and punctuation; "" for a missing one."""
-    s = F.lower(clean(c))
-    bare = s
+    # a lambda names the cleaned text, so that the suffix tests don't each carry the expression that makes it
+    return F.get(F.transform(F.array(F.lower(clean(c))), _bare_name), F.lit(0))
+
+
+def _bare_name(s: Column) -> Column:
+    cut = F.lit(0)
     for suffix in reversed(SUFFIXES):
-        bare = F.when(s.endswith(suffix), strip(F.substring(s, F.lit(1), F.length(s) - len(suffix)))).otherwise(bare)
+        cut = F.when(F.endswith(s, F.lit(suffix)), len(suffix)).otherwise(cut)
+    bare = strip(F.substring(s, F.lit(1), F.length(s) - cut))
     bare = F.regexp_replace(bare, r"(?U)[^\p{L}\p{N}_\s]", " ")
     return F.coalesce(strip(F.regexp_replace(bare, r"(?U)\s+", " ")), F.lit(""))
 

@@ -65,7 +65,7 @@ def documents(seeds: DataFrame, criteria: DataFrame, bucketed: DataFrame, verdic
     sets = match_sets(verdicts)
     rows = bucketed.join(meta, "record_id", "left").join(evidence, ["seed_id", "record_id"], "left").join(sets, ["seed_id", "record_id"], "left")
     card = F.struct("position", "record_id", F.coalesce("name", F.lit("")).alias("name"), "domain", "one_liner", "description_full", F.round("cosine", 4).alias("cosine"), F.col("tier").alias("llm_tier"), "tier_rationale", "evidence", "matched")
-    tiers = rows.groupBy("seed_id", "tier").agg(F.array_sort(F.collect_list(card)).alias("candidates"))
+    tiers = rows.groupBy("seed_id", "tier").agg(F.array_sort(F.collect_list(card), lambda a, b: a["position"] - b["position"]).alias("candidates"))
     ids = criteria.groupBy("seed_id").agg(F.array_sort(F.collect_list(F.struct(F.col("criterion_id").alias("id"), "text", "rationale"))).alias("criteria"))
     prefix = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[F.col("tier")]
     top = F.col("candidates")[0]
@@ -73,7 +73,8 @@ def documents(seeds: DataFrame, criteria: DataFrame, bucketed: DataFrame, verdic
     label = F.when(why == "", prefix).otherwise(F.concat(prefix, F.lit(" — "), F.substring(why, 1, 160)))
     every = F.transform(F.col("criteria"), lambda c: c["id"])
     tiers = tiers.join(ids, "seed_id", "left").select("seed_id", F.struct(F.col("tier").alias("llm_tier"), label.alias("tier_label"), why.alias("summary_rationale"), top["matched"].alias("criteria_matched"), F.array_except(every, top["matched"]).alias("criteria_missing"), "candidates").alias("t"))
-    per = tiers.groupBy("seed_id").agg(F.array_sort(F.collect_list("t")).alias("tiers"), F.sum(F.size("t.candidates")).alias("candidate_count_total"))
+    by_name = lambda a, b: F.when(a["llm_tier"] < b["llm_tier"], -1).when(a["llm_tier"] > b["llm_tier"], 1).otherwise(0)
+    per = tiers.groupBy("seed_id").agg(F.array_sort(F.collect_list("t"), by_name).alias("tiers"), F.sum(F.size("t.candidates")).alias("candidate_count_total"))
     seed = F.struct("name", "domain", "record_id", F.slice("industries", 1, 6).alias("industries"), "country")
     return seeds.select("seed_id", seed.alias("seed")).join(ids, "seed_id", "left").join(per, "seed_id", "left")
 
