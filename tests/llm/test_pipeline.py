@@ -1,0 +1,49 @@
+"""The pipeline's stages, each against plain Python on its own input."""
+
+import re
+
+import corpus_pipeline
+from peerlens.llm import common, quality_rules, secret_scan
+
+from .test_corpus_operators import classes_by_hand, lines_by_hand
+
+
+def rows(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_stages(spark, sf_dir, documents):
+    stages, docs = dict(corpus_pipeline.STAGES), documents
+    assert list(stages) == ["quality_rules", "line_dedup", "jaccard_join", "secret_scan", "packing"]
+
+    made = common.materialize(stages["quality_rules"](spark, docs, sf_dir), "t")
+    want = {}
+    for i, r in rows(docs).items():
+        *_, kept, _, _, cleaned = (c[0] for c in quality_rules.judge([r["text"].encode()]))
+        if kept:
+            want[i] = cleaned
+    assert {i: r["text"] for i, r in rows(made).items()} == want and made.columns == documents.columns
+    assert all(r["n_chars"] == len(r["text"]) for r in rows(made).values())
+
+    docs, made = made, common.materialize(stages["line_dedup"](spark, made, sf_dir), "t")
+    cut = lines_by_hand([(i, r["text"]) for i, r in rows(docs).items()])
+    assert {i: r["text"] for i, r in rows(made).items()} == {i: t for i, t in cut.items() if t.split()} and made.columns == documents.columns
+
+    docs, made = made, common.materialize(stages["jaccard_join"](spark, made, sf_dir), "t")
+    classes = [eval(x) for x in classes_by_hand([(i, r["text"]) for i, r in rows(docs).items()])]
+    assert set(rows(made)) == {c for _, _, c in classes} and made.columns == documents.columns
+
+    docs, made = made, common.materialize(stages["secret_scan"](spark, made, sf_dir), "t")
+    assert set(rows(made)) == set(rows(docs)) and made.columns == documents.columns
+    for i, r in rows(made).items():
+        before = rows(docs)[i]["text"] if r["text"].count("[SECRET]") else r["text"]
+        assert not re.search(secret_scan.ACCESS, r["text"]) and not re.search(secret_scan.HEX, r["text"])
+        assert re.sub(r"\[SECRET\]", "", r["text"]) == r["text"] or len(before) != len(r["text"]) or "[SECRET]" in before
+
+    packed = stages["packing"](spark, made, sf_dir).toPandas()
+    assert set(packed.doc_id) == set(rows(made)) and packed.groupby("sequence_id").length.sum().max() <= 2048
+    assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_run_gives_the_last_stage(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).columns[:3] == ["doc_id", "start", "length"] and corpus_pipeline.ORACLE_SQL is None
