@@ -15,10 +15,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: The matrix path broadcasts the seeds' vectors if they are at most so many.
+#: The seeds' vectors are broadcast if they are at most so many; more are dealt over several such sets.
 MOST_MATRIX_SEEDS = 4096
 
 
+def _dealt(seeds: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """The union of `search` over sets of seeds, dealt by a hash; None if all of them may be broadcast at once."""
+    n = seeds.count()
+    if n <= MOST_MATRIX_SEEDS:
+        return None
+    parts = -(-2 * n // MOST_MATRIX_SEEDS)
+    deal = F.pmod(F.xxhash64("seed_id", F.lit(n)), F.lit(parts))
+    out = search(seeds.where(deal == 0))
+    for i in range(1, parts):
+        out = out.union(search(seeds.where(deal == i)))
+    return out
+
+
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
@@ -37,6 +50,8 @@ def top_k(seeds: DataFrame, vectors: DataFrame, k: int = 25, pairs: DataFrame |
     """seed_id, record_id, cosine, rank; among `pairs` (seed_id, record_id) if given, else among all vectors.
 
     Partial top-k happens before the shuffle (WindowGroupLimit)."""
+    if pairs is None and (made := _dealt(seeds, lambda part: top_k(part, vectors, k))) is not None:
+        return made
     s = seeds.select("seed_id", F.col("embedding").alias("e"))
     v = vectors.select("record_id", "embedding")
     rows = v.crossJoin(F.broadcast(s)) if pairs is None else pairs.join(v, "record_id").join(s, "seed_id")
@@ -44,17 +59,9 @@ def top_k(seeds: DataFrame, vectors: DataFrame, k: int = 25, pairs: DataFrame |
 
 
 def top_k_matrix(seeds: DataFrame, vectors: DataFrame, k: int = 25) -> DataFrame:
-    """As `top_k` over all vectors.  Each batch sends on its k best of each seed only.  The number of seeds is checked:
-    above MOST_MATRIX_SEEDS the seeds are dealt over several such matrices by a hash."""
-    n = seeds.count()
-    if n > MOST_MATRIX_SEEDS:
-        parts = -(-2 * n // MOST_MATRIX_SEEDS)
-        deal = F.pmod(F.xxhash64("seed_id", F.lit(n)), F.lit(parts))
-        made = [top_k_matrix(seeds.where(deal == i), vectors, k) for i in range(parts)]
-        out = made[0]
-        for x in made[1:]:
-            out = out.union(x)
-        return out
+    """As `top_k` over all vectors.  Each batch sends on its k best of each seed only."""
+    if (made := _dealt(seeds, lambda part: top_k_matrix(part, vectors, k))) is not None:
+        return made
     got = seeds.select(F.col("seed_id").cast("string").alias("seed_id"), "embedding").toArrow()
     ids = got.column("seed_id").to_pylist()
     matrix = np.array(got.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
