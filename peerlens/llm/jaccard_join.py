@@ -11,8 +11,8 @@ under these links.
 3. Each block's sets are compared with each other, and with the group's most central set, which ties the blocks of a large
    group together; components follow.
 4. The token-group matrix holds, for each token, the blocks whose members start with it.  A set queries the blocks that
-   share its tokens, and opens those whose bound on the overlap (shared first tokens plus all its other tokens) reaches
-   what the block's sizes need, unless the block's members are all in its own component already.  Opened blocks are
+   share its tokens, and opens those whose bound on the overlap (shared first tokens, plus the larger of its own and a
+   member's other tokens, either of which may hold the other's first ones) reaches what the block's sizes need, unless the block's members are all in its own component already.  Opened blocks are
    compared exactly, and components follow again.
 
 Groups and query lists are split into blocks of bounded size, frequent tokens are counted and marked within a slice of
@@ -330,11 +330,17 @@ def queries_of(shared: DataFrame, sets: DataFrame) -> DataFrame:
     apart = (F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))
     sizes = (100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least"))
     met = tokens.join(matrix, "token").where(other & apart & sizes)
-    met = met.groupBy("f1", "f2", "n", "og", "ob").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
-    least = F.floor((PERCENT * F.col("n") + 99) / 100)
-    first = F.col("n") - least + 1
-    need = F.greatest(least, F.ceil((PERCENT * (F.col("n") + F.col("least"))) / (100 + PERCENT)))
-    qualifies = F.col("shared") + F.col("n") - first >= need
+    met = met.groupBy("f1", "f2", "n", "og", "ob").agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
+    n, shared = F.col("n"), F.col("shared")
+    least = F.floor((PERCENT * n + 99) / 100)
+    # what two sets share besides shared first tokens lies in the rest of the one whose first part reaches less far in the
+    # common order.  Members of up to n tokens: the query's rest is the larger one, and the smallest member needs least
+    low = F.greatest(F.col("least"), least)
+    smaller = shared + least - 1 >= F.greatest(least, F.ceil((PERCENT * (n + low)) / (100 + PERCENT)))
+    # larger members: their rest, rounded up, grows faster with their size than the need does
+    high = F.least(F.col("most"), F.floor(100 * n / PERCENT))
+    larger = (100 + PERCENT) * (100 * (shared - 1) + PERCENT * high + 99) >= 100 * PERCENT * (n + high)
+    qualifies = smaller | larger
     return met.where(qualifies).select("f1", "f2", F.col("og").alias("g"), F.col("ob").alias("block"))
 
 

@@ -247,6 +247,25 @@ def test_join_by_hand(spark, monkeypatch, small):
     assert sorted(str(tuple(r)) for r in jaccard_join.join(df).select("doc_id", "n_shingles", "component_id").collect()) == classes_by_hand(rows)
 
 
+def test_copies_with_shared_appendices_link(spark):
+    """Copies with an appended passage that a cluster of its own has too: they start with that cluster's tokens, and the
+    smaller copy has to open their block although it shares few first tokens with them."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(60):
+        n = rng.choice([9, 10, 14, 19, 24])
+        base = [f"b{g}w{i}" for i in range(n)]
+        tail = [f"t{g}w{i}" for i in range(4 + n // 6)]
+        fill = lambda k, n: [f"f{g}o{k}w{i}" for i in range(n)]
+        rows.append(" ".join(base))
+        rows.append(" ".join(base + tail[: (n - 4) // 4]))
+        rows += [" ".join(fill(k, 9 + n // 6) + base[-4:] + tail) for k in range(6)]
+        rows += [" ".join(base[: 8 + k] + fill(10 + k, 8)) for k in range(4)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted(str(tuple(r)) for r in jaccard_join.join(df).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == classes_by_hand(list(enumerate(rows)))
+
+
 def test_one_of_each_class_stays(odd, empty):
     kept = jaccard_join.representatives(odd)
     assert kept.columns == odd.columns and jaccard_join.representatives(empty).count() == 0
