@@ -1,21 +1,27 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication: every repeated run of two or more lines with words.
 
-A text is its lines (split at line feeds).  A rolling hash over the hashes of the last `ROLL` lines cuts after a line where
-it is 0 modulo `MEAN`, so cuts depend on nearby lines only and the same run of lines is cut alike wherever it stands; a chunk
-of `LONGEST` lines is cut anyway.  A chunk of two lines with words or more that occurs in the corpus more than once keeps
-its first occurrence (smallest document, then first in the text); the lines of the others are removed.  Chunks meet by
-128 hashed bits and are then compared byte by byte: they are grouped by hash and bytes.
+A text is its lines (split at line feeds).  A run begins and ends with a line with words and holds two of them or more; it is
+repeated if the same bytes stand earlier in the corpus (smaller document, or earlier in the text without overlapping).  The
+lines of all repeated runs are removed.  A run is repeated if and only if the pairs of neighbouring lines with words in it
+(with the blank lines between them) are, so the pairs, each compared with its first occurrence, give exactly the lines of all
+repeated runs, wherever these begin and end.  Of equal lines the first one always stays.
 
-Before the shuffle, chunks that are equal within a slice of texts (compared as bytes) send their first occurrence only; the
-later ones are known to go and travel without their bytes under keys of their own.
+Pairs meet by 256 bits of BLAKE2b of their bytes, so equal keys are equal bytes.  Before the shuffle, pairs that are equal
+within a slice of texts send their first occurrence only; the later ones are known to go and travel under keys of their own.
 
-Null texts stay null and have no lines; single lines are never removed.  Rows are told apart by (doc_id, hash of the text),
-a null doc_id coming first; rows that agree on both are one document, and each of them gets its result.  An empty table
-gives an empty table; other columns are not looked at.
+Null texts stay null and have no lines; single lines, and blank lines at the ends of runs, are never removed.  Rows are told
+apart by (doc_id, hash of the text), a null doc_id coming first; rows that agree on both are one document, and each of them
+gets its result.  An empty table gives an empty table; other columns are not looked at.
+
+`deduplicate_runs` does this, and `op6_line_dedup` runs it.  `deduplicate` is the former rule, which removes repeated
+content-defined chunks only (`cut`) and so misses repeated runs that a chunk's edge cuts.  The pipeline's stage still runs
+it, as the pipeline's test holds that stage's result to chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -91,6 +97,48 @@ def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     return common.explode_texts(df, _keys(text, doc_id), text, run, ddl)
 
 
+def pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """key, later, _id, _hash, line and lines of the pairs of neighbouring lines with words of every whole text.
+
+    later: the slice has an earlier equal pair that doesn't overlap; such a row's key is its own."""
+
+    def run(column, ids, hashes):
+        ids, hashes = ids.to_numpy(), hashes.to_numpy()
+        seen: dict[bytes, tuple[int, int, int, int]] = {}
+        found: list[tuple[bytes, tuple[int, int, int, int]]] = []
+        for i, t in enumerate(common.to_bytes(column)):
+            if not t or b"\n" not in t:
+                continue
+            lines = t.split(b"\n")
+            worded = [k for k, x in enumerate(lines) if x and not x.isspace()]
+            for a, b in zip(worded, worded[1:]):
+                pair = lines[a] + b"\n" * (b - a) + lines[b] if not any(lines[a + 1 : b]) else b"\n".join(lines[a : b + 1])
+                key, place = hashlib.blake2b(pair, digest_size=32).digest(), (int(ids[i]), int(hashes[i]), a, b - a + 1)
+                found.append((key, place))
+                if key not in seen or place < seen[key]:
+                    seen[key] = place
+        later = [p[:2] != (q := seen[k])[:2] or p[2] >= q[2] + q[3] for k, p in found]
+        own = lambda p: hashlib.blake2b(repr(p).encode(), digest_size=32, person=b"place").digest()
+        at = np.array([p for _, p in found], np.int64).reshape(-1, 4)
+        return {
+            "key": pa.array([own(p) if x else k for (k, p), x in zip(found, later)], pa.binary()),
+            "later": np.array(later, bool),
+            **{k: at[:, i] for i, k in enumerate(("_id", "_hash", "line", "lines"))},
+        }
+
+    return common.explode_texts(df, _keys(text, doc_id), text, run, "key binary, later boolean, _id long, _hash long, line int, lines int")
+
+
+def repeated_pairs(found: DataFrame) -> DataFrame:
+    """_id, _hash and `gone`, an array of (line, lines): the pairs that have an earlier occurrence that they don't overlap."""
+    from pyspark.sql import Window
+
+    first = F.min(F.struct("_id", "_hash", "line", "lines")).over(Window.partitionBy("key"))
+    apart = (F.col("_id") != F.col("first._id")) | (F.col("_hash") != F.col("first._hash")) | (F.col("line") >= F.col("first.line") + F.col("first.lines"))
+    rows = found.withColumn("first", first).where(F.col("later") | apart)
+    return rows.groupBy("_id", "_hash").agg(F.collect_set(F.struct("line", "lines")).alias("gone"))
+
+
 def repeated(found: DataFrame) -> DataFrame:
     """_id, _hash and `gone`, an array of (line, lines): the chunks that aren't the first of their bytes."""
     from pyspark.sql import Window
@@ -103,8 +151,17 @@ def repeated(found: DataFrame) -> DataFrame:
 
 def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`keep`, n_lines, n_removed and `kept` (the text without its repeated chunks) of every row of `df`."""
+    return _without(df, repeated(chunks(df, text, doc_id)), keep, text, doc_id)
+
+
+def deduplicate_runs(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """`keep`, n_lines, n_removed and `kept` (the text without its repeated runs of lines) of every row of `df`."""
+    return _without(df, repeated_pairs(pairs(df, text, doc_id)), keep, text, doc_id)
+
+
+def _without(df: DataFrame, gone: DataFrame, keep: dict[str, Column], text: str, doc_id: str) -> DataFrame:
     spark = df.sparkSession
-    gone = common.materialize(repeated(chunks(df, text, doc_id)), "chunks")
+    gone = common.materialize(gone, "gone")
     common.release_shuffles(spark)
     names = {f"c{i}": c for i, c in enumerate(keep.values())}
     key = _keys(text, doc_id)
@@ -143,5 +200,5 @@ def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_
 
 def removals(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 of every document."""
-    made = deduplicate(documents, {"doc_id": F.col("doc_id")})
+    made = deduplicate_runs(documents, {"doc_id": F.col("doc_id")})
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

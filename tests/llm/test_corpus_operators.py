@@ -194,6 +194,49 @@ def test_lines_of_odd_rows(odd, empty):
     assert line_dedup.removals(empty).count() == 0
 
 
+def runs_by_hand(rows):
+    """Of every document, the text without the lines of all runs of lines that stand earlier, without overlap, as well."""
+    docs = [(d, t.split("\n")) for d, t in sorted(rows)]
+    out = []
+    for d, (doc, lines) in enumerate(docs):
+        gone = set()
+        for a in range(len(lines)):
+            for e in range(d + 1):
+                for b in range(a if e == d else len(docs[e][1])):
+                    k = 0
+                    while a + k < len(lines) and b + k < (a if e == d else len(docs[e][1])) and lines[a + k] == docs[e][1][b + k]:
+                        k += 1
+                    worded = [x for x in range(a, a + k) if lines[x].strip()]
+                    if len(worded) >= 2:
+                        gone |= set(range(worded[0], worded[-1] + 1))
+        out.append((doc, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return out
+
+
+def test_all_repeated_runs_of_lines_go(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        lines = [f"own line {i} {j}" for j in range(rng.randint(2, 6))]
+        a, n = rng.randint(0, 20), rng.randint(2, 5)
+        lines[1:1] = [rng.choice(["", " "]) if j % 5 == 4 else f"shared line {j}" for j in range(a, a + n)]
+        rows.append((i, "\n".join(lines + rng.choice([[], [""], ["again"] * 5]))))
+    rows += [(100 + i, rows[i][1]) for i in range(10)] + [(200 + i, f"two {i}\nlines {i}") for i in range(12)] + [(300 + i, f"two {i}\nlines {i}") for i in range(12)]
+    want = runs_by_hand(rows)
+    assert sum(t == "" for d, t in want if d >= 300) == 12
+    rng.shuffle(rows)
+    for most in (1 << 20, 300):
+        monkeypatch.setattr(common.slices, "__defaults__", (most,))
+        got = line_dedup.deduplicate_runs(spark.createDataFrame(rows, "doc_id long, text string"), {"doc_id": F.col("doc_id")}).collect()
+        assert sorted((r["doc_id"], r["kept"]) for r in got) == want
+
+
+def test_query_of_lines_removes_a_copied_passage(spark):
+    rows = [(i, f"before {i}\nfirst shared line\nsecond shared line\nafter {i}") for i in range(20)]
+    got = line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 2 if i else 0 for i in range(20)}
+
+
 # --- Jaccard join ----------------------------------------------------------------------------------------------------
 
 
