@@ -44,6 +44,8 @@ def connected(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"links still change after {MOST_ROUNDS} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

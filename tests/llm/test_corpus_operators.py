@@ -322,6 +322,13 @@ def test_components_of_a_path(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and components.connected(links.limit(0)).count() == 0
 
 
+def test_components_that_do_not_settle_raise(spark, monkeypatch):
+    monkeypatch.setattr(components, "MOST_ROUNDS", 1)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        components.connected(links)
+
+
 # --- media -----------------------------------------------------------------------------------------------------------
 
 
