@@ -346,6 +346,32 @@ def test_decoders_agree():
     assert media_match.decode(b"junk") is None and media_match.decode(b"\x89PNG\r\n\x1a\nxx") is None and media_match.decode(b"P5 3") is None
 
 
+def png_of(width, height, depth, colour, passes, palette=b""):
+    def chunk(k, b):
+        return len(b).to_bytes(4, "big") + k + b + zlib.crc32(k + b).to_bytes(4, "big")
+    lace = len(passes) > 1
+    rows = b"".join(b"\x00" + row for rows in passes for row in rows)
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([depth, colour, 0, 0, lace])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_other_kinds_of_png():
+    grey = np.random.default_rng(4).integers(0, 256, (13, 11)).astype(np.uint8)
+    palette = bytes(v for i in range(256) for v in [255 - i] * 3)
+    plain = [[row.tobytes() for row in 255 - grey]]
+    assert np.abs(media_match.decode(png_of(11, 13, 8, 3, plain, palette)) - grey).max() < 0.01
+    wide = [[(row.astype(">u2") * 257).tobytes() for row in grey]]
+    assert np.abs(media_match.decode(png_of(11, 13, 16, 0, wide)) - grey).max() < 0.01
+    bits = [[np.packbits(row > 127).tobytes() for row in grey]]
+    assert (media_match.decode(png_of(11, 13, 1, 0, bits)) == np.where(grey > 127, 255, 0)).all()
+    nibbles = [[bytes(a << 4 | b for a, b in zip(r[::2], [*r[1::2], 0])) for r in (grey >> 4).tolist()]]
+    assert np.abs(media_match.decode(png_of(11, 13, 4, 0, nibbles)) - (grey >> 4) * 17.0).max() < 0.01
+    starts = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+    laced = [[row.tobytes() for row in grey[y::dy, x::dx] if len(row)] for x, y, dx, dy in starts]
+    assert (media_match.decode(png_of(11, 13, 8, 0, laced)) == grey).all()
+    assert media_match.decode(png_of(11, 13, 8, 3, plain)) is None
+
+
 def test_edited_copies_are_found(spark):
     rng = np.random.default_rng(2)
     rows = []
