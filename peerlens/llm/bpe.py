@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 A text is cut into stretches before encoding, each at a place where the splitting pattern has to end a match anyway (a
-letter or digit followed by a space or line break), so a very long text never needs one huge call and the ids are those
-of the uncut text.  Decoding joins the raw bytes of the ids; ids may cut characters, so the result is binary.
+letter or digit followed by a space or line break, or either end of a long run of white space), so a very long text never
+needs one huge call and the ids are those of the uncut text.  A long run of white space is one match up to its last
+character; it is merged by the library as one piece, as the library's pattern engine gives up on some 800,000 of them.
+Decoding joins the raw bytes of the ids; ids may cut characters, so the result is binary.
 
 Nulls count as empty texts (no ids, no bytes).  Rows keep their number and order of columns: repeated rows give repeated
 results, an empty table gives an empty table, and other columns of the input are not looked at.
@@ -24,6 +26,9 @@ from . import common
 RANKS = "byte_bpe_multi_50k.tiktoken"
 STRETCH = 1 << 16
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])[ \n]")
+#: White space of the splitting pattern (the Unicode property, without the separators \x1c to \x1f), in runs of this length on.
+LONG_SPACE = 4096
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 
 
 def rank_path(path: str | None, name: str = RANKS) -> str:
@@ -48,23 +53,41 @@ def encoding(path: str | None = None, pattern: str | None = None):
 
 
 def stretches(text: str, most: int = STRETCH):
-    """Pieces of `text` of about `most` characters that start where the pattern starts a match."""
+    """Pieces of `text` that start where the pattern starts a match: of about `most` characters, or a long run of white space."""
     begin = 0
-    while len(text) - begin > most:
-        m = _SAFE.search(text, begin + most)
+    for m in _LONG_SPACE.finditer(text):
+        # the pattern leaves the run's last character to what follows
+        end = m.end() - (m.end() < len(text))
+        yield from _cut(text, begin, m.start(), most)
+        yield text[m.start() : end]
+        begin = end
+    yield from _cut(text, begin, len(text), most)
+
+
+def _cut(text: str, begin: int, stop: int, most: int):
+    while stop - begin > most:
+        m = _SAFE.search(text, begin + most, stop)
         if m is None:
             break
         yield text[begin : m.start()]
         begin = m.start()
-    yield text[begin:] if begin else text
+    if begin < stop:
+        yield text[begin:stop]
+
+
+def encode_stretch(enc, text: str) -> np.ndarray:
+    """The ids of a text or stretch; one that is a long run of white space is one match of the pattern."""
+    if len(text) >= LONG_SPACE and _LONG_SPACE.fullmatch(text):
+        return np.array(enc._encode_single_piece(text.encode()), np.uint32)
+    return enc.encode_to_numpy(text, disallowed_special=())
 
 
 def encode_text(enc, text: str | None) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint32)
     if len(text) <= STRETCH:
-        return enc.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([enc.encode_to_numpy(t, disallowed_special=()) for t in stretches(text)])
+        return encode_stretch(enc, text)
+    return np.concatenate([encode_stretch(enc, t) for t in stretches(text)])
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -103,9 +126,20 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str | Non
     return df.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, keep: dict[str, Column], text: str = "text", path: str | None = None) -> DataFrame:
+    """`keep`, `ids` array<int> and `decoded` binary: `encode` and `decode` in one pass over the texts."""
+
+    def run(column):
+        enc = encoding(path)
+        ids = [encode_text(enc, t).astype(np.int32) for t in column.to_pylist()]
+        return [list_array(ids, pa.int32()), pa.array([enc.decode_bytes(x.tolist()) for x in ids], pa.binary())]
+
+    return common.map_texts(df, keep, text, run, "ids array<int>, decoded binary")
+
+
 def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text of `documents`."""
-    made = decode(encode(documents, {"doc_id": F.col("doc_id")}, "text", "ids", path), "ids", "decoded", path)
+    made = round_trip(documents, {"doc_id": F.col("doc_id")}, "text", path)
     return made.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -11,6 +11,9 @@ Ranked documents fill the patterns: the k-th piece of a length takes the k-th pl
 Ranks come from salted counts (a window over one salt of one length, plus the counts of the salts before it), so no
 length, however common, meets in one task.  The plan is at most a few ten thousand ranges and is broadcast.
 
+Ids are those of the tokenizers library's own `encode` without special tokens added: the content of a special token that
+stands in a text is that token's id, unless `special_as_text` asks for it to be read as ordinary text.
+
 Null and empty texts are the end id alone.  Repeated rows are packed each on their own; ties in a rank are between equal
 rows.  An empty table gives an empty table; other columns are not looked at.
 """
@@ -19,6 +22,8 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+import warnings
 import zlib
 
 import numpy as np
@@ -27,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import STRETCH, list_array, rank_path, stretches
+from .bpe import encode_text, list_array, rank_path
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, UNIT, END_ID = 2048, 8, 1
 MOST_PIVOTS = 20_000
+#: A plan has some ranges for each class of lengths, however many pieces there are; one beyond this bound isn't broadcast.
+MOST_RANGES = 1_000_000
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -45,9 +52,9 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str | None = None):
-    """text -> uint32 ids under a tokenizers file, special tokens in the text read as ordinary text.
+@functools.lru_cache(maxsize=4)
+def encoder(path: str | None = None, special_as_text: bool = False):
+    """text -> uint32 ids of the whole text under a tokenizers file.
 
     A plain byte-level BPE whose merges are numbered in order is run by tiktoken over the same vocabulary, several times
     faster and with the same ids (the tests hold both against each other); any other file by tokenizers itself.
@@ -60,8 +67,8 @@ def encoder(path: str | None = None):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    own.encode_special_tokens = special_as_text
+    model, split, added = spec["model"], spec["pre_tokenizer"] or {}, spec["added_tokens"]
     vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
     plain = (
         model.get("type", "BPE") == "BPE"
@@ -71,18 +78,29 @@ def encoder(path: str | None = None):
         and not split.get("add_prefix_space")
         and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        and all(t["special"] and t["content"] and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added)
     )
     if not plain:
         return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
-    special, of = {t["content"] for t in spec["added_tokens"]}, _byte_of_character()
+    special, of = {t["content"]: t["id"] for t in added}, _byte_of_character()
     ranks = {bytes(of[c] for c in k): v for k, v in vocab.items() if k not in special}
     enc = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: enc.encode_to_numpy(text, disallowed_special=())
+    if special_as_text or not special:
+        return lambda text: encode_text(enc, text)
+    # special tokens are found first, the longest at each place; what stands between them is encoded on its own
+    found = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+
+    def ids(text):
+        parts = found.split(text)
+        if len(parts) == 1:
+            return encode_text(enc, text)
+        return np.concatenate([np.array([special[p]], np.uint32) if i % 2 else encode_text(enc, p) for i, p in enumerate(parts)])
+
+    return ids
 
 
 def document_ids(encode, text: str | None) -> np.ndarray:
-    parts = [encode(t) for t in (stretches(text) if len(text) > STRETCH else [text])] if text else []
-    return np.concatenate([*parts, [END_ID]]).astype("<u4")
+    return np.append(encode(text) if text else np.zeros(0, np.uint32), END_ID).astype("<u4")
 
 
 def pieces(df: DataFrame, keep: dict[str, Column], text: str = "text", path: str | None = None, ids: bool = False) -> DataFrame:
@@ -177,6 +195,8 @@ def column_generation(weight: np.ndarray, demand: np.ndarray, room: int) -> tupl
         row = inverse[out] / d[out]
         inverse -= np.outer(d, row)
         inverse[out] = row
+    else:
+        warnings.warn(f"column generation stopped after {MOST_PIVOTS} pivots; the plan is whole but may hold more padding", stacklevel=2)
     return basis.T.astype(np.int64), np.maximum(x, 0)
 
 
@@ -269,6 +289,8 @@ def pack(cut: DataFrame, order: list[str]) -> DataFrame:
     histogram = np.zeros(SIZE + 1, np.int64)
     histogram[got.column("length").to_numpy()] = got.column("n").to_numpy()
     ranges = plan(histogram)
+    if len(ranges) > MOST_RANGES:
+        raise RuntimeError(f"{len(ranges)} ranges are too many to broadcast")
     table = pa.table(
         {k: pa.array([r[i] for r in ranges], t) for i, (k, t) in enumerate(
             (("_length", pa.int32()), ("_from", pa.int64()), ("_to", pa.int64()), ("_sequence", pa.int64()), ("offset", pa.int64()))

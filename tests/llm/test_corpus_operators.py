@@ -69,7 +69,6 @@ def test_packed_documents(documents):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    lib.encode_special_tokens = True
     rows = packing.packed(documents).toPandas().sort_values(["doc_id", "start"])
     for r in documents.collect():
         ids, at = np.array([*lib.encode(r["text"], add_special_tokens=False).ids, 1], "<u4"), 0
@@ -87,7 +86,36 @@ def test_packed_documents(documents):
 def test_packing_odd_rows(odd, empty):
     rows = packing.packed(odd).collect()
     assert sum(r["start"] == 0 for r in rows) == odd.count() and packing.packed(empty).count() == 0
-    assert packing.document_ids(packing.encoder(), "<|endoftext|>").tolist() != [50256, 1]
+
+
+@pytest.mark.parametrize("text", [
+    "hi <|endoftext|> you", "<|endoftext|>", "a  <|endoftext|><|endoftext|>  \n b", "<|endoftext|", "x" + " " * 1_200_000 + "end", "\n" * 900_001, "word " + "\t" * 20_000 + " 日本",
+    "w" * 100_000 + " " + "é" * 100_000,
+])
+def test_packing_ids_are_the_librarys(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    assert packing.document_ids(packing.encoder(), text).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1]
+    lib.encode_special_tokens = True
+    assert packing.document_ids(packing.encoder(None, True), text).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_plan_of_real_lengths_is_near_the_bound(spark):
+    """On the lengths of real documents the plan needs at most one sequence in a hundred more than the ids fill."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    h = np.zeros(2049, np.int64)
+    for r in packing.pieces(docs, {"doc_id": F.col("doc_id")}).groupBy("length").count().collect():
+        h[r["length"]] = r["count"]
+    n = max(first + b - a for _, a, b, first, _ in packing.plan(h))
+    assert n <= 1.01 * (h * np.arange(2049)).sum() / 2048 + 1
+
+
+def test_stopped_linear_program_warns(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PIVOTS", 1)
+    with pytest.warns(UserWarning, match="pivots"):
+        packing.column_generation(np.array([100, 156]), np.array([30.0, 30.0]), 256)
 
 
 def test_sequences_carry_the_ids(documents):

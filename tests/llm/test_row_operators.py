@@ -32,6 +32,37 @@ def test_bpe_stretches_keep_the_ids(monkeypatch):
     assert bpe.encode_text(enc, text).tolist() == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", " \n", "\u3000"])
+def test_bpe_of_long_white_space(space):
+    """Runs beyond what the library's pattern engine stands, against the pattern's own rule for the match."""
+    enc = bpe.encoding()
+    n = 1_000_000 // len(space)
+    run = space * n
+    for tail in ("end", " end", ""):
+        head = enc.encode_ordinary("word word")
+        if tail == "":
+            want = head + enc._encode_single_piece(run.encode())
+        else:
+            joined = run + tail[:-3]
+            want = head + enc._encode_single_piece(joined[:-1].encode()) + enc.encode_ordinary(joined[-1] + "end")
+        assert bpe.encode_text(enc, "word word" + run + tail).tolist() == want
+    short = space * 3000
+    assert bpe.encode_text(enc, "x" * 70_000 + " " + short + "end").tolist() == enc.encode_ordinary("x" * 70_000 + " " + short + "end")
+    middle = space * 9000
+    text = "a b" + middle + "c" + middle + "1 \x1c" + "y z " * 30_000
+    assert bpe.encode_text(enc, text).tolist() == enc.encode_ordinary(text)
+
+
+def test_bpe_of_ten_million_spaces():
+    enc = bpe.encoding()
+    got = bpe.encode_text(enc, " " * 10_000_000 + "x")
+    assert enc.decode_bytes(got.tolist()) == b" " * 10_000_000 + b"x"
+
+
+def test_bpe_and_token_counts_of_an_empty_table(empty):
+    assert bpe.digests(empty).count() == 0 and token_counts.document_counts(empty).count() == 0
+
+
 def test_token_counts_are_the_librarys(documents, odd):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
