@@ -109,41 +109,49 @@ def explode_texts(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir, else (tests only) one below the warehouse."""
+    """The folder that every executor shares: spark.checkpoint.dir.  Where it is unset, as in tests, a local session uses a
+    folder below its warehouse; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors.
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a table made by `materialize`."""
+    The shuffles behind it have served by then, and Spark is told to remove their files when the write ends."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._work_path = path
+    return made
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by `materialize`; what is still to be computed from them must not be needed."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._work_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now rather than at the next collection of the driver.
-
-    The Python objects go first, then (after the bridge has passed that on) what they held in the driver's JVM."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.4)
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(0.4)
+def finish(df: DataFrame, name: str, *tables: DataFrame) -> DataFrame:
+    """`df` as a written table, after which the work tables that it was computed from are deleted."""
+    made = materialize(df, name)
+    drop_tables(*tables)
+    return made
 
 
 def n_parts(spark: SparkSession) -> int:

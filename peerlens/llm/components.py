@@ -39,7 +39,7 @@ def connected(links: DataFrame) -> DataFrame:
         small = small.select("x.u", "x.v").where(F.col("u") != F.col("v")).distinct()
         new = common.materialize(small, "links")
         after = _signature(new)
-        common.drop_table(e)
+        common.drop_tables(e)
         e = new
         if after == before:
             break

@@ -322,7 +322,7 @@ def queries_of(shared: DataFrame, sets: DataFrame) -> DataFrame:
     tokens = common.materialize(tokens, "tokens")
     crossing = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
     all_tokens, tokens = tokens, common.materialize(tokens.join(crossing, "token", "left_semi"), "crossing")
-    common.drop_table(all_tokens)
+    common.drop_tables(all_tokens)
     matrix = tokens.groupBy("token", F.col("g").alias("og"), F.col("block").alias("ob")).agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")
     )
@@ -349,17 +349,14 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     those of the row that stands for it): a document's component is its set's."""
     spark = df.sparkSession
     signed = common.materialize(signatures(df, frequent_tokens(df, text), text, doc_id), "signatures")
-    common.release_shuffles(spark)
     shared = common.materialize(shared_tokens(signed), "shared")
     rows = common.materialize(signed.drop("tokens", "often"), "rows")
-    common.drop_table(signed)
+    common.drop_tables(signed)
     del signed
-    common.release_shuffles(spark)
     first = rows.where(F.col("n") > 0).groupBy("f1", "f2").agg(F.min(F.struct("_id", "text_hash")).alias("r"))
     every = common.materialize(first.select("f1", "f2", "r.*"), "every")
     sets = groups(shared).join(every, ["f1", "f2"])
     sets = common.materialize(with_texts(df, sets, text, doc_id), "members")
-    common.release_shuffles(spark)
     plain = sets.drop("t").dropDuplicates(["f1", "f2"])
 
     # the sets of a block with each other, and with the most central set of a group of several blocks
@@ -374,7 +371,6 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     members = sets.join(several, ["g", "block"], "left_semi")
     members = members.withColumns({"role": F.lit(0), "chunk": F.lit(0)}).select(*central.columns)
     links = common.materialize(compare(members.union(central), within=True), "within")
-    common.release_shuffles(spark)
 
     roots = common.materialize(connected(links), "roots").select("node.f1", "node.f2", "root")
     own = F.struct(F.col("_id").alias("d"), "f1", "f2")
@@ -382,9 +378,8 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
 
     # queries to other blocks
     asked = common.materialize(queries_of(shared, placed), "queries")
-    common.drop_table(shared)
+    common.drop_tables(shared)
     del shared, placed
-    common.release_shuffles(spark)
     chunks = asked.groupBy("g", "block").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("chunks"))
     chunks = common.materialize(chunks, "chunks")
     opened = sets.join(chunks, ["g", "block"])
@@ -393,8 +388,7 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     queries = queries.join(sets.select("f1", "f2", "_id", "t"), ["f1", "f2"])
     cols = ["g", "block", "chunk", "role", "_id", "f1", "f2", "t"]
     more = common.materialize(compare(opened.select(*cols).union(queries.select(*cols)), within=False), "between")
-    common.drop_table(sets)
-    common.release_shuffles(spark)
+    common.drop_tables(sets)
     linked = connected(links.union(more)).select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), "root")
     of_set = every.join(linked, ["f1", "f2"], "left").withColumn("root", F.coalesce("root", F.struct(F.col("_id").alias("d"), "f1", "f2")))
     of_set = of_set.select("f1", "f2", "_id", "text_hash", "root", F.col("root.d").alias("component"))

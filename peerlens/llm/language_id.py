@@ -6,12 +6,13 @@ document frequencies come from all documents that may be learnt from.  Weights a
 leader (per-coordinate rates, L1 and L2 penalties) on a bounded sample of labelled rows; a fifth of that sample fits the
 softmax temperature instead.
 
-Bounds (documented parameters): at most about `SAMPLE` labelled rows, dealt evenly over languages and chosen by a hash of
-the id, are fitted on; at most `LANGUAGES` languages, the commonest, are learnt.  The model is SLOTS x languages floats.
+Bound (a documented parameter): at most about `SAMPLE` labelled rows, dealt evenly over languages and chosen by a hash of
+the id, are fitted on.  Every language of a sampled row is learnt; the model is SLOTS x languages floats.
 
 Rows whose crc32(id as text) mod 5 is 0, or whose id or language is null, are never learnt from.  Null texts and texts
 without letters get `und` with score 0; with no labelled row at all every text does.  Language, source and id are no
-inputs of a prediction, so repeated texts get equal predictions.  Long texts are scored whole, in blocks.
+inputs of a prediction, so repeated texts get equal predictions.  Long texts are scored whole, in blocks that carry the last
+codes of the one before, so no n-gram is lost or made at a block's edge.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from . import common
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
 SAMPLE = 3000
-LANGUAGES = 256
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 SCALE = 64.0
@@ -50,23 +50,32 @@ def _fold() -> np.ndarray:
     return table
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, slot) of every n-gram of a slice of texts, texts in order within each order of n-gram."""
-    codes, owner = [], []
-    fold = _fold()
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        c = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.where(c < 1 << 16, fold[np.minimum(c, 0xFFFF)], c)
-        space = c == 32
-        c = c[~(space & np.concatenate([[False], space[:-1]]))]
-        codes.append(c)
-        owner.append(np.full(len(c), i, np.int32))
-    if not codes:
+def folded(text: str | None):
+    """(codes, how many of them are carried over) of each block of a text: letters lower-cased, runs of others one space, a
+    space before and after the text.  A block starts with the last codes of the one before, for n-grams over the edge."""
+    if not text:
+        return
+    table, carried = _fold(), np.array([32], np.uint32)
+    for j in range(0, len(text), _BLOCK):
+        part = text[j : j + _BLOCK] + (" " if j + _BLOCK >= len(text) else "")
+        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(c < 1 << 16, table[np.minimum(c, 0xFFFF)], c)
+        space = np.concatenate([carried[-1:], c]) == 32
+        codes = np.concatenate([carried, c[~(space[1:] & space[:-1])]])
+        yield codes, len(carried)
+        carried = codes[1 - max(ORDERS) :]
+
+
+def grams(blocks: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(block index, slot) of every n-gram of blocks of codes that doesn't lie in their carried part alone, blocks in order
+    within each order of n-gram."""
+    if not blocks:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    c, doc = np.concatenate(codes), np.concatenate(owner)
-    docs, slots = [], []
+    c = np.concatenate([b for b, _ in blocks])
+    size = np.array([len(b) for b, _ in blocks])
+    own = np.repeat(np.arange(len(blocks), dtype=np.int32), size)
+    fresh = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size) >= np.repeat([k for _, k in blocks], size)
+    owners, slots = [], []
     for n in ORDERS:
         if len(c) < n:
             continue
@@ -75,12 +84,12 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = (h ^ c[k : k + m]) * _MULTIPLIERS[k]
             h ^= h >> np.uint32(15)
-        ok = doc[:m] == doc[n - 1 : n - 1 + m]
+        ok = (own[:m] == own[n - 1 : n - 1 + m]) & fresh[n - 1 : n - 1 + m]
         if n == 1:
             ok &= c != 32
-        docs.append(doc[:m][ok])
+        owners.append(own[:m][ok])
         slots.append((h[ok] & np.uint32(SLOTS - 1)).astype(np.int32))
-    return np.concatenate(docs), np.concatenate(slots)
+    return np.concatenate(owners), np.concatenate(slots)
 
 
 @dataclass
@@ -93,15 +102,15 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(index of the best language, its probability) of each text."""
         total, out = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        for a, part in _blocks(texts):
-            doc, slot = grams(part)
+        for texts_of, part in _blocks(texts):
+            block, slot = grams(part)
             step = max(1, (1 << 22) // max(1, len(self.languages)))
-            for i in range(0, len(doc), step):
-                d = doc[i : i + step]
+            for i in range(0, len(block), step):
+                d = block[i : i + step]
                 first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
                 sums = np.add.reduceat(self.weights[slot[i : i + step]], first, axis=0)
-                np.add.at(out, a[d[first]], sums)
-            np.add.at(total, a, np.bincount(doc, minlength=len(part)))
+                np.add.at(out, texts_of[d[first]], sums)
+            np.add.at(total, texts_of, np.bincount(block, minlength=len(part)))
         z = (out * (SCALE / np.maximum(total, 1))[:, None] + self.bias) / self.temperature
         p = softmax(z)
         best = p.argmax(axis=1)
@@ -109,19 +118,18 @@ class Model:
 
 
 def _blocks(texts: list[str | None]):
-    """(owners, texts) with texts longer than a block cut into several; an n-gram over a cut counts as a word's edge."""
+    """(text of each block, blocks) for batches of blocks of about `_BLOCK` codes."""
     owners: list[int] = []
-    parts: list[str | None] = []
+    parts: list[tuple[np.ndarray, int]] = []
     size = 0
     for i, t in enumerate(texts):
-        for j in range(0, max(1, len(t or "")), _BLOCK):
-            p = t[j : j + _BLOCK] if t and len(t) > _BLOCK else t
-            if parts and size + len(p or "") > _BLOCK:
+        for block in folded(t):
+            if parts and size + len(block[0]) > _BLOCK:
                 yield np.array(owners), parts
                 owners, parts, size = [], [], 0
             owners.append(i)
-            parts.append(p)
-            size += len(p or "")
+            parts.append(block)
+            size += len(block[0])
     if parts:
         yield np.array(owners), parts
 
@@ -201,7 +209,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray,
                     for s in found:
                         seen[s] = True
                     count[:-1] += seen
-                count[-1] += len(owner)
+                count[-1] += len(texts)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["slot", "n"])
 
@@ -215,7 +223,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """The model of the rows of `df` that may be learnt from; None if there are none."""
     learn = df.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     unit = (F.xxhash64(F.col(doc_id), F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("u")
-    per = learn.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    per = learn.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
     if not per:
         return None
     languages = sorted(r["lang"] for r in per)
@@ -229,7 +237,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         slots, counts = [], []
         for t in column.to_pylist():
             found = [grams(part)[1] for _, part in _blocks([t])]
-            s, n = np.unique(np.concatenate(found), return_counts=True)
+            s, n = np.unique(np.concatenate([np.zeros(0, np.int32), *found]), return_counts=True)
             slots.append(s.astype(np.int32).tobytes())
             counts.append(n.astype(np.int32).tobytes())
         return {"lang": _lang, "u": _u, "slots": pa.array(slots, pa.binary()), "counts": pa.array(counts, pa.binary())}

@@ -162,7 +162,6 @@ def deduplicate_runs(df: DataFrame, keep: dict[str, Column], text: str = "text",
 def _without(df: DataFrame, gone: DataFrame, keep: dict[str, Column], text: str, doc_id: str) -> DataFrame:
     spark = df.sparkSession
     gone = common.materialize(gone, "gone")
-    common.release_shuffles(spark)
     names = {f"c{i}": c for i, c in enumerate(keep.values())}
     key = _keys(text, doc_id)
     rows = df.select(*[c.alias(k) for k, c in (names | key).items()], F.col(text).cast("string").alias("t"))

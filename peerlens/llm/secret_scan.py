@@ -13,7 +13,8 @@ parts within `SCOPE` code points of it; it is reported only if a complementary p
 
 Positions are code points, end exclusive.  They come from splitting the text by the pattern: pieces and matches alternate,
 so running lengths give every start.  Matches of one kind are leftmost and don't overlap; matches that fail a length rule
-still use up their text.
+still use up their text.  Running lengths are kept over chunks of `CHUNK` matches and within each chunk, so a text with very
+many matches costs no square of their number.
 
 Null and empty texts have no spans.  Rows that agree on id and text are judged alike and each keeps its row; a null id is
 a document like any other.  An empty table gives an empty table; other columns are not looked at.
@@ -21,6 +22,8 @@ a document like any other.  An empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,29 +40,51 @@ ENDPOINT = r"""(https?|ftp|s3|postgres|postgresql|mysql|redis|mongodb|amqp)://([
 
 KINDS = ("assign", "access", "hex", "token", "account", "endpoint")
 SPAN = "struct<start:int,kind:int,end:int>"
+CHUNK = 512
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _over_chunks(items: Column, measure: Callable, combine: Callable, inner: Callable[[Column, Column, Column], Column]) -> Column:
+    """The arrays inner(chunk, value before, value after) of the chunks of a non-empty array, joined; the value is 0, combined
+    with the measure of one item after the other."""
+
+    def over(parts: Column) -> Column:
+        steps = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: combine(acc, measure(x))))
+        edges = F.aggregate(steps, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(combine(F.element_at(acc, -1), t))))
+        return _let(edges, lambda e: F.flatten(F.transform(parts, lambda p, i: inner(p, F.get(e, i), F.get(e, i + 1)))))
+
+    def cut(z: Column) -> Column:
+        last = F.floor((F.size(z) - 1) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(z, i * CHUNK + 1, F.lit(CHUNK)))
+
+    return _let(items, lambda z: _let(cut(z), over))
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, maybe: Column | None = None, also=None) -> Column:
     """array<SPAN> of the matches of `pattern` whose `group` has `least` characters or more and meets `also`."""
-    pieces, found, inner = (F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), None)
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), inner.alias("g"))
-
-    def step(acc, x):
-        p, m, g = x["p"], x["m"], x["g"]
-        start = acc["at"] + F.length(p)
-        end = start + F.length(m)
-        ok = F.length(g) >= least
-        ok = ok & also(g) if also is not None else ok
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(
-            end.alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out")
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    spans = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    zipped = _let(found, lambda m: F.arrays_zip(F.slice(pieces, F.lit(1), F.size(m)).alias("p"), m.alias("m"), (m if group == 0 else inner).alias("g")))
+    empty = F.array().cast(f"array<{SPAN}>")
+
+    def spans(chunk: Column, begin: Column, _end: Column) -> Column:
+        def step(acc, x):
+            start = acc["at"] + F.length(x["p"])
+            end = start + F.length(x["m"])
+            ok = F.length(x["g"]) >= least
+            ok = ok & also(x["g"]) if also is not None else ok
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(chunk, F.struct(begin.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    made = _over_chunks(zipped, lambda x: F.length(x["p"]) + F.length(x["m"]), lambda a, b: a + b, spans)
     test = text.rlike(pattern) if maybe is None else maybe & text.rlike(pattern)
-    return F.when(test, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(test, made).otherwise(empty)
 
 
 def scan(df: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:
@@ -131,43 +156,52 @@ def spans(documents: DataFrame) -> DataFrame:
     scanned = common.materialize(scan(documents, {"doc_id": F.col("doc_id"), **key}), "secrets")
     linked = link(scanned, list(key))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    every = F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked"))
-    return scanned.join(linked, list(key), "left").select(
+    made = scanned.join(linked, list(key), "left").select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(every).alias("spans"),
+        joined(_every()).alias("spans"),
     )
+    return common.finish(made, "spans", scanned)
+
+
+def _every() -> Column:
+    return F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked"))
 
 
 def redact(documents: DataFrame, text: str = "text", by: str = "[SECRET]") -> DataFrame:
-    """`documents` with every span of its texts replaced; texts without spans, and all other columns, stay as they are."""
+    """`documents` with every span of its texts replaced; texts without spans, and all other columns, stay as they are.
+
+    The texts are scanned once; the spans, of the texts that have any, meet them again by a sort-merge join."""
     cols = documents.columns
     key = _keyed(documents, text)
-    linked = link(scan(documents, key, text), list(key))
-    rows = scan(documents, {**{f"c{i}": F.col(f"`{c}`") for i, c in enumerate(cols)}, **key}, text)
-    at = f"c{cols.index(text)}"
-    every = F.array_sort(F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked")))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        more = F.array(F.substring(F.col(at), acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate(
-        every,
-        zero,
-        step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(at), acc["at"] + 1, F.length(F.col(at)))),
-    )
-    rows = rows.join(linked, list(key), "left")
-    rows = rows.withColumn("_new", F.when(F.size(every) > 0, new).otherwise(F.col(at)))
+    scanned = common.materialize(scan(documents, key, text).where((F.size("base") > 0) | (F.size("weak") > 0)).dropDuplicates(list(key)), "secrets")
+    found = scanned.join(link(scanned, list(key)), list(key), "left")
+    found = common.finish(found.select(*key, F.array_sort(_every()).alias("_spans")).where(F.size("_spans") > 0), "found", scanned)
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], *[c.alias(k) for k, c in key.items()])
+    rows = rows.join(found.hint("merge"), list(key), "left")
+    t = F.col(f"c{cols.index(text)}")
+
+    def pieces(chunk: Column, begin: Column, end: Column) -> Column:
+        """The kept stretches of the text before each span of the chunk that starts after the earlier ones, and marks."""
+
+        def within(part: Column) -> Column:
+            def step(acc, s):
+                kept = F.array(F.substring(part, acc["at"] - begin + 1, s["start"] - acc["at"]), F.lit(by))
+                out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept)).otherwise(acc["out"])
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+            zero = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(chunk, zero, step, lambda acc: acc["out"])
+
+        return _let(F.substring(t, begin + 1, end - begin), within)
+
+    made = F.array_join(_over_chunks(F.col("_spans"), lambda s: s["end"], F.greatest, pieces), "")
+    last = F.array_max(F.transform("_spans", lambda s: s["end"]))
+    new = F.concat(made, F.substring(t, last + 1, F.length(t)))
+    rows = rows.withColumn("_new", F.when(F.col("_spans").isNotNull(), new).otherwise(t))
     return rows.select(*[F.col("_new" if c == text else f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 

@@ -158,9 +158,7 @@ def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_
     """`keep`, n_words, n_removed and `kept`, the kept words joined by one space, of every row of `df`."""
     spark = df.sparkSession
     marked = common.materialize(repeated_anchors(df, text, doc_id), "anchors")
-    common.release_shuffles(spark)
     later = common.materialize(repeated_windows(candidates(df, marked, text, doc_id)), "windows")
-    common.release_shuffles(spark)
     key = _keys(df, text, doc_id)
     names = {f"c{i}": c for i, c in enumerate(keep.values())}
     rows = df.select(*[c.alias(k) for k, c in (names | key).items()], F.col(text).cast("string").alias("t"))
