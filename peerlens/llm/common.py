@@ -246,3 +246,74 @@ def to_bytes(column: pa.Array) -> list[bytes | None]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# hot keys
+
+#: Keys that rows which need no company are spread over, and repeated keys that a task remembers.
+SPREAD, REMEMBERED = 1 << 20, 1 << 18
+
+
+class Places:
+    """Places in the corpus, ordered by (id, hash, position): three equally long arrays."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, pos: np.ndarray):
+        self.ids, self.hashes, self.pos = ids, hashes, pos
+
+    def __getitem__(self, at) -> Places:
+        return Places(self.ids[at], self.hashes[at], self.pos[at])
+
+    def before(self, other: Places) -> np.ndarray:
+        same_hash = (self.hashes < other.hashes) | ((self.hashes == other.hashes) & (self.pos < other.pos))
+        return (self.ids < other.ids) | ((self.ids == other.ids) & same_hash)
+
+
+class Repeats:
+    """Settles repeats of keys where they are met, so that few rows of a hot key have to meet in one task.
+
+    Of equal keys in a slice only the earliest travels under the key.  A task also remembers keys that it has met repeatedly
+    in a slice, with their earliest place: in later slices all their rows are known to be later ones.  So a key that very many
+    rows share brings a task that has rows of it one row, and a few more while earlier places turn up.  What a task remembers
+    is bounded; forgetting costs rows, never results."""
+
+    def __init__(self):
+        self.key, self.at = np.zeros(0, np.uint64), Places(*[np.zeros(0, np.int64)] * 3)
+
+    def _known(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return i, self.key[i] == key
+
+    def settle(self, key: np.ndarray, at: Places) -> tuple[np.ndarray, np.ndarray]:
+        """(key to shuffle by, flag) of each row: 0 alone in its slice, 1 the earliest of several, 2 known to have an earlier
+        one, under a key of its own.  Rows of one place (repeated input rows) are alike."""
+        if not len(key):
+            return key, np.zeros(0, np.int8)
+        by = np.lexsort((at.pos, at.hashes, at.ids, key))
+        k, o = key[by], at[by]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(k)]]))
+        first = np.repeat(begin, size)
+        later = o[first].before(o)
+        several = np.logical_or.reduceat(later, begin)
+        i, known = self._known(k[begin])
+        earlier = np.zeros(len(begin), bool)
+        earlier[known] = self.at[i[known]].before(o[begin[known]])
+        flag = np.empty(len(key), np.int8)
+        flag[by] = np.where(later | np.repeat(earlier, size), 2, np.repeat(several | known, size))
+        self._learn(k[begin], o[begin], (several & ~known) | (known & ~earlier))
+        own = mix(key ^ mix(at.hashes.view(np.uint64) ^ at.pos.astype(np.uint64)))
+        return np.where(flag == 2, own % np.uint64(SPREAD), key), flag
+
+    def _learn(self, key: np.ndarray, at: Places, new: np.ndarray) -> None:
+        if not new.any():
+            return
+        old = ~np.isin(self.key, key[new])
+        if old.sum() + new.sum() > REMEMBERED:
+            old[:] = False
+        ids, hashes, pos = (np.concatenate([a[old], b[new]]) for a, b in ((self.at.ids, at.ids), (self.at.hashes, at.hashes), (self.at.pos, at.pos)))
+        key = np.concatenate([self.key[old], key[new]])
+        order = np.argsort(key)[:REMEMBERED]
+        self.key, self.at = key[order], Places(ids, hashes, pos)[order]

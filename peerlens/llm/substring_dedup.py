@@ -9,15 +9,14 @@ PERIOD that takes both to cover positions, and PERIOD - 1 + ANCHOR is a window's
 share an anchor at an aligned place.  Three passes over the texts, with a written table between them:
 
 1. anchors are shuffled by hash, and those that occur twice are marked;
-2. every window that holds a marked anchor at some shift is extended to its full words, as 96 hashed bits, and these are
+2. every window that holds a marked anchor at some shift is extended to its full words, as 128 hashed bits, and these are
    shuffled; all but the first occurrence are marked;
 3. the words under marked windows are removed.
 
-Before each shuffle a slice of texts (about a megabyte) is aggregated: of equal hashes only the first occurrence travels
-under its hash; the others are known to be repeats and travel under a key of their own, so a hash that a third of all
-rows share brings one row a slice.
+A hash that very many rows share brings each task a row or a few (`common.Repeats`): the other rows are known to be repeats
+where they are met and travel under keys of their own.
 
-Null texts and texts without words have no windows and keep the empty text.  Rows are told apart by (doc_id, 30 hashed bits
+Null texts and texts without words have no windows and keep the empty text.  Rows are told apart by (doc_id, 64 hashed bits
 of the text), a null doc_id coming first; rows that agree on both are one document, and each of them gets its result.  An empty
 table gives an empty table; other columns are not looked at.
 """
@@ -36,43 +35,19 @@ from . import common
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
-#: Keys that later rows of a slice are spread over; they need no company, only an even share of the tasks.
-SPREAD = 1 << 12
+#: The key of a document.
+KEY = ["_id", "_hash"]
 
 
-def _keys(df: DataFrame, text: str, doc_id: str) -> dict[str, Column]:
-    bits = F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 34)
-    return {"_id": common.long_id(doc_id), "_hash": bits}
-
-
-def _document_order(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Rank of each text of a slice; equal (id, hash) have equal ranks."""
-    order = np.lexsort((hashes, ids))
-    new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])])
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return rank
-
-
-def _emit(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key to shuffle by, flag) of each row: a key's first place keeps the key, with flag 1 if the slice has others;
-    later places get a spread key and flag 2.  Rows of one place (repeated input rows) are alike."""
-    if not len(key):
-        return key, np.zeros(0, np.int8)
-    by = np.lexsort((order, key))
-    k, o = key[by], order[by]
-    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(k)]]))
-    lowest, highest = np.repeat(o[begin], size), np.repeat(o[begin + size - 1], size)
-    flag = np.empty(len(key), np.int8)
-    flag[by] = np.where(o > lowest, 2, highest > lowest)
-    return np.where(flag == 2, common.mix(key) % np.uint64(SPREAD), key), flag
+def _keys(text: str, doc_id: str) -> dict[str, Column]:
+    return {"_id": common.long_id(doc_id), "_hash": F.xxhash64(F.col(text).cast("string"))}
 
 
 def anchors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """h, _id and at (position * 4 + flag) of the anchors of every whole text."""
+    """h, _id, _hash and at (position * 4 + flag) of the anchors of every whole text."""
+    repeats = common.Repeats()
 
-    def run(column, ids, _hash):
+    def run(column, ids, hashes):
         words = common.Words(common.to_bytes(column))
         h, at = words.windows(words.hashes(), ANCHOR)
         pos = words.pos[at]
@@ -81,26 +56,25 @@ def anchors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         cover &= words.count[words.doc[at]] >= WINDOW
         h, at, pos = h[cover], at[cover], pos[cover]
         doc = words.doc[at]
-        ids = ids.to_numpy()
-        rank = _document_order(ids, _hash.to_numpy())
-        key, flag = _emit(h, rank[doc] << 32 | pos)
-        return {"h": common.signed(key), "_id": ids[doc], "at": pos << 2 | flag}
+        ids, hashes = ids.to_numpy()[doc], hashes.to_numpy()[doc]
+        key, flag = repeats.settle(h, common.Places(ids, hashes, pos))
+        return {"h": common.signed(key), "_id": ids, "_hash": hashes, "at": pos << 2 | flag}
 
-    return common.explode_texts(df, _keys(df, text, doc_id), text, run, "h long, _id long, at long")
+    return common.explode_texts(df, _keys(text, doc_id), text, run, "h long, _id long, _hash long, at long")
 
 
-def _packed(marks: DataFrame, key: list[str]) -> DataFrame:
+def _packed(marks: DataFrame) -> DataFrame:
     """One row for each document: its marked positions."""
-    return marks.groupBy(*key).agg(F.collect_set("pos").alias("marks"))
+    return marks.groupBy(*KEY).agg(F.collect_set("pos").alias("marks"))
 
 
-def repeated_anchors(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """_id and the positions of its anchors that occur twice or more."""
+def repeated_anchors(found: DataFrame) -> DataFrame:
+    """_id, _hash and the positions of the document's anchors that occur twice or more."""
     from pyspark.sql import Window
 
     n = F.count("*").over(Window.partitionBy("h"))
-    found = anchors(df, text, doc_id).withColumn("n", n).where((F.col("n") > 1) | (F.col("at").bitwiseAND(F.lit(3)) > 0))
-    return _packed(found.withColumn("pos", F.shiftright("at", 2).cast("int")), ["_id"])
+    found = found.withColumn("n", n).where((F.col("n") > 1) | (F.col("at").bitwiseAND(F.lit(3)) > 0))
+    return _packed(found.withColumn("pos", F.shiftright("at", 2).cast("int")))
 
 
 def _positions(marks: pa.Array) -> list[np.ndarray]:
@@ -109,10 +83,17 @@ def _positions(marks: pa.Array) -> list[np.ndarray]:
     return [np.sort(flat[a:b]) if ok else np.zeros(0, np.int32) for a, b, ok in zip(ends[:-1], ends[1:], valid)]
 
 
-def candidates(df: DataFrame, marked: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """h1, h2, _id and at (hash bits, position, flag) of every window that holds a marked anchor."""
-    key = _keys(df, text, doc_id)
-    rows = df.select(*[c.alias(k) for k, c in key.items()], F.col(text).cast("string").alias("t")).join(marked.hint("merge"), "_id")
+def with_marks(df: DataFrame, marked: DataFrame, text: str, doc_id: str, keep: dict[str, Column], how: str) -> DataFrame:
+    """`keep`, the key, `marks` and the text `t` of the rows of `df`.  A sort-merge join at every size, as marks grow with the
+    corpus."""
+    cols = keep | _keys(text, doc_id)
+    rows = df.select(*[c.alias(k) for k, c in cols.items()], F.col(text).cast("string").alias("t"))
+    return rows.join(marked.hint("merge"), KEY, how).select(*cols, "marks", "t")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """h1, h2, _id, _hash and at (position * 4 + flag) of every window that holds a marked anchor; rows: the key, marks and t."""
+    repeats = common.Repeats()
 
     def run(column, ids, hashes, marks):
         words = common.Words(common.to_bytes(column))
@@ -127,42 +108,45 @@ def candidates(df: DataFrame, marked: DataFrame, text: str = "text", doc_id: str
         chosen = hit[at]
         h1, h2, at = h1[chosen], h2[chosen], at[chosen]
         doc, pos = words.doc[at], words.pos[at]
-        ids, hashes = ids.to_numpy(), hashes.to_numpy()
-        rank = _document_order(ids, hashes)
-        order = rank[doc] << 32 | pos
-        k, flag = _emit(h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15)), order)
+        ids, hashes = ids.to_numpy()[doc], hashes.to_numpy()[doc]
+        key, flag = repeats.settle(h1 ^ common.mix(h2), common.Places(ids, hashes, pos))
         spread = flag == 2
         return {
-            "h1": common.signed(np.where(spread, k, h1)),
-            "h2": np.where(spread, 0, (h2 >> np.uint64(33)).astype(np.int64)),
-            "_id": ids[doc],
-            "at": hashes[doc] << 34 | pos << 2 | flag,
+            "h1": common.signed(np.where(spread, key, h1)),
+            "h2": common.signed(np.where(spread, np.uint64(0), h2)),
+            "_id": ids,
+            "_hash": hashes,
+            "at": pos << 2 | flag,
         }
 
-    keep = {k: F.col(k) for k in ("_id", "_hash", "marks")}
-    return common.explode_texts(rows, keep, "t", run, "h1 long, h2 int, _id long, at long")
+    keep = {k: F.col(k) for k in (*KEY, "marks")}
+    return common.explode_texts(rows, keep, "t", run, "h1 long, h2 long, _id long, _hash long, at long")
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
     """_id, _hash and the positions of the windows that aren't the first of their words."""
     from pyspark.sql import Window
 
-    place = F.struct("_id", F.shiftrightunsigned("at", 2).alias("at"))
+    place = F.struct(*KEY, F.shiftright("at", 2).alias("pos"))
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
     later = found.withColumn("first", first).where((F.col("at").bitwiseAND(F.lit(3)) == 2) | (place != F.col("first")))
-    later = later.select("_id", F.shiftrightunsigned("at", 34).alias("_hash"), F.shiftrightunsigned("at", 2).bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("pos"))
-    return _packed(later, ["_id", "_hash"])
+    return _packed(later.select(*KEY, F.shiftright("at", 2).cast("int").alias("pos")))
+
+
+def repeated(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """A written table of _id, _hash and `marks`: the starts of the windows that aren't the first of their words."""
+    marked = common.materialize(repeated_anchors(anchors(df, text, doc_id)), "anchors")
+    rows = common.finish(with_marks(df, marked, text, doc_id, {}, "inner"), "marked", marked)
+    return common.finish(repeated_windows(candidates(rows)), "windows", rows)
+
 
+def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_id: str = "doc_id", later: DataFrame | None = None) -> DataFrame:
+    """`keep`, n_words, n_removed and `kept`, the kept words joined by one space, of every row of `df`.
 
-def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`keep`, n_words, n_removed and `kept`, the kept words joined by one space, of every row of `df`."""
-    spark = df.sparkSession
-    marked = common.materialize(repeated_anchors(df, text, doc_id), "anchors")
-    later = common.materialize(repeated_windows(candidates(df, marked, text, doc_id)), "windows")
-    key = _keys(df, text, doc_id)
+    later: the table of `repeated`, which is made here if it isn't given."""
+    later = repeated(df, text, doc_id) if later is None else later
     names = {f"c{i}": c for i, c in enumerate(keep.values())}
-    rows = df.select(*[c.alias(k) for k, c in (names | key).items()], F.col(text).cast("string").alias("t"))
-    rows = rows.join(later.hint("merge"), ["_id", "_hash"], "left").select(*names, "marks", "t")
+    rows = with_marks(df, later, text, doc_id, names, "left")
     passed = list(names)
 
     def run(column, *kept):
@@ -195,8 +179,9 @@ def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_
 
 def removals(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    made = deduplicate(documents, {"doc_id": F.col("doc_id")})
-    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    later = repeated(documents)
+    made = deduplicate(documents, {"doc_id": F.col("doc_id")}, later=later)
+    return common.finish(made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")), "removals", later)
 
 
 REMOVALS_SQL = r"""

@@ -175,6 +175,43 @@ def test_substrings_by_hand(spark, monkeypatch):
         assert [(r["doc_id"], r["kept"], want[r["doc_id"], r["text"] or ""]) for r in got if r["kept"] != want[r["doc_id"], r["text"] or ""]] == []
 
 
+def test_hot_keys_are_settled_where_they_are_met():
+    """Rows of one key: few under the key, the others spread evenly, and never the earliest among them."""
+    rng = np.random.default_rng(4)
+    repeats, rows = common.Repeats(), []
+    for _ in range(50):
+        n = 400
+        at = common.Places(rng.integers(0, 10**6, n), rng.integers(-(2**62), 2**62, n), rng.integers(0, 100, n))
+        key = np.where(rng.random(n) < 0.5, np.uint64(7), rng.integers(1 << 40, 1 << 60, n).astype(np.uint64))
+        by, flag = repeats.settle(key, at)
+        rows += zip(key.tolist(), by.tolist(), flag.tolist(), zip(at.ids.tolist(), at.hashes.tolist(), at.pos.tolist()))
+    hot = [r for r in rows if r[0] == 7]
+    under, spread = [r for r in hot if r[2] < 2], [r for r in hot if r[2] == 2]
+    assert len(under) <= 20 and min(hot, key=lambda r: r[3])[2] < 2 and all(r[1] == 7 for r in under)
+    assert len({r[1] for r in spread}) > 0.9 * len(spread) and all(r[2] < 2 for r in rows if r[0] != 7)
+
+
+def test_forgetting_hot_keys_keeps_results(monkeypatch):
+    monkeypatch.setattr(common, "REMEMBERED", 3)
+    rng = np.random.default_rng(6)
+    repeats, low, rows = common.Repeats(), {}, []
+    for _ in range(30):
+        n = 60
+        at, key = common.Places(rng.integers(0, 99, n), np.zeros(n, np.int64), rng.integers(0, 9, n)), rng.integers(0, 12, n).astype(np.uint64)
+        _, flag = repeats.settle(key, at)
+        for k, i, p, f in zip(key.tolist(), at.ids.tolist(), at.pos.tolist(), flag.tolist()):
+            rows.append((k, (i, p), f))
+            low[k] = min(low.get(k, (i, p)), (i, p))
+    assert all(f < 2 for k, at, f in rows if at == low[k])
+
+
+def test_many_null_ids_are_documents_of_their_own(spark):
+    words = [" ".join(f"n{i}x{j}" for j in range(25)) for i in range(300)]
+    rows = [(None, t) for t in words] + [(1, words[7] + " end")]
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), {"doc_id": F.col("doc_id"), "text": F.col("text")}).collect()
+    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] is None) and [r["kept"] for r in got if r["doc_id"] == 1] == ["end"]
+
+
 def test_substrings_of_odd_rows(odd, empty):
     assert substring_dedup.removals(odd).count() == odd.count() and substring_dedup.removals(empty).count() == 0
 
