@@ -1,21 +1,23 @@
-"""Line deduplication: every repeated run of two or more lines with words.
+"""Line deduplication by content-defined chunks of lines.
 
-A text is its lines (split at line feeds).  A run begins and ends with a line with words and holds two of them or more; it is
-repeated if the same bytes stand earlier in the corpus (smaller document, or earlier in the text without overlapping).  The
-lines of all repeated runs are removed.  A run is repeated if and only if the pairs of neighbouring lines with words in it
-(with the blank lines between them) are, so the pairs, each compared with its first occurrence, give exactly the lines of all
-repeated runs, wherever these begin and end.  Of equal lines the first one always stays.
+A text is its lines (split at line feeds).  A rolling hash over the hashes of the last `ROLL` lines closes a chunk where it is
+0 modulo `MEAN`, so boundaries depend on the lines around them only and text put in or taken out elsewhere doesn't move them.
+A chunk has two lines with words or more: a shorter one is joined to the next, the last one to the one before.  A chunk whose
+bytes stand earlier in the corpus (smaller document, or earlier in the text) is removed.
 
-Pairs meet by 256 bits of BLAKE2b of their bytes, so equal keys are equal bytes.  Before the shuffle, pairs that are equal
-within a slice of texts send their first occurrence only; the later ones are known to go and travel under keys of their own.
+A repeated run of lines rarely begins and ends at boundaries, so its ends, and runs that hold no whole chunk, are found by
+an exact step of the same kind: every pair of neighbouring lines with words (with the blank lines between them) is looked up
+as well, but those inside chunks that are known to be repeats.  A run that begins and ends with a line with words and holds two or more of
+them is repeated, at a place that it doesn't overlap, if and only if its pairs are, so matches extend line by line in both
+directions to all lines of all repeated runs.  Of equal lines the first one always stays.
+
+Chunks and pairs meet by 256 bits of BLAKE2b of their bytes, so equal keys are equal bytes.  Before the shuffle, what is equal
+within a slice of texts, or is known to the task as repeated, sends its earliest occurrence only under the key; the others are
+known to go and travel under keys of their own.
 
 Null texts stay null and have no lines; single lines, and blank lines at the ends of runs, are never removed.  Rows are told
 apart by (doc_id, hash of the text), a null doc_id coming first; rows that agree on both are one document, and each of them
 gets its result.  An empty table gives an empty table; other columns are not looked at.
-
-`deduplicate_runs` does this, and `op6_line_dedup` runs it.  `deduplicate` is the former rule, which removes repeated
-content-defined chunks only (`cut`) and so misses repeated runs that a chunk's edge cuts.  The pipeline's stage still runs
-it, as the pipeline's test holds that stage's result to chunks.
 """
 
 from __future__ import annotations
@@ -32,105 +34,113 @@ from . import common
 
 ROLL, MEAN, LONGEST = 2, 3, 64
 LEAST_LINES = 2
+_BASE = 0x9E3779B97F4A7C15
 
 
-def cut(text: bytes) -> tuple[list[bytes], list[int]]:
-    """The lines of a text and the index of the first line of each chunk, with the number of lines at the end."""
-    lines = text.split(b"\n")
+def cut(lines: list[bytes]) -> list[int]:
+    """The index of the first line of each chunk, with the number of lines at the end."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
     roll = h.copy()
     for k in range(1, ROLL):
-        roll[k:] = roll[k:] * np.uint64(0x9E3779B97F4A7C15) + h[:-k]
-    ends = np.flatnonzero(common.mix(roll) % np.uint64(MEAN) == 0) + 1
-    edges = [0]
-    for e in [*ends.tolist(), len(lines)]:
-        while e - edges[-1] > LONGEST:
-            edges.append(edges[-1] + LONGEST)
-        if e > edges[-1]:
-            edges.append(e)
-    return lines, edges
+        roll[k:] = roll[k:] * np.uint64(_BASE) + h[:-k]
+    closes = (common.mix(roll) % np.uint64(MEAN) == 0).tolist()
+    edges, worded = [0], 0
+    for i, x in enumerate(lines):
+        worded += x != b"" and not x.isspace()
+        if worded >= LEAST_LINES and (closes[i] or i + 1 - edges[-1] >= LONGEST):
+            edges.append(i + 1)
+            worded = 0
+    if worded >= LEAST_LINES or len(edges) == 1:
+        return [*edges, len(lines)] if edges[-1] < len(lines) else edges
+    return [*edges[:-1], len(lines)]
 
 
 def _keys(text: str, doc_id: str) -> dict[str, Column]:
     return {"_id": common.long_id(doc_id), "_hash": F.xxhash64(F.col(text).cast("string"))}
 
 
-def chunks(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """h1, h2, later, _id, _hash, line, lines and chunk of the multi-line chunks of every whole text.
+def _digest(body: bytes, person: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=32, person=person).digest()
 
-    later: the slice has an earlier equal chunk; such a row has no bytes, and its hashes are only a key of its own."""
 
-    def run(column, ids, hashes):
-        ids, hashes = ids.to_numpy(), hashes.to_numpy()
-        seen: dict[bytes, tuple[int, int, int]] = {}
-        found: list[tuple[tuple[int, int, int], int, bytes]] = []
-        for i, t in enumerate(common.to_bytes(column)):
-            if not t or b"\n" not in t:
-                continue
-            lines, edges = cut(t)
-            for a, b in zip(edges, edges[1:]):
-                if b - a >= LEAST_LINES and sum(not x.isspace() and x != b"" for x in lines[a:b]) >= LEAST_LINES:
-                    chunk, place = b"\n".join(lines[a:b]), (int(ids[i]), int(hashes[i]), a)
-                    found.append((place, b - a, chunk))
-                    if chunk not in seen or place < seen[chunk]:
-                        seen[chunk] = place
-        cols: dict[str, list] = {k: [] for k in ("h1", "h2", "later", "_id", "_hash", "line", "lines", "chunk")}
-        for place, n, chunk in found:
-            later = place != seen[chunk]
-            if later:
-                h1, h2 = xxhash.xxh3_64_intdigest(repr(place).encode()), place[2]
-            else:
-                h = xxhash.xxh3_128_intdigest(chunk)
-                h1, h2 = h >> 64, h & (1 << 64) - 1
-            row = (h1, h2, later, *place, n, None if later else chunk)
-            for c, v in zip(cols.values(), row):
-                c.append(v)
-        return {
-            "h1": common.signed(np.array(cols["h1"], np.uint64)),
-            "h2": common.signed(np.array(cols["h2"], np.uint64)),
-            "later": np.array(cols["later"], bool),
-            **{k: np.array(cols[k], np.int64) for k in ("_id", "_hash", "line", "lines")},
-            "chunk": pa.array(cols["chunk"], pa.binary()),
-        }
+Place = tuple[int, int, int, int]
+
+
+def _later(place: Place, first: Place) -> bool:
+    """Whether `first` (id, hash, line, lines) is an earlier occurrence that `place` doesn't overlap."""
+    return place > first and (place[:2] != first[:2] or place[2] >= first[2] + first[3])
+
 
-    ddl = "h1 long, h2 long, later boolean, _id long, _hash long, line int, lines int, chunk binary"
-    return common.explode_texts(df, _keys(text, doc_id), text, run, ddl)
+class Repeats:
+    """Tells of each (key, place) of a slice whether it is known to be a later one: from the slice itself, or from keys that the
+    task has met repeatedly in earlier slices.  What it remembers is bounded; forgetting costs rows, never results."""
 
+    def __init__(self):
+        self.first: dict[bytes, Place] = {}
 
-def pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """key, later, _id, _hash, line and lines of the pairs of neighbouring lines with words of every whole text.
+    def settle(self, found: list[tuple[bytes, Place]]) -> list[bool]:
+        own: dict[bytes, Place] = {}
+        several: set[bytes] = set()
+        for key, place in found:
+            if key in own:
+                several.add(key)
+                if place >= own[key]:
+                    continue
+            own[key] = place
+        low = {k: min(p, self.first.get(k, p)) for k, p in own.items()}
+        made = [_later(place, low[key]) for key, place in found]
+        if len(self.first) + len(several) > common.REMEMBERED:
+            self.first.clear()
+        for key in several:
+            self.first[key] = low[key]
+        for key in own.keys() & self.first.keys():
+            self.first[key] = low[key]
+        return made
 
-    later: the slice has an earlier equal pair that doesn't overlap; such a row's key is its own."""
+
+def occurrences(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """key, later, _id, _hash, line and lines of the chunks of every whole text, and of its pairs of neighbouring lines with words
+    outside of chunks that are known to be repeats.
+
+    later: an earlier one is known; such a row's key is its own."""
+    chunks, pairs = Repeats(), Repeats()
 
     def run(column, ids, hashes):
-        ids, hashes = ids.to_numpy(), hashes.to_numpy()
-        seen: dict[bytes, tuple[int, int, int, int]] = {}
-        found: list[tuple[bytes, tuple[int, int, int, int]]] = []
+        ids, hashes = ids.to_numpy().tolist(), hashes.to_numpy().tolist()
+        texts, found = [], []
         for i, t in enumerate(common.to_bytes(column)):
             if not t or b"\n" not in t:
                 continue
             lines = t.split(b"\n")
+            edges = cut(lines)
+            texts.append((i, lines, edges))
+            for a, b in zip(edges, edges[1:]):
+                if sum(x != b"" and not x.isspace() for x in lines[a:b]) >= LEAST_LINES:
+                    found.append((_digest(b"\n".join(lines[a:b]), b"chunk"), (ids[i], hashes[i], a, b - a)))
+        later = chunks.settle(found)
+        rows = list(zip(found, later))
+        gone = {place[:3] for (_, place), known in rows if known}
+        found = []
+        for i, lines, edges in texts:
             worded = [k for k, x in enumerate(lines) if x and not x.isspace()]
-            for a, b in zip(worded, worded[1:]):
-                pair = lines[a] + b"\n" * (b - a) + lines[b] if not any(lines[a + 1 : b]) else b"\n".join(lines[a : b + 1])
-                key, place = hashlib.blake2b(pair, digest_size=32).digest(), (int(ids[i]), int(hashes[i]), a, b - a + 1)
-                found.append((key, place))
-                if key not in seen or place < seen[key]:
-                    seen[key] = place
-        later = [p[:2] != (q := seen[k])[:2] or p[2] >= q[2] + q[3] for k, p in found]
-        own = lambda p: hashlib.blake2b(repr(p).encode(), digest_size=32, person=b"place").digest()
-        at = np.array([p for _, p in found], np.int64).reshape(-1, 4)
+            chunk, at = np.searchsorted(edges, worded, "right") - 1, (ids[i], hashes[i])
+            inside = [(*at, edges[c]) in gone for c in chunk.tolist()]
+            for k, (a, b) in enumerate(zip(worded, worded[1:])):
+                if not (inside[k] and chunk[k] == chunk[k + 1]):
+                    found.append((_digest(b"\n".join(lines[a : b + 1]), b"pair"), (*at, a, b - a + 1)))
+        rows += zip(found, pairs.settle(found))
+        at = np.array([place for (_, place), _ in rows], np.int64).reshape(-1, 4)
         return {
-            "key": pa.array([own(p) if x else k for (k, p), x in zip(found, later)], pa.binary()),
-            "later": np.array(later, bool),
+            "key": pa.array([_digest(repr(place).encode(), b"place") if known else key for (key, place), known in rows], pa.binary()),
+            "later": np.array([known for _, known in rows], bool),
             **{k: at[:, i] for i, k in enumerate(("_id", "_hash", "line", "lines"))},
         }
 
     return common.explode_texts(df, _keys(text, doc_id), text, run, "key binary, later boolean, _id long, _hash long, line int, lines int")
 
 
-def repeated_pairs(found: DataFrame) -> DataFrame:
-    """_id, _hash and `gone`, an array of (line, lines): the pairs that have an earlier occurrence that they don't overlap."""
+def repeated(found: DataFrame) -> DataFrame:
+    """_id, _hash and `gone`, an array of (line, lines): what has an earlier occurrence that it doesn't overlap."""
     from pyspark.sql import Window
 
     first = F.min(F.struct("_id", "_hash", "line", "lines")).over(Window.partitionBy("key"))
@@ -139,29 +149,12 @@ def repeated_pairs(found: DataFrame) -> DataFrame:
     return rows.groupBy("_id", "_hash").agg(F.collect_set(F.struct("line", "lines")).alias("gone"))
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """_id, _hash and `gone`, an array of (line, lines): the chunks that aren't the first of their bytes."""
-    from pyspark.sql import Window
-
-    place = F.struct("_id", "_hash", "line")
-    first = F.min(place).over(Window.partitionBy("h1", "h2", "chunk"))
-    rows = found.withColumn("first", first).where(F.col("later") | (place != F.col("first")))
-    return rows.groupBy("_id", "_hash").agg(F.collect_set(F.struct("line", "lines")).alias("gone"))
-
-
-def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`keep`, n_lines, n_removed and `kept` (the text without its repeated chunks) of every row of `df`."""
-    return _without(df, repeated(chunks(df, text, doc_id)), keep, text, doc_id)
-
-
-def deduplicate_runs(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`keep`, n_lines, n_removed and `kept` (the text without its repeated runs of lines) of every row of `df`."""
-    return _without(df, repeated_pairs(pairs(df, text, doc_id)), keep, text, doc_id)
-
+def deduplicate(df: DataFrame, keep: dict[str, Column], text: str = "text", doc_id: str = "doc_id", gone: DataFrame | None = None) -> DataFrame:
+    """`keep`, n_lines, n_removed and `kept` (the text without its repeated chunks and runs of lines) of every row of `df`.
 
-def _without(df: DataFrame, gone: DataFrame, keep: dict[str, Column], text: str, doc_id: str) -> DataFrame:
-    spark = df.sparkSession
-    gone = common.materialize(gone, "gone")
+    gone: the written table of `repeated`, which is made here if it isn't given."""
+    if gone is None:
+        gone = common.materialize(repeated(occurrences(df, text, doc_id)), "gone")
     names = {f"c{i}": c for i, c in enumerate(keep.values())}
     key = _keys(text, doc_id)
     rows = df.select(*[c.alias(k) for k, c in (names | key).items()], F.col(text).cast("string").alias("t"))
@@ -199,5 +192,6 @@ def _without(df: DataFrame, gone: DataFrame, keep: dict[str, Column], text: str,
 
 def removals(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 of every document."""
-    made = deduplicate_runs(documents, {"doc_id": F.col("doc_id")})
-    return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    gone = common.materialize(repeated(occurrences(documents)), "gone")
+    made = deduplicate(documents, {"doc_id": F.col("doc_id")}, gone=gone)
+    return common.finish(made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")), "removals", gone)

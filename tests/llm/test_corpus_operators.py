@@ -219,38 +219,47 @@ def test_substrings_of_odd_rows(odd, empty):
 # --- line dedup ------------------------------------------------------------------------------------------------------
 
 
-def lines_by_hand(rows):
-    seen, out = set(), {}
-    for d, t in sorted(rows):
-        lines, edges = line_dedup.cut(t.encode())
-        keep = []
-        for a, b in zip(edges, edges[1:]):
-            chunk = b"\n".join(lines[a:b])
-            if sum(bool(x.strip()) for x in lines[a:b]) >= 2:
-                if chunk in seen:
-                    continue
-                seen.add(chunk)
-            keep += lines[a:b]
-        out[d] = b"\n".join(keep).decode()
-    return out
-
-
-def test_lines_by_hand(spark, documents, monkeypatch):
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    rows += [(1000 + i, "\n".join(f"line {(i * 3 + j) % 40} of a shared list" for j in range(25))) for i in range(20)]
-    want = lines_by_hand(rows)
-    for most in (1 << 20, 300):
-        monkeypatch.setattr(common.slices, "__defaults__", (most,))
-        got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), {"doc_id": F.col("doc_id")}).collect()
-        assert {r["doc_id"]: r["kept"] for r in got} == want
-    assert any(want[d] != t for d, t in rows)
+def cut_by_hand(lines):
+    """The rule of the boundaries in plain integers."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    chunks, now, last = [], [], 0
+    for i, x in enumerate(lines):
+        h = xxhash.xxh3_64_intdigest(x)
+        now.append(x)
+        rolled = (h * 0x9E3779B97F4A7C15 + last) & mask if i else h
+        last = h
+        if sum(bool(y.strip()) for y in now) >= 2 and (mixed(rolled) % 3 == 0 or len(now) >= 64):
+            chunks.append(now)
+            now = []
+    if chunks and sum(bool(y.strip()) for y in now) < 2:
+        chunks[-1] = chunks[-1] + now
+    elif now:
+        chunks.append(now)
+    return chunks
+
+
+def test_cuts_by_hand(documents):
+    rng = random.Random(8)
+    texts = [r["text"].encode() for r in documents.collect()]
+    texts += [b"\n".join(rng.choice([b"", b" ", b"one", b"two", b"three %d" % rng.randint(0, 9)]) for _ in range(rng.randint(1, 200))) for _ in range(200)]
+    for t in texts:
+        lines = t.split(b"\n")
+        edges = line_dedup.cut(lines)
+        assert [lines[a:b] for a, b in zip(edges, edges[1:])] == cut_by_hand(lines)
 
 
 def test_cuts_don_t_depend_on_what_stands_before():
-    lines = [f"some line {i}" for i in range(60)]
-    _, a = line_dedup.cut("\n".join(lines).encode())
-    _, b = line_dedup.cut("\n".join(["new first line", *lines]).encode())
-    assert len({x + 1 for x in a} & set(b)) >= len(a) - 2
+    lines = [b"some line %d" % i for i in range(200)]
+    a, b = line_dedup.cut(lines), line_dedup.cut([b"new first line", *lines])
+    assert len({x + 1 for x in a} & set(b)) >= 0.9 * len(a)
 
 
 def test_lines_of_odd_rows(odd, empty):
@@ -262,12 +271,17 @@ def test_lines_of_odd_rows(odd, empty):
 def runs_by_hand(rows):
     """Of every document, the text without the lines of all runs of lines that stand earlier, without overlap, as well."""
     docs = [(d, t.split("\n")) for d, t in sorted(rows)]
+    places: dict = {}
+    for e, (_, lines) in enumerate(docs):
+        for b, x in enumerate(lines):
+            if x.strip():
+                places.setdefault(x, []).append((e, b))
     out = []
     for d, (doc, lines) in enumerate(docs):
         gone = set()
         for a in range(len(lines)):
-            for e in range(d + 1):
-                for b in range(a if e == d else len(docs[e][1])):
+            for e, b in places.get(lines[a], ()):
+                if (e, b) < (d, a):
                     k = 0
                     while a + k < len(lines) and b + k < (a if e == d else len(docs[e][1])) and lines[a + k] == docs[e][1][b + k]:
                         k += 1
@@ -292,10 +306,24 @@ def test_all_repeated_runs_of_lines_go(spark, monkeypatch):
     rng.shuffle(rows)
     for most in (1 << 20, 300):
         monkeypatch.setattr(common.slices, "__defaults__", (most,))
-        got = line_dedup.deduplicate_runs(spark.createDataFrame(rows, "doc_id long, text string"), {"doc_id": F.col("doc_id")}).collect()
+        got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), {"doc_id": F.col("doc_id")}).collect()
         assert sorted((r["doc_id"], r["kept"]) for r in got) == want
 
 
+def test_lines_of_documents_by_hand(documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    got = line_dedup.deduplicate(documents, {"doc_id": F.col("doc_id")}).collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in got) == runs_by_hand(rows)
+    assert any(r["n_removed"] for r in got)
+
+
+def test_hot_chunks_send_few_rows(spark):
+    """A chunk that every text holds: all but a few of its rows travel under keys of their own, and its pairs aren't sent at all."""
+    rows = [(i, f"own {i} a\nown {i} b\n" + "\n".join(f"hot {j}" for j in range(12))) for i in range(4000)]
+    found = line_dedup.occurrences(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).toPandas()
+    assert found.key.value_counts().max() <= 20 and len(found) < 4000 * 11
+
+
 def test_query_of_lines_removes_a_copied_passage(spark):
     rows = [(i, f"before {i}\nfirst shared line\nsecond shared line\nafter {i}") for i in range(20)]
     got = line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from peerlens.llm import common, quality_rules, secret_scan
 
-from .test_corpus_operators import classes_by_hand, lines_by_hand
+from .test_corpus_operators import classes_by_hand, runs_by_hand
 
 
 def rows(df):
@@ -26,7 +26,7 @@ def test_stages(spark, sf_dir, documents):
     assert all(r["n_chars"] == len(r["text"]) for r in rows(made).values())
 
     docs, made = made, common.materialize(stages["line_dedup"](spark, made, sf_dir), "t")
-    cut = lines_by_hand([(i, r["text"]) for i, r in rows(docs).items()])
+    cut = dict(runs_by_hand([(i, r["text"]) for i, r in rows(docs).items()]))
     assert {i: r["text"] for i, r in rows(made).items()} == {i: t for i, t in cut.items() if t.split()} and made.columns == documents.columns
 
     docs, made = made, common.materialize(stages["jaccard_join"](spark, made, sf_dir), "t")
