@@ -307,6 +307,14 @@ class Repeats:
         own = mix(key ^ mix(at.hashes.view(np.uint64) ^ at.pos.astype(np.uint64)))
         return np.where(flag == 2, own % np.uint64(SPREAD), key), flag
 
+    def learn(self, key: np.ndarray, several: np.ndarray) -> np.ndarray:
+        """Where keys without places are known from earlier slices; those of `several` are from now on."""
+        known = self._known(key)[1]
+        new = np.unique(key[several & ~known])
+        none = np.zeros(len(new), np.int64)
+        self._learn(new, Places(none, none, none), np.ones(len(new), bool))
+        return known
+
     def _learn(self, key: np.ndarray, at: Places, new: np.ndarray) -> None:
         if not new.any():
             return

@@ -22,7 +22,8 @@ def _signature(e: DataFrame) -> tuple[int, int]:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link, from links with columns a and b; root is the component's smallest node."""
+    """A written table (node, root) of every node with a link, from links with columns a and b; root is the component's smallest
+    node.  Links that still change after MOST_ROUNDS rounds raise an error."""
     e = links.where(F.col("a") != F.col("b"))
     e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = common.materialize(e, "links")
@@ -46,6 +47,7 @@ def connected(links: DataFrame) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"links still change after {MOST_ROUNDS} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+    made = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    return common.finish(made, "roots", e)

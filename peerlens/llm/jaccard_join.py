@@ -15,8 +15,9 @@ under these links.
    member's other tokens, either of which may hold the other's first ones) reaches what the block's sizes need, unless the block's members are all in its own component already.  Opened blocks are
    compared exactly, and components follow again.
 
-Groups and query lists are split into blocks of bounded size, frequent tokens are counted and marked within a slice of
-texts before the shuffle, and only a spanning set of links leaves a block.
+Groups are split into blocks of about `BLOCK` sets and `BLOCK_TOKENS` tokens, dealt by hash (a longer set makes a block of its own
+size), and query lists into chunks of about `QUERIES`.  Frequent tokens are counted and marked where they are met, so that few
+rows of one token meet in a task, and only a spanning set of links leaves a block.
 
 Null texts count as texts without words.  A null id orders after every other id and is never a smaller id's component;
 repeated rows, and rows that share an id, are documents of their own.  An empty table gives an empty table; other columns
@@ -37,8 +38,8 @@ from .components import connected
 SHINGLE, PERCENT = 5, 80
 #: Tokens that so many first parts hold come last in the order; at most so many tokens are broadcast as such.
 FREQUENT, MOST_FREQUENT = 10, 500_000
-#: Sets of a block; queries of a block that one task answers.
-BLOCK, QUERIES = 128, 1024
+#: Sets and tokens of a block, on average; queries of a block that one task answers, on average.
+BLOCK, BLOCK_TOKENS, QUERIES = 128, 1 << 22, 256
 _NO_ID = 2**63 - 1
 
 
@@ -115,7 +116,9 @@ def frequent_tokens(df: DataFrame, text: str = "text") -> np.ndarray:
             break
         least = s
     top = often.where(F.floor(F.log2("n")) >= least).select("token")
-    return np.sort(top.toArrow().column("token").to_numpy().view(np.uint64))
+    made = np.sort(top.toArrow().column("token").to_numpy().view(np.uint64))
+    common.drop_tables(often)
+    return made
 
 
 def first_tokens(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -142,8 +145,10 @@ def first_tokens(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def signatures(df: DataFrame, frequent: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """_id, text_hash, n, f1, f2, and for the first row of a set in a slice its first tokens, with `often` where the slice has the
-    token in another set as well (2: not this set's row that stands for the slice)."""
+    token in another set as well (2: not this set's row that stands for the slice, or the task has had the token in two sets of an
+    earlier slice)."""
     spec = df.sparkSession.sparkContext.broadcast(frequent)
+    met = common.Repeats()
 
     def run(column, ids, text_hash):
         sets = token_sets(common.to_bytes(column))
@@ -160,6 +165,7 @@ def signatures(df: DataFrame, frequent: np.ndarray, text: str = "text", doc_id:
         _, first, inverse, n = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
         often = np.where(n[inverse] > 1, 2, 0).astype(np.int8)
         often[first] = (n > 1).astype(np.int8)
+        often[met.learn(flat, n[inverse] > 1)] = 2
         ends = np.cumsum([len(p) for p in parts])[:-1]
         return {
             "_id": ids,
@@ -195,12 +201,13 @@ def groups(shared: DataFrame) -> DataFrame:
     sets = shared.join(often, "token").groupBy("f1", "f2")
     sets = sets.agg(F.first("n").alias("n"), F.max(F.struct("c", "token"))["token"].alias("g"), F.count_distinct("token").alias("share"))
     sets = common.materialize(sets, "sets")
-    large = sets.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where(F.col("blocks") > 1)
-    large = common.materialize(large, "large")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int")
+    large = sets.groupBy("g").agg(blocks.alias("blocks")).where(F.col("blocks") > 1)
     blocks = F.coalesce("blocks", F.lit(1))
-    return sets.join(large, "g", "left").select(
+    made = sets.join(large, "g", "left").select(
         "f1", "f2", "n", "share", "g", blocks.alias("blocks"), F.pmod(F.xxhash64("f2"), blocks).cast("int").alias("block")
     )
+    return common.finish(made, "groups", sets)
 
 
 def with_texts(df: DataFrame, sets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -321,8 +328,7 @@ def queries_of(shared: DataFrame, sets: DataFrame) -> DataFrame:
     tokens = shared.select("token", "f1", "f2", "n").join(sets.select("f1", "f2", "g", "block", "root"), ["f1", "f2"])
     tokens = common.materialize(tokens, "tokens")
     crossing = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    all_tokens, tokens = tokens, common.materialize(tokens.join(crossing, "token", "left_semi"), "crossing")
-    common.drop_tables(all_tokens)
+    tokens = common.finish(tokens.join(crossing, "token", "left_semi"), "crossing", tokens)
     matrix = tokens.groupBy("token", F.col("g").alias("og"), F.col("block").alias("ob")).agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")
     )
@@ -341,45 +347,41 @@ def queries_of(shared: DataFrame, sets: DataFrame) -> DataFrame:
     high = F.least(F.col("most"), F.floor(100 * n / PERCENT))
     larger = (100 + PERCENT) * (100 * (shared - 1) + PERCENT * high + 99) >= 100 * PERCENT * (n + high)
     qualifies = smaller | larger
-    return met.where(qualifies).select("f1", "f2", F.col("og").alias("g"), F.col("ob").alias("block"))
+    return common.finish(met.where(qualifies).select("f1", "f2", F.col("og").alias("g"), F.col("ob").alias("block")), "queries", tokens)
 
 
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """((_id, text_hash, n, f1, f2) of every row, (f1, f2, _id, text_hash, root, component) of every set, _id and text_hash being
-    those of the row that stands for it): a document's component is its set's."""
-    spark = df.sparkSession
+    those of the row that stands for it): a document's component is its set's.  Both are written tables."""
     signed = common.materialize(signatures(df, frequent_tokens(df, text), text, doc_id), "signatures")
     shared = common.materialize(shared_tokens(signed), "shared")
-    rows = common.materialize(signed.drop("tokens", "often"), "rows")
-    common.drop_tables(signed)
-    del signed
+    rows = common.finish(signed.drop("tokens", "often"), "rows", signed)
     first = rows.where(F.col("n") > 0).groupBy("f1", "f2").agg(F.min(F.struct("_id", "text_hash")).alias("r"))
     every = common.materialize(first.select("f1", "f2", "r.*"), "every")
-    sets = groups(shared).join(every, ["f1", "f2"])
-    sets = common.materialize(with_texts(df, sets, text, doc_id), "members")
+    grouped = groups(shared)
+    sets = common.finish(with_texts(df, grouped.join(every, ["f1", "f2"]), text, doc_id), "members", grouped)
     plain = sets.drop("t").dropDuplicates(["f1", "f2"])
 
     # the sets of a block with each other, and with the most central set of a group of several blocks
     central = plain.where(F.col("blocks") > 1).groupBy("g", "blocks").agg(F.max(F.struct("share", "f1", "f2")).alias("c"))
     central = central.select("g", F.col("c.f1").alias("f1"), F.col("c.f2").alias("f2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
-    central = common.materialize(central.where(F.col("to") != F.pmod(F.xxhash64("f2"), "blocks")), "central")
-    central = sets.drop("block").join(central, ["g", "f1", "f2"]).select(
+    hubs = common.materialize(central.where(F.col("to") != F.pmod(F.xxhash64("f2"), "blocks")), "central")
+    central = sets.drop("block").join(hubs, ["g", "f1", "f2"]).select(
         "g", F.col("to").alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("role"), "_id", "f1", "f2", "t"
     )
     several = plain.groupBy("g", "block").agg(F.count("*").alias("k"), F.max("blocks").alias("m")).where((F.col("k") > 1) | (F.col("m") > 1))
     several = common.materialize(several.select("g", "block"), "several")
     members = sets.join(several, ["g", "block"], "left_semi")
     members = members.withColumns({"role": F.lit(0), "chunk": F.lit(0)}).select(*central.columns)
-    links = common.materialize(compare(members.union(central), within=True), "within")
+    links = common.finish(compare(members.union(central), within=True), "within", hubs, several)
 
-    roots = common.materialize(connected(links), "roots").select("node.f1", "node.f2", "root")
+    found = connected(links)
     own = F.struct(F.col("_id").alias("d"), "f1", "f2")
-    placed = plain.join(roots, ["f1", "f2"], "left").withColumn("root", F.coalesce("root", own))
+    placed = plain.join(found.select("node.f1", "node.f2", "root"), ["f1", "f2"], "left").withColumn("root", F.coalesce("root", own))
 
     # queries to other blocks
-    asked = common.materialize(queries_of(shared, placed), "queries")
-    common.drop_tables(shared)
-    del shared, placed
+    asked = queries_of(shared, placed)
+    common.drop_tables(shared, found)
     chunks = asked.groupBy("g", "block").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("chunks"))
     chunks = common.materialize(chunks, "chunks")
     opened = sets.join(chunks, ["g", "block"])
@@ -387,12 +389,13 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[
     queries = asked.join(chunks, ["g", "block"]).withColumn("chunk", F.pmod(F.xxhash64("f1"), "chunks").cast("int")).withColumn("role", F.lit(1))
     queries = queries.join(sets.select("f1", "f2", "_id", "t"), ["f1", "f2"])
     cols = ["g", "block", "chunk", "role", "_id", "f1", "f2", "t"]
-    more = common.materialize(compare(opened.select(*cols).union(queries.select(*cols)), within=False), "between")
-    common.drop_tables(sets)
-    linked = connected(links.union(more)).select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), "root")
-    of_set = every.join(linked, ["f1", "f2"], "left").withColumn("root", F.coalesce("root", F.struct(F.col("_id").alias("d"), "f1", "f2")))
+    more = common.finish(compare(opened.select(*cols).union(queries.select(*cols)), within=False), "between", sets, asked, chunks)
+    linked = connected(links.union(more))
+    common.drop_tables(links, more)
+    named = linked.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), "root")
+    of_set = every.join(named, ["f1", "f2"], "left").withColumn("root", F.coalesce("root", F.struct(F.col("_id").alias("d"), "f1", "f2")))
     of_set = of_set.select("f1", "f2", "_id", "text_hash", "root", F.col("root.d").alias("component"))
-    return rows, common.materialize(of_set, "components")
+    return rows, common.finish(of_set, "components", every, linked)
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -401,9 +404,10 @@ def join(documents: DataFrame) -> DataFrame:
     back = lambda c: F.when(c != _NO_ID, c)
     full = signed.where(F.col("n") > 0).join(of_set.select("f1", "f2", "component"), ["f1", "f2"]).select("_id", "n", "component")
     empty = signed.where(F.col("n") == 0).select("_id", "n", F.col("_id").alias("component"))
-    return full.union(empty).select(
+    made = full.union(empty).select(
         back(F.col("_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), back(F.col("component")).alias("component_id")
     )
+    return common.finish(made, "joined", signed, of_set)
 
 
 def representatives(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -419,7 +423,7 @@ def representatives(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     key = ["_id", "text_hash"]
     # of repeated rows one stays; the join has sorted by the key already
     first = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    kept = named.join(common.materialize(stay, "stay"), key, "left_semi").withColumn("_first", first).where(F.col("_first") == 1)
+    kept = named.join(common.finish(stay, "stay", rows, of_set), key, "left_semi").withColumn("_first", first).where(F.col("_first") == 1)
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 

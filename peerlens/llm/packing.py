@@ -310,7 +310,8 @@ def packed(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece of every document."""
     cut = common.materialize(pieces(documents, {"doc_id": F.col("doc_id")}, path=path), "pieces")
     made = pack(cut, ["doc_id", "start", "doc_tokens", "ids_crc32"])
-    return made.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    made = made.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return common.finish(made, "packed", cut)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

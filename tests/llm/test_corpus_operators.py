@@ -383,6 +383,35 @@ def test_join_by_hand(spark, monkeypatch, small):
     assert sorted(str(tuple(r)) for r in jaccard_join.join(df).select("doc_id", "n_shingles", "component_id").collect()) == classes_by_hand(rows)
 
 
+def test_join_of_odd_rows(spark, odd, empty):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    got = jaccard_join.join(odd)
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got.collect()) == classes_by_hand(rows)
+    assert jaccard_join.join(empty).count() == 0
+    few = [(i, "a b c d e") for i in range(5)] + [(9, "x " * 200_000), (10, "x " * 200_001), (11, "y x " * 100_000 + "z")]
+    got = jaccard_join.join(spark.createDataFrame(few, "doc_id long, text string"))
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got.collect()) == classes_by_hand(few)
+
+
+@pytest.mark.parametrize("tokens", [1, 200])
+def test_blocks_are_bounded_by_tokens(spark, monkeypatch, tokens):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", tokens)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:100 + i % 20])) for i in range(30)] + [(50 + i, " ".join(base[60:] + [f"o{i}"])) for i in range(4)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got.collect()) == classes_by_hand(rows)
+
+
+def test_work_tables_are_deleted(spark, documents):
+    import pathlib
+
+    for query in (jaccard_join.join, substring_dedup.removals, line_dedup.removals, packing.packed):
+        before = set(pathlib.Path(common.shared_dir(spark).removeprefix("file:")).iterdir())
+        query(documents)
+        left = set(pathlib.Path(common.shared_dir(spark).removeprefix("file:")).iterdir()) - before
+        assert len(left) == 1, left
+
+
 def test_copies_with_shared_appendices_link(spark):
     """Copies with an appended passage that a cluster of its own has too: they start with that cluster's tokens, and the
     smaller copy has to open their block although it shares few first tokens with them."""
