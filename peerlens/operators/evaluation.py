@@ -13,6 +13,15 @@ STRATA = (("rebrand", 20), ("weak_domain", 15), ("easy", 20), ("random", 25))
 #: Generic endings of domains.
 WEAK_ENDINGS = (".co", ".io", ".ai", ".app", ".xyz", ".tech", ".tools")
 EASY_TEAM_SIZE = 50
+#: The columns by which a label shows a directory row and a registry row.
+LABEL_DIRECTORY = (
+    "name", "name_norm", "domain", "website", "one_liner", "long_description", "industries", "subindustry", "tags", "founded_year",
+    "team_size", "country", "regions", "locations", "yc_batch", "former_names", "yc_url",
+)
+LABEL_REGISTRY = (
+    "record_id", "name", "name_norm", "domain", "website", "one_liner", "industries", "founded_year", "country", "locations",
+    "num_employees_enum", "funding_total", "founders", "linkedin", "operating_status", "permalink",
+)
 
 
 def strata(directory: DataFrame) -> DataFrame:
@@ -96,19 +105,25 @@ def label_template(directory: DataFrame, chosen: DataFrame, resolutions: DataFra
     cols = ("registry_id", "registry_name", "registry_domain", "registry_year", "match_method", "via_former")
     rank = F.row_number().over(Window.partitionBy("directory_id").orderBy("registry_id"))
     first = found.withColumn("r", rank).where(F.col("r") <= most).groupBy("directory_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("candidates"))
+    # the labels of one template are a sample of fixed size
     rows = chosen.withColumnRenamed("record_id", "directory_id").join(resolutions, "directory_id").join(first, "directory_id", "left")
     return rows.select("directory_id", "directory_name", "stratum", "status", "n_matches", "candidates").orderBy("stratum", "directory_name", "directory_id")
 
 
 def enriched_template(template: DataFrame, directory: DataFrame, registry: DataFrame, near: DataFrame) -> DataFrame:
-    """The template with full directory rows, full candidates, and near matches of the absent rows."""
-    whole = directory.select(F.col("record_id").alias("directory_id"), "name_norm", F.struct(*directory.columns).alias("directory_row"))
-    row = registry.select(F.col("record_id").alias("registry_id"), F.struct(*registry.columns).alias("registry_row"))
+    """The template with the directory row, the candidates by registry id, and the near matches of absent rows by rank.
+
+    Rows are shown by LABEL_DIRECTORY and LABEL_REGISTRY; a column that a table lacks is null."""
+    if "source_url" in directory.columns:
+        directory = directory.withColumn("yc_url", F.col("source_url"))
+    shown = lambda df, cols: F.struct(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in cols])
+    whole = directory.select(F.col("record_id").alias("directory_id"), "name_norm", shown(directory, LABEL_DIRECTORY).alias("directory_row"))
+    row = registry.select(F.col("record_id").alias("registry_id"), shown(registry, LABEL_REGISTRY).alias("registry_row"))
     cands = template.select("directory_id", F.explode("candidates").alias("c")).select("directory_id", F.col("c.registry_id").alias("registry_id"), "c.match_method")
-    cands = cands.join(row, "registry_id").groupBy("directory_id").agg(F.collect_list(F.struct("registry_row", "match_method")).alias("candidate_rows"))
-    hits = near.join(row, "registry_id").groupBy(F.col("target").alias("name_norm")).agg(F.collect_list(F.struct("rank", "registry_row")).alias("near_rows"))
+    cands = cands.join(row, "registry_id").groupBy("directory_id").agg(F.array_sort(F.collect_list(F.struct("registry_id", "match_method", "registry_row"))).alias("candidate_rows"))
+    hits = near.join(row, "registry_id").groupBy(F.col("target").alias("name_norm")).agg(F.array_sort(F.collect_list(F.struct("rank", "registry_row"))).alias("near_rows"))
     out = template.join(whole, "directory_id").join(cands, "directory_id", "left").join(hits, "name_norm", "left")
-    return out.withColumn("near_rows", F.when(F.col("status") == STATUSES[2], F.array_sort("near_rows")))
+    return out.withColumn("near_rows", F.when(F.col("status") == STATUSES[2], F.col("near_rows")))
 
 
 def crossed(template: DataFrame) -> DataFrame:

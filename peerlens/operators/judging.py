@@ -33,6 +33,25 @@ def extract_criteria(seeds: DataFrame, provider: CriteriaProvider = criteria_fro
     return provider(seeds)
 
 
+def cached_or_extracted(seeds: DataFrame, cache: DataFrame, provider: CriteriaProvider = criteria_from_tags) -> DataFrame:
+    """Criteria from a cache (cache_key, fingerprint, criteria: array of criterion_id, text, rationale); the provider is asked for
+    the seeds that it lacks, or has under another fingerprint, only."""
+    hits = criteria_keys(seeds).join(cache.select("cache_key", "fingerprint", "criteria"), ["cache_key", "fingerprint"]).select("seed_id", F.explode("criteria").alias("c"))
+    hits = hits.select("seed_id", *[F.col(f"c.{c}").alias(c) for c in ("criterion_id", "text", "rationale")])
+    return hits.union(provider(seeds.join(hits.select("seed_id"), "seed_id", "left_anti")).select(*hits.columns))
+
+
+def cache_entries(seeds: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Rows for the cache: cache_key, fingerprint, criteria."""
+    lists = criteria.groupBy("seed_id").agg(F.array_sort(F.collect_list(F.struct("criterion_id", "text", "rationale"))).alias("criteria"))
+    return criteria_keys(seeds).join(lists, "seed_id").select("cache_key", "fingerprint", "criteria")
+
+
+def verify_candidates(candidates: DataFrame, criteria: DataFrame, judge: Judge | None = None) -> DataFrame:
+    """The verdicts of a judge, the offline one by default."""
+    return (judge or judge_by_terms)(candidates, criteria)
+
+
 def criteria_keys(seeds: DataFrame, version: str = "1") -> DataFrame:
     """seed_id, cache_key, fingerprint: the keys under which criteria are cached; a changed prompt makes a miss."""
     asked = F.coalesce("user_query", F.lit("")) if "user_query" in seeds.columns else F.lit("")

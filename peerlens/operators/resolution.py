@@ -39,17 +39,18 @@ def name_hits(directory: DataFrame, registry: DataFrame) -> DataFrame:
     return d.join(r, "key").select("directory_id", "registry_id", "is_former", "registry_year", F.coalesce(near, F.lit(False)).alias("agrees"))
 
 
-def name_year_matches(directory: DataFrame, registry: DataFrame) -> DataFrame:
-    """directory_id, registry_id, by_current, by_former: equal names with agreeing years."""
-    hits = name_hits(directory, registry).where("agrees").groupBy("directory_id", "registry_id")
+def name_year_matches(directory: DataFrame, registry: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """directory_id, registry_id, by_current, by_former: equal names with agreeing years.  hits: `name_hits`, if at hand."""
+    hits = name_hits(directory, registry) if hits is None else hits
+    hits = hits.where("agrees").groupBy("directory_id", "registry_id")
     return hits.agg(F.max(~F.col("is_former")).alias("by_current"), F.max("is_former").alias("by_former"))
 
 
-def matches(directory: DataFrame, registry: DataFrame) -> DataFrame:
-    """One row for each candidate pair with its evidence."""
+def matches(directory: DataFrame, registry: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """One row for each candidate pair with its evidence.  hits: `name_hits`, if at hand."""
     no, yes = F.lit(False), F.lit(True)
     found = domain_matches(directory, registry).select("directory_id", "registry_id", yes.alias("d"), no.alias("c"), no.alias("f"))
-    named = name_year_matches(directory, registry).select("directory_id", "registry_id", no.alias("d"), F.col("by_current").alias("c"), F.col("by_former").alias("f"))
+    named = name_year_matches(directory, registry, hits).select("directory_id", "registry_id", no.alias("d"), F.col("by_current").alias("c"), F.col("by_former").alias("f"))
     pairs = found.union(named).groupBy("directory_id", "registry_id").agg(
         F.max("d").alias("domain_match"), F.max("c").alias("by_current"), F.max("f").alias("by_former")
     )
@@ -64,15 +65,18 @@ def matches(directory: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def resolve(directory: DataFrame, registry: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """directory_id, directory_name, status, n_matches, failure_reason and cross_name_split of every directory row."""
-    found = matches(directory, registry) if found is None else found
+def resolve(directory: DataFrame, registry: DataFrame, found: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """directory_id, directory_name, status, n_matches, failure_reason and cross_name_split of every directory row.
+
+    found and hits: `matches` and `name_hits`, if at hand (written or persisted, they are computed once)."""
+    hits = name_hits(directory, registry) if hits is None else hits
+    found = matches(directory, registry, hits) if found is None else found
     current = F.col("domain_match") | F.col("by_current")
     per = found.groupBy("directory_id").agg(
         F.count("*").alias("n_matches"), F.max(current).alias("any_current"), F.max("by_former").alias("any_former"),
         F.max(current & F.col("by_former")).alias("any_both"),
     )
-    named = name_hits(directory, registry).groupBy("directory_id").agg(F.max(F.col("registry_year").isNull()).alias("null_year"))
+    named = hits.groupBy("directory_id").agg(F.max(F.col("registry_year").isNull()).alias("null_year"))
     n = F.coalesce("n_matches", F.lit(0))
     split = F.col("any_current") & F.col("any_former") & ~F.col("any_both")
     reason = F.when(F.col("null_year"), "cb_null_year").when(F.col("founded_year").isNull() & F.col("null_year").isNotNull(), "yc_null_year")
@@ -164,9 +168,9 @@ def near_matches(targets: DataFrame, registry: DataFrame, most: int = 8, least_s
     """target, registry_id, rank: the first registry names, in corpus order, that equal a target, contain it or are contained
     in it at 55 % of the longer length or more; both need 3 characters.
 
-    Containment has no equality to hash on, but a contained name of share s keeps a run of characters of the longer one, so
-    both hold a common trigram: targets and names meet on the rarest-hashed trigrams only through equality of trigrams, and
-    the condition is then checked exactly.
+    Containment has no equality to hash on, but every trigram of a contained name is one of the longer name's too: the two meet on the
+    contained name's rarest trigram, by the counts over all names and targets, so a common prefix is no hot key.  The condition is
+    then checked exactly, within the join.
     """
     def grams(c: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
@@ -174,13 +178,14 @@ def near_matches(targets: DataFrame, registry: DataFrame, most: int = 8, least_s
     t = targets.where(F.length("target") >= 3).select("target").distinct()
     r = registry.where(F.length("name_norm") >= 3).select("name_norm", F.col("record_id").alias("registry_id"), "corpus_ord")
     names = r.select("name_norm").distinct()
-    # the first trigram of the shorter name is one of the longer name's trigrams
-    short = lambda df, c: df.select(c, F.substring(c, 1, 3).alias("g"))
     every = lambda df, c: df.select(c, F.explode(grams(F.col(c))).alias("g"))
-    inside = short(t, "target").join(every(names, "name_norm"), "g").where(F.contains("name_norm", "target"))
-    around = every(t, "target").join(short(names, "name_norm"), "g").where(F.contains("target", "name_norm"))
-    pairs = inside.select("target", "name_norm").union(around.select("target", "name_norm")).distinct()
+    in_t, in_n = every(t, "target"), every(names, "name_norm")
+    often = in_t.select("g").union(in_n.select("g")).groupBy("g").agg(F.count("*").alias("n"))
+    rarest = lambda df, c: df.join(often, "g").groupBy(c).agg(F.min(F.struct("n", "g"))["g"].alias("g"))
     a, b = F.length("target"), F.length("name_norm")
-    pairs = pairs.where(F.least(a, b) / F.greatest(a, b) >= least_share)
+    alike = F.least(a, b) / F.greatest(a, b) >= least_share
+    inside = rarest(in_t, "target").join(in_n, "g").where(alike & F.contains("name_norm", "target"))
+    around = in_t.join(rarest(in_n, "name_norm"), "g").where(alike & F.contains("target", "name_norm"))
+    pairs = inside.select("target", "name_norm").union(around.select("target", "name_norm")).distinct()
     rank = F.row_number().over(Window.partitionBy("target").orderBy("corpus_ord", "registry_id"))
     return pairs.join(r, "name_norm").withColumn("rank", rank).where(F.col("rank") <= most).select("target", "registry_id", "rank")

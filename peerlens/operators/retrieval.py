@@ -1,6 +1,7 @@
 """Vector retrieval: the k most similar candidates of each seed by cosine.
 
-Similarities are doubles rounded to 6 digits, ties go by record id.  `top_k` stays in the JVM; `top_k_matrix` multiplies
+Similarities are doubles rounded to 6 digits, ties go by record id; a zero vector has similarity 0 to every other, and rows
+without a vector are in no result.  `top_k` stays in the JVM; `top_k_matrix` multiplies
 Arrow batches with the seeds' matrix in numpy, for few seeds against very many vectors, and gives the same rows.
 """
 
@@ -38,12 +39,22 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
+    """Null if a vector is missing, 0 if one is zero."""
+    return cosine_of_units(a, b, norm(a), norm(b))
+
+
+def norm(c: Column) -> Column:
+    return F.sqrt(dot(c, c))
+
+
+def cosine_of_units(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    lengths = norm_a * norm_b
+    return F.when(lengths == 0, 0.0).otherwise(F.round(F.try_divide(dot(a, b), lengths), 6))
 
 
 def _first(rows: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("cosine"), "record_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return rows.where(F.col("cosine").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def top_k(seeds: DataFrame, vectors: DataFrame, k: int = 25, pairs: DataFrame | None = None) -> DataFrame:
@@ -52,19 +63,21 @@ def top_k(seeds: DataFrame, vectors: DataFrame, k: int = 25, pairs: DataFrame |
     Partial top-k happens before the shuffle (WindowGroupLimit)."""
     if pairs is None and (made := _dealt(seeds, lambda part: top_k(part, vectors, k))) is not None:
         return made
-    s = seeds.select("seed_id", F.col("embedding").alias("e"))
-    v = vectors.select("record_id", "embedding")
+    # each vector's length is computed once, not once for each pair
+    s = seeds.where(F.col("embedding").isNotNull()).select("seed_id", F.col("embedding").alias("e"), norm(F.col("embedding")).alias("ne"))
+    v = vectors.where(F.col("embedding").isNotNull()).select("record_id", "embedding", norm(F.col("embedding")).alias("nv"))
     rows = v.crossJoin(F.broadcast(s)) if pairs is None else pairs.join(v, "record_id").join(s, "seed_id")
-    return _first(rows.select("seed_id", "record_id", cosine(F.col("embedding"), F.col("e")).alias("cosine")), k)
+    return _first(rows.select("seed_id", "record_id", cosine_of_units(F.col("embedding"), F.col("e"), F.col("nv"), F.col("ne")).alias("cosine")), k)
 
 
 def top_k_matrix(seeds: DataFrame, vectors: DataFrame, k: int = 25) -> DataFrame:
     """As `top_k` over all vectors.  Each batch sends on its k best of each seed only."""
     if (made := _dealt(seeds, lambda part: top_k_matrix(part, vectors, k))) is not None:
         return made
-    got = seeds.select(F.col("seed_id").cast("string").alias("seed_id"), "embedding").toArrow()
+    kind = {n: seeds.schema["seed_id"].dataType if n == "seed_id" else vectors.schema["record_id"].dataType for n in ("seed_id", "record_id")}
+    got = seeds.where(F.col("embedding").isNotNull()).select(F.col("seed_id").cast("string").alias("seed_id"), "embedding").toArrow()
     ids = got.column("seed_id").to_pylist()
-    matrix = np.array(got.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+    matrix = np.array(got.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1 if ids else 0)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
     def run(batches):
@@ -84,8 +97,9 @@ def top_k_matrix(seeds: DataFrame, vectors: DataFrame, k: int = 25) -> DataFrame
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.float64())], names=["seed_id", "record_id", "c"])
 
-    rows = vectors.select(F.col("record_id").cast("string").alias("record_id"), "embedding").mapInArrow(run, "seed_id string, record_id string, c double")
-    return _first(rows.select("seed_id", "record_id", F.round("c", 6).alias("cosine")), k)
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col("record_id").cast("string").alias("record_id"), "embedding")
+    rows = rows.mapInArrow(run, "seed_id string, record_id string, c double")
+    return _first(rows.select(*[F.col(n).cast(t).alias(n) for n, t in kind.items()], F.round("c", 6).alias("cosine")), k)
 
 
 def fetch(ids: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -110,6 +124,7 @@ def hashed_vector(c: Column, size: int = 64) -> Column:
 
 
 Embedder = Callable[[DataFrame], DataFrame]
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def hashed_embedder(rows: DataFrame) -> DataFrame:
@@ -117,6 +132,13 @@ def hashed_embedder(rows: DataFrame) -> DataFrame:
     return rows.select("record_id", hashed_vector(F.col("text")).alias("embedding"))
 
 
+def letter_embedder(rows: DataFrame) -> DataFrame:
+    """(record_id, text) to (record_id, embedding): counts of letters and digits, in 64 places (the rest are 0)."""
+    t = F.lower(F.coalesce("text", F.lit("")))
+    counts = [(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("float") for c in LETTERS]
+    return rows.select("record_id", F.array(*counts, *[F.lit(0.0).cast("float")] * (64 - len(LETTERS))).alias("embedding"))
+
+
 def embed_missing(corpus: DataFrame, vectors: DataFrame, embedder: Embedder = hashed_embedder) -> DataFrame:
     """(record_id, embedding) of the rows that have none; append it to the vector cache."""
     described = text.embedding_text(F.col("long_description"), F.col("one_liner"), F.col("name"), F.col("industries"))

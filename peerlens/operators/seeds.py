@@ -50,13 +50,15 @@ def lookup_status(asked: DataFrame, corpus: DataFrame, most: int = 10) -> DataFr
         F.col("founded_year").alias("hint_year"), F.lower(text.missing_if_empty("country")).alias("hint_country"),
     )
     meta = corpus.select("record_id", "corpus_ord", "name", "name_norm", text.missing_if_empty("domain").alias("domain"), "founded_year", "country", F.slice(text.as_list(F.col("industries")), 1, 4).alias("industries"))
-    by_id = asked.join(meta, asked.by_id == meta.record_id).withColumn("way", F.lit(1))
-    by_domain = asked.join(meta, asked.by_domain == meta.domain).withColumn("way", F.lit(2))
-    by_name = asked.join(meta, asked.by_name == meta.name_norm).withColumn("way", F.lit(3))
+    # one equi-join on (way, key): the corpus is read and its names are normalised once
+    ways = lambda *keys: F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("way"), k.alias("key")) for i, k in enumerate(keys, 1)]), lambda x: x["key"].isNotNull()))
+    keyed = asked.select("seed_id", "hint_year", "hint_country", ways(F.col("by_id"), F.col("by_domain"), F.col("by_name")).alias("w"))
+    meta = meta.select("*", ways(F.col("record_id"), F.col("domain"), text.missing_if_empty("name_norm")).alias("w"))
+    hits = keyed.join(meta, "w").withColumn("way", F.col("w.way"))
     country = F.lower(F.coalesce("country", F.lit("")))
     year_fits = F.col("hint_year").isNull() | F.col("founded_year").isNull() | (F.abs(F.col("founded_year") - F.col("hint_year")) <= HINT_YEARS)
     country_fits = F.col("hint_country").isNull() | F.contains(country, F.col("hint_country")) | F.contains(F.col("hint_country"), country)
-    hits = by_id.union(by_domain).union(by_name).withColumn("fits", (F.col("way") < 3) | (year_fits & country_fits))
+    hits = hits.withColumn("fits", (F.col("way") < 3) | (year_fits & country_fits))
     seed, order = Window.partitionBy("seed_id"), Window.partitionBy("seed_id").orderBy("corpus_ord", "record_id")
     hits = hits.withColumn("best", F.min("way").over(seed)).where(F.col("way") == F.col("best"))
     hits = hits.withColumn("some_fit", F.max("fits").over(seed)).where(F.col("fits") | ~F.col("some_fit"))

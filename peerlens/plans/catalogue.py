@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import company, text
 from ..operators import corpus as corpus_
 from ..operators import enrichment, evaluation, features, judging, prefilter, ranking, resolution, retrieval, search, seeds
+from ..sources import readers, sinks
 from . import fixtures as fx
-from .similar import Options, similar_to
+from .similar import Options, run_summary, similar_to
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -196,8 +197,9 @@ judged AS (
 def _er(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(directory, registry, matches, resolutions)"""
     d, r = fx.directory(spark, sf_dir), fx.registry(spark, sf_dir)
-    m = resolution.matches(d, r).persist()
-    return d, r, m, resolution.resolve(d, r, m)
+    hits = resolution.name_hits(d, r).persist()
+    m = resolution.matches(d, r, hits).persist()
+    return d, r, m, resolution.resolve(d, r, m, hits)
 
 
 @query(_ER + "SELECT directory_id, registry_id FROM dom")
@@ -578,11 +580,16 @@ def ranking_metrics(spark, sf_dir):
   CASE WHEN greatest(len(d.name_norm), len(r.name_norm)) > 0 THEN round(1.0::double - levenshtein(d.name_norm, r.name_norm)::double / greatest(len(d.name_norm), len(r.name_norm)), 6) ELSE 1.0 END AS name_edit_ratio,
   coalesce(d.domain = r.domain, false) AS domain_exact, coalesce(d.domain = r.domain OR (string_split(d.domain, '.')[-2] = string_split(r.domain, '.')[-2]), false) AS domain_root_match,
   abs(d.founded_year - r.founded_year) AS founded_year_delta, round(len(list_intersect(d.industries, r.industries))::double / len(list_distinct(d.industries || r.industries)), 6) AS industries_jaccard,
-  coalesce(lower(d.country) = lower(r.country), false) AS country_match, list_contains(list_transform(d.former_names, lambda x: x), r.name_norm) AS former_name_match
-FROM m JOIN directory d ON d.record_id = m.directory_id JOIN registry r ON r.record_id = m.registry_id""")
+  coalesce(lower(d.country) = lower(r.country), false) AS country_match, list_contains(list_transform(d.former_names, lambda x: x), r.name_norm) AS former_name_match,
+  coalesce(d.corpus_ord % 7 > 0 AND r.corpus_ord % 5 > 0 AND d.corpus_ord % 3 = r.corpus_ord % 3, false) AS linkedin_match, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS description_cosine
+FROM m JOIN directory d ON d.record_id = m.directory_id JOIN registry r ON r.record_id = m.registry_id
+LEFT JOIN embeddings a ON a.vec_id = d.corpus_ord LEFT JOIN embeddings b ON b.vec_id = r.corpus_ord""")
 def pair_features(spark, sf_dir):
     d, r, m, _ = _er(spark, sf_dir)
-    return features.pair_features(m.select("directory_id", "registry_id"), d, r).drop("description_cosine", "linkedin_match")
+    profile = lambda least, host: F.when(F.col("corpus_ord") % least > 0, F.concat(F.lit(host), (F.col("corpus_ord") % 3).cast("string"))).otherwise(F.lit(""))
+    d, r = d.withColumn("linkedin", profile(7, "linkedin.com/company/")), r.withColumn("linkedin", profile(5, "LinkedIn.com/company/"))
+    v = fx.vectors(spark, sf_dir)
+    return features.pair_features(m.select("directory_id", "registry_id"), d, r, v.union(v.withColumn("record_id", F.replace("record_id", F.lit("r:"), F.lit("d:")))))
 
 
 @query(_ER + "SELECT directory_id, registry_id FROM m JOIN st USING (directory_id) WHERE status = 'tier1_ambiguous' OR (status = 'matched_unique' AND match_method = 'name+year')")
@@ -591,19 +598,23 @@ def hard_pairs(spark, sf_dir):
     return features.hard_pairs(st, m)
 
 
-_ANSWER = """CASE p_partkey % 3 WHEN 0 THEN '[' WHEN 1 THEN '{"results":[' ELSE '' END || '{"company_website_domain":"' || replace(p_name, ' ', '-') || '.com","competitors":{"competitor_website_domains":["big-co.io","x' || cast(p_size AS string)
-  || '.com"],"organic_seo_competitors_website_domains":["big-co.io","","other.net"]},"markets":["' || p_type || '"]}' || CASE p_partkey % 3 WHEN 0 THEN ']' WHEN 1 THEN ']}' ELSE '' END"""
+# answers: a list, an object with results, or one object; a host that is the domain, in capitals, or another one; every seventh says itself whether it matches
+_ANSWER = """CASE p_partkey % 3 WHEN 0 THEN '[' WHEN 1 THEN '{"results":[' ELSE '' END || '{' || CASE p_partkey % 7 WHEN 0 THEN '"is_full_domain_match":true,' WHEN 1 THEN '"is_full_domain_match":false,' ELSE '' END
+  || '"company_website_domain":"' || CASE p_partkey % 5 WHEN 0 THEN 'other.com' WHEN 1 THEN upper(domain) WHEN 2 THEN '' ELSE domain END || '","domains":["' || CASE WHEN p_partkey % 2 = 0 THEN domain ELSE 'second.org' END
+  || '"],"competitors":{"competitor_website_domains":["big-co.io","x' || cast(p_size AS string) || '.com"],"organic_seo_competitors_website_domains":["big-co.io","","other.net"]},"taxonomy":{"b":["' || p_brand || '","y"],"a":["z"]},"founders":{"profiles":[{"name":"'
+  || p_name || '"},{"name":"Ann"}]},"markets":["' || p_type || '"]}' || CASE p_partkey % 3 WHEN 0 THEN ']' WHEN 1 THEN ']}' ELSE '' END"""
 
 
-@query("""SELECT p_partkey, true AS matched, 'big-co.io,x' || p_size || '.com,other.net' AS competitors, 'Big Co,X' || p_size || ',Other' AS names, p_type AS markets FROM part""", views=False)
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN true WHEN 1 THEN false ELSE p_partkey % 5 IN (1, 3, 4) OR (p_partkey % 5 = 2 AND p_partkey % 2 = 0) END AS matched,
+  'big-co.io,x' || p_size || '.com,other.net' AS competitors, 'Big Co,X' || p_size || ',Other' AS names, p_type AS markets,
+  'Big Co, X' || p_size || ', Other' AS competitors_summary, 'a: z | b: ' || p_brand || ', y' AS taxonomy_summary, p_name || ', Ann' AS founders_summary FROM part""", views=False)
 def enrichment_flatten(spark, sf_dir):
-    answers = fx.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".com")).alias("domain"), F.expr(_ANSWER).alias("raw"))
-    flat = enrichment.flatten(answers.select(F.concat_ws("#", "domain", F.col("p_partkey").cast("string")).alias("domain"), "raw"))
-    host = F.split_part("domain", F.lit("#"), F.lit(1))
-    return flat.select(
-        F.split_part("domain", F.lit("#"), F.lit(2)).cast("long").alias("p_partkey"), F.endswith(host, F.lit(".com")).alias("matched"),
-        F.array_join(F.col("competitors")["domain"], ",").alias("competitors"), F.array_join(F.col("competitors")["name"], ",").alias("names"), F.array_join("markets", ",").alias("markets"),
-    )
+    host = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".com"))
+    answers = fx.table(spark, sf_dir, "part").withColumn("domain", host).select("p_partkey", "domain", F.expr(_ANSWER).alias("raw"))
+    flat = enrichment.flatten(answers.select("domain", "raw"))
+    joined = lambda x: F.array_join(F.col("competitors")[x], ",")
+    made = flat.select("domain", "matched", joined("domain").alias("competitors"), joined("name").alias("names"), F.array_join("markets", ",").alias("markets"))
+    return answers.select("p_partkey", "domain").join(made, "domain").join(enrichment.summaries(flat), "domain").drop("domain")
 
 
 @query("""WITH q AS (SELECT c_custkey AS query_id, lower(c_mktsegment || ' ' || c_name) AS q FROM customer),
@@ -625,14 +636,271 @@ def suggest(spark, sf_dir):
     return search.suggest(rows, " Red").drop("slug")
 
 
+# --- sources and sinks: written by the engine, read back by it ---------------------------------------------------------
+
+_RAW = """SELECT CASE WHEN p_partkey % 17 > 0 THEN cast(p_partkey AS string) END AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' "quoted"' ELSE ' GmbH' END AS name,
+  CASE p_partkey % 4 WHEN 0 THEN 'nan' WHEN 1 THEN ' ' ELSE 'sells, ' || p_brand END AS short_description, 'https://www.' || replace(p_name, ' ', '-') || '.com/x' AS website,
+  CASE p_partkey % 3 WHEN 0 THEN cast(1950 + p_size AS string) || '-03-04' WHEN 1 THEN cast(1950 + p_size AS string) ELSE 'unknown' END AS founded_on,
+  p_type || ', ' || p_brand || ',' AS categories, 'A, B, ' || p_brand || ', D' AS locations, '$' || cast(p_size AS string) || ',000' AS funding_total, 'active' AS operating_status FROM {part}"""
+
+
+@query(f"""SELECT CASE WHEN id IS NULL THEN 'missing' ELSE 'cb:' || id END AS record_id, name, {fx.norm_sql('name')} AS name_norm, 'https://www.' || split_part(website, 'www.', 2) AS website, {fx.domain_sql('website')} AS domain,
+  CASE WHEN lower(trim(short_description)) NOT IN ('', 'nan') THEN trim(short_description) END AS one_liner, regexp_replace(categories, ', *$', '') AS industries, split_part(locations, ', ', 3) AS country,
+  CASE WHEN founded_on <> 'unknown' THEN CAST(founded_on[:4] AS INT) END AS founded_year, try_cast(regexp_replace(funding_total, '[^0-9.]', '', 'g') AS double) AS funding_total, operating_status FROM ({_RAW.format(part='part')})""", views=False)
+def registry_from_shards(spark, sf_dir):
+    """CSV shards, whose headers order and name columns differently, to the unified schema."""
+    raw, path = spark.sql(_RAW, part=fx.table(spark, sf_dir, "part")), fx.scratch(spark)
+    half = F.pmod(F.xxhash64("name", "id"), F.lit(2)) == 0
+    raw.where(half).write.option("header", True).option("escape", '"').csv(f"{path}/a")
+    raw.where(~half).select(*reversed(raw.columns), F.lit("extra").alias("more")).write.option("header", True).option("escape", '"').csv(f"{path}/b")
+    rows = corpus_.from_registry(readers.read_registry(spark, f"{path}/*/part-*.csv"))
+    return rows.select(
+        F.when(F.startswith("record_id", F.lit("cb:_missing_")), "missing").otherwise(F.col("record_id")).alias("record_id"), "name", "name_norm", "website", "domain", "one_liner",
+        F.array_join("industries", ", ").alias("industries"), "country", "founded_year", "funding_total", "operating_status",
+    )
+
+
+_DIRECTORY_RAW = """SELECT p_name || CASE p_partkey % 2 WHEN 0 THEN ' Inc' ELSE ' ' END AS name, CASE WHEN p_partkey % 3 > 0 THEN 'http://' || replace(p_name, ' ', '') || '.io' END AS website, 's' || cast(p_partkey AS string) AS slug,
+  CASE p_partkey % 4 WHEN 0 THEN -5.0D WHEN 1 THEN 0.0D ELSE 86400.0D * 365 * p_size END AS launched_at, array(p_type) AS industries, array(p_brand) AS regions, array(p_name) AS former_names,
+  CASE WHEN p_partkey % 5 > 0 THEN 'Town, ' || p_brand || ' ' END AS all_locations, 'one' AS one_liner, p_size AS team_size, CASE p_partkey % 3 WHEN 0 THEN 'Winter 2009' WHEN 1 THEN 'Winter 2020' ELSE 'Summer 2025' END AS batch FROM {part}"""
+
+
+@query(f"""SELECT 'yc:' || slug AS record_id, trim(name) AS name, {fx.norm_sql('name')} AS name_norm, {fx.domain_sql('website')} AS domain, CASE WHEN launched_at > 0 THEN CAST(year(to_timestamp(launched_at)) AS INT) END AS founded_year,
+  CASE WHEN all_locations IS NULL THEN regions[1] ELSE trim(split_part(all_locations, ',', 2)) END AS country, team_size, batch AS yc_batch
+FROM ({_DIRECTORY_RAW.format(part='part').replace('0.0D', '0.0').replace('-5.0D', '-5.0').replace('86400.0D', '86400.0').replace('array(p_type)', '[p_type]').replace('array(p_brand)', '[p_brand]').replace('array(p_name)', '[p_name]')}) WHERE batch <> 'Winter 2009'""", views=False)
+def directory_from_json(spark, sf_dir):
+    """Directory JSON of the wanted batches to the unified schema."""
+    path = fx.scratch(spark)
+    spark.sql(_DIRECTORY_RAW, part=fx.table(spark, sf_dir, "part")).write.json(path)
+    rows = corpus_.from_directory(readers.read_directory(spark, path, multi_line=False))
+    return rows.select("record_id", "name", "name_norm", "domain", "founded_year", "country", "team_size", "yc_batch")
+
+
+@query("SELECT record_id, name, domain, array_to_string(industries, '|') AS industries FROM corpus WHERE source = 'yc'")
+def corpus_by_source(spark, sf_dir):
+    """The corpus written by source and one source read back."""
+    path = fx.scratch(spark)
+    sinks.write_corpus(fx.corpus(spark, sf_dir), path)
+    return readers.read_corpus(spark, path, "yc").select("record_id", "name", "domain", F.array_join("industries", "|").alias("industries"))
+
+
+@query("SELECT record_id, name, founded_year FROM corpus WHERE record_id NOT LIKE '%7'")
+def corpus_tolerant_json(spark, sf_dir):
+    """Corpus lines, some of them broken or without an id, read tolerantly."""
+    path = fx.scratch(spark)
+    c = fx.corpus(spark, sf_dir).select("record_id", "source", "name", "founded_year")
+    broken = F.endswith("record_id", F.lit("7"))
+    c.select(F.when(broken, F.lit('{"record_id": "x", "name"')).otherwise(F.to_json(F.struct("*"))).alias("value")).union(spark.createDataFrame([('{"name": "no id"}',), ('{"record_id": ""}',)], "value string")).write.text(f"{path}/c.jsonl")
+    return readers.read_corpus(spark, f"{path}/c.jsonl", tolerant=True).select("record_id", "name", "founded_year")
+
+
+@query("SELECT record_id, name FROM corpus WHERE record_id IN (SELECT CASE WHEN corpus_ord % 10 = 0 THEN 'd:' || corpus_ord ELSE 'r:' || corpus_ord END FROM registry WHERE corpus_ord % 5 = 0)")
+def lookup_batch(spark, sf_dir):
+    """Rows for a table of ids, some of which repeat or aren't there."""
+    k = F.col("corpus_ord")
+    ids = fx.registry(spark, sf_dir).where("corpus_ord % 5 = 0").select(F.concat(F.when(k % 10 == 0, "d:").otherwise("r:"), k.cast("string")).alias("record_id"))
+    ids = ids.union(ids).union(spark.createDataFrame([("r:none",)], "record_id string"))
+    return readers.lookup_many(fx.corpus(spark, sf_dir), ids).select("record_id", "name")
+
+
+@query("SELECT record_id, name, domain FROM corpus WHERE record_id = 'r:100'")
+def lookup_one(spark, sf_dir):
+    return readers.lookup(fx.corpus(spark, sf_dir), "r:100").select("record_id", "name", "domain")
+
+
+@query("SELECT 'r:' || vec_id AS record_id, round(list_sum(list_transform(embedding::double[], lambda x: x * x)), 4) AS squares, len(embedding) AS width FROM embeddings", views=False)
+def vector_cache(spark, sf_dir):
+    """Vectors appended in two turns and read back; a cache that isn't there is empty."""
+    path, v = fx.scratch(spark), fx.vectors(spark, sf_dir)
+    sinks.append_vectors(v.where("record_id < 'r:3'"), path)
+    sinks.append_vectors(v.where("record_id >= 'r:3'"), path)
+    rows = readers.read_vectors(spark, path).union(readers.read_vectors(spark, f"{path}-none"))
+    return rows.select("record_id", F.round(retrieval.dot(F.col("embedding"), F.col("embedding")), 4).alias("squares"), F.size("embedding").cast("long").alias("width"))
+
+
+@query(_ER + "SELECT directory_id, status, n_matches, failure_reason FROM st")
+def resolutions_sink(spark, sf_dir):
+    path = fx.scratch(spark)
+    _, _, _, st = _er(spark, sf_dir)
+    sinks.write_resolutions(st, resolution.status_counts(st), path)
+    return spark.read.schema("directory_id string, status string, n_matches long, failure_reason string").json(f"{path}/matches")
+
+
+@query(_ER + _METRICS)
+def metrics_sink(spark, sf_dir):
+    path, rows = fx.scratch(spark), _judged(spark, sf_dir)
+    made = evaluation.metrics(rows)
+    sinks.write_metrics(made, evaluation.errors(rows).select("directory_id", "stratum"), path)
+    return spark.read.schema(made.schema).json(f"{path}/metrics")
+
+
+@query("SELECT name AS slug, count(*) AS n FROM (SELECT n_name AS name FROM nation JOIN customer ON c_nationkey = n_nationkey) GROUP BY 1", views=False)
+def results_round_trip(spark, sf_dir):
+    """Result documents, one a slug, written and read back with the slug of their folders."""
+    path = fx.scratch(spark)
+    per = fx.table(spark, sf_dir, "customer").join(fx.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("slug")).agg(F.count("*").alias("n"))
+    sinks.write_results(per, path)
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select("slug", F.get_json_object("value", "$.n").cast("long").alias("n"))
+
+
+@query("SELECT c_custkey AS seed_id, 'p' || c_custkey AS prompt, 'r' || c_nationkey AS response FROM customer", views=False)
+def audit_log(spark, sf_dir):
+    path, c = fx.scratch(spark), fx.table(spark, sf_dir, "customer")
+    calls = c.select(F.col("c_custkey").alias("seed_id"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("ts"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("prompt"), F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("response"))
+    sinks.append_audit(calls.where("seed_id % 2 = 0"), path)
+    sinks.append_audit(calls.where("seed_id % 2 = 1"), path)
+    return spark.read.parquet(path).drop("ts")
+
+
+@query("SELECT record_id, name_norm FROM directory")
+def directory_extracts(spark, sf_dir):
+    """The three extracts of a directory; the renamed one is read back."""
+    path = fx.scratch(spark)
+    d = fx.directory(spark, sf_dir).select("record_id", "name", F.col("record_id").alias("slug"), "former_names", F.lit("b").alias("batch"), F.lit("s").alias("status"), "website", "one_liner", "industries")
+    sinks.write_directory_extracts(d, path)
+    rows = spark.read.schema("slug string, name string").json(f"{path}/rebrands")
+    return rows.select(F.col("slug").alias("record_id"), text.normalize_name("name").alias("name_norm"))
+
+
+# --- the remaining functions and reports -------------------------------------------------------------------------------
+
+_DATES = "CASE p_partkey % 7 WHEN 0 THEN cast(1900 + p_size AS string) WHEN 1 THEN cast(1900 + p_size AS string) || '-05' WHEN 2 THEN cast(1900 + p_size AS string) || '-05-06' WHEN 3 THEN cast(1900 + p_size AS string) || '/05/06' WHEN 4 THEN '05/06/' || cast(1900 + p_size AS string) WHEN 5 THEN cast(1900 + p_size AS string) || '-05-06 10:11:12' ELSE 'soon' END"
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 6 THEN NULL WHEN 0 THEN make_date(1900 + p_size, 1, 1) WHEN 1 THEN make_date(1900 + p_size, 5, 1) ELSE make_date(1900 + p_size, 5, 6) END AS founded_on,
+  CASE WHEN p_partkey % 7 <> 6 THEN CAST(1900 + p_size AS INT) END AS founded_year FROM part""", views=False)
+def founding_dates(spark, sf_dir):
+    date, year = company.parse_founded(F.expr(_DATES))
+    return fx.table(spark, sf_dir, "part").select("p_partkey", date.alias("founded_on"), year.alias("founded_year"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 > 1 THEN CAST(make_date(1970, 1, 1) + CAST(p_size * 100 AS INT) AS DATE) END AS founded_on,
+  CASE WHEN p_partkey % 5 > 1 THEN CAST(year(make_date(1970, 1, 1) + CAST(p_size * 100 AS INT)) AS INT) END AS founded_year FROM part""", views=False)
+def launch_dates(spark, sf_dir):
+    """Dates of epochs: zero, negative and far too large ones are none."""
+    k = F.col("p_partkey") % 5
+    epoch = F.when(k == 0, F.lit(-1.0)).when(k == 1, F.lit(1e15)).otherwise(F.col("p_size") * 8640000.0 + 5)
+    date, year = company.founded_from_epoch(epoch)
+    return fx.table(spark, sf_dir, "part").select("p_partkey", date.alias("founded_on"), year.alias("founded_year"))
+
+
+@query("""SELECT record_id, regexp_replace(name, '[^a-zA-Z0-9_.-]+', '_', 'g') AS file_slug, regexp_replace(regexp_replace(lower(website), '^www\\.', ''), '/+$', '') AS enrichment_domain,
+  replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') AS escaped, CASE WHEN contains(domain, '.') THEN string_split(domain, '.')[-2] ELSE domain END AS root FROM corpus""")
+def file_and_domain_keys(spark, sf_dir):
+    return fx.corpus(spark, sf_dir).select("record_id", text.file_slug("name").alias("file_slug"), text.enrichment_domain("website").alias("enrichment_domain"), text.escape_html("name").alias("escaped"), text.domain_root("domain").alias("root"))
+
+
+@query("""SELECT record_id, CASE WHEN n >= 1000000 THEN format('{:.1f}M', n / 1000000.0) WHEN n >= 1000 THEN format('{:.1f}K', n / 1000.0) ELSE CAST(n AS VARCHAR) END AS shown,
+  upper(name[1]) || CASE WHEN len(string_split(name, ' ')) > 1 THEN upper(string_split(name, ' ')[2][1]) ELSE '' END AS initials FROM (SELECT record_id, name, CASE WHEN corpus_ord % 2 = 0 THEN corpus_ord * corpus_ord * 100 ELSE corpus_ord END AS n FROM registry)""")
+def shown_numbers(spark, sf_dir):
+    r = fx.registry(spark, sf_dir)
+    n = F.when(F.col("corpus_ord") % 2 == 0, F.col("corpus_ord") * F.col("corpus_ord") * 100).otherwise(F.col("corpus_ord"))
+    return r.select("record_id", company.display_number(n).alias("shown"), company.initials(F.col("name")).alias("initials"))
+
+
+@query("SELECT record_id, CASE WHEN k % 3 = 0 THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT record_id, corpus_ord AS k FROM directory) WHERE k % 3 = 0 OR k % 7 = 1")
+def label_differences(spark, sf_dir):
+    d, k = fx.directory(spark, sf_dir), F.col("corpus_ord")
+    return evaluation.label_differences(d.where((k % 3 == 0) | (k % 7 != 1)), d.where(k % 3 != 0))
+
+
+@query(_ER + """, n AS (SELECT target, registry_id, rank FROM (SELECT d.name_norm AS target, r.record_id AS registry_id, row_number() OVER (PARTITION BY d.name_norm ORDER BY r.corpus_ord, r.record_id) AS rank
+  FROM (SELECT DISTINCT name_norm FROM directory) d JOIN registry r ON len(d.name_norm) >= 3 AND len(r.name_norm) >= 3 AND (contains(r.name_norm, d.name_norm) OR contains(d.name_norm, r.name_norm))
+    AND least(len(d.name_norm), len(r.name_norm))::double / greatest(len(d.name_norm), len(r.name_norm)) >= 0.55) WHERE rank <= 8),
+f AS (SELECT directory_id, string_agg(registry_id || '/' || match_method, ',' ORDER BY registry_id) AS cands FROM (SELECT *, row_number() OVER (PARTITION BY directory_id ORDER BY registry_id) AS r FROM m) WHERE r <= 5 GROUP BY 1)
+SELECT g.directory_id, d.name, d.team_size, coalesce(cands, '') AS cands, CASE WHEN st.status = 'absent_from_crunchbase' THEN coalesce((SELECT string_agg(registry_id, ',' ORDER BY rank) FROM n WHERE target = d.name_norm), '') ELSE '' END AS near
+FROM gold g JOIN st USING (directory_id) JOIN directory d ON d.record_id = g.directory_id LEFT JOIN f USING (directory_id)""")
+def label_rows(spark, sf_dir):
+    """Label templates with the directory row, the candidates and the near matches of absent rows."""
+    d, r, m, st = _er(spark, sf_dir)
+    chosen = fx.gold(spark, sf_dir).select(F.col("directory_id").alias("record_id"), "stratum")
+    made = evaluation.enriched_template(evaluation.label_template(d, chosen, st, m), d, r, resolution.near_matches(d.select(F.col("name_norm").alias("target")), r))
+    ids = lambda c, f: F.coalesce(F.array_join(F.transform(F.col(c), f), ","), F.lit(""))
+    return made.select(
+        "directory_id", F.col("directory_row.name").alias("name"), F.col("directory_row.team_size").alias("team_size"),
+        ids("candidate_rows", lambda x: F.concat(x["registry_row"]["record_id"], F.lit("/"), x["match_method"])).alias("cands"), ids("near_rows", lambda x: x["registry_row"]["record_id"]).alias("near"),
+    )
+
+
+@query("SELECT seed_id FROM seeds WHERE lower(name) IN (SELECT lower(name) FROM seeds WHERE seed_id IN (50, 100)) OR record_id = 'r:150'")
+def seed_subset(spark, sf_dir):
+    s = fx.seeds(spark, sf_dir).withColumn("slug", F.col("record_id"))
+    names = [r["name"] for r in s.where("seed_id in (50, 100)").select("name").collect()]
+    return search.subset(s, [*names, "R:150"]).select("seed_id")
+
+
+@query(_PRE + """, u AS (SELECT count(*) AS n FROM corpus WHERE source = 'yc'), shown AS (SELECT seed_id, count(*) AS n FROM pre WHERE in_band AND other AND seed_id % 100 = 0 GROUP BY 1)
+SELECT seed_id, (SELECT count(*) FROM corpus) AS n_corpus, (SELECT n FROM u) AS n_universe, n_final AS n_prefilter, least(n_final, 25) AS n_retrieved, coalesce(shown.n, 0) AS n_shown
+FROM (SELECT seed_id, count(*) FILTER (WHERE active AND described AND in_band AND other) AS n_final FROM pre GROUP BY 1) LEFT JOIN shown USING (seed_id)""")
+def overall_funnel(spark, sf_dir):
+    c, rows = fx.corpus(spark, sf_dir), _prefiltered(spark, sf_dir)
+    return prefilter.overall_funnel(c, c.where("source = 'yc'"), prefilter.funnel(rows), rows.where("in_band and other and seed_id % 100 = 0"))
+
+
+@query("""SELECT seed_id, criterion_id, CASE WHEN seed_id % 100 = 0 THEN 'cached ' ELSE '' END || tag AS text FROM (SELECT seed_id, i AS criterion_id, t[i] AS tag FROM (
+  SELECT seed_id, t, unnest(range(1, least(len(t), 5) + 1)) AS i FROM (SELECT seed_id, CASE WHEN len(list_filter(industries, lambda x: x NOT IN ('Software', 'Internet'))) > 0 THEN industries ELSE industries END AS t FROM seeds)))""")
+def criteria_from_cache(spark, sf_dir):
+    """Criteria of every second seed from a cache, of the others from the provider."""
+    s = fx.seeds(spark, sf_dir).withColumn("description", F.col("name"))
+    half = s.where("seed_id % 100 = 0")
+    cache = judging.cache_entries(half, judging.extract_criteria(half)).withColumn("criteria", F.transform("criteria", lambda c: c.withField("text", F.concat(F.lit("cached "), c["text"]))))
+    return judging.cached_or_extracted(s, cache).select("seed_id", F.col("criterion_id").cast("long").alias("criterion_id"), "text")
+
+
 # --- the whole search ------------------------------------------------------------------------------------------------
 
+_LETTERS = "[" + ", ".join(f"CAST(len(t) - len(replace(t, '{c}', '')) AS DOUBLE)" for c in retrieval.LETTERS) + "]"
+_SEARCH = f"""
+, tw AS (SELECT directory_id, registry_id FROM m JOIN st USING (directory_id) WHERE status = 'matched_unique'),
+pair AS (SELECT s.seed_id, s.record_id AS ri, max(tw.directory_id) AS di FROM seeds s LEFT JOIN tw ON tw.registry_id = s.record_id GROUP BY 1, 2),
+found AS (SELECT seed_id, ri AS record_id, coalesce(nullif(r.name, ''), nullif(d.name, '')) AS name, coalesce(nullif(r.domain, ''), nullif(d.domain, '')) AS domain,
+  (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(coalesce(d.industries, []) || coalesce(r.industries, [])) AS x, unnest(range(len(coalesce(d.industries, [])) + len(coalesce(r.industries, [])))) AS i) GROUP BY x)) AS industries,
+  coalesce(concat_ws(chr(10), nullif(d.long_description, ''), nullif(d.one_liner, ''), nullif(r.one_liner, '')), '') AS description
+  FROM pair LEFT JOIN directory d ON d.record_id = di JOIN registry r ON r.record_id = ri),
+spec AS (SELECT seed_id, record_id, CASE WHEN len(list_filter(industries, lambda x: x NOT IN ('STANDARD', 'ECONOMY'))) > 0 THEN list_filter(industries, lambda x: x NOT IN ('STANDARD', 'ECONOMY')) ELSE industries END AS tags, industries FROM found),
+crit AS (SELECT seed_id, unnest(range(1, least(len(industries), 5) + 1)) AS criterion_id, unnest(industries[:5]) AS tag FROM spec),
+hit AS (SELECT DISTINCT s.seed_id, s.record_id AS own, c.record_id FROM (SELECT seed_id, record_id, unnest(tags) AS tag FROM spec) s JOIN (SELECT record_id, source, operating_status, has_description, unnest(industries) AS tag FROM corpus) c USING (tag)
+  WHERE (c.source = 'yc' OR c.operating_status = 'active') AND c.has_description AND c.record_id <> s.record_id),
+sv AS (SELECT seed_id, coalesce(e.embedding::double[], {_LETTERS} || list_transform(range(28), lambda i: 0.0::double)) AS v FROM (SELECT seed_id, record_id, lower(description) AS t FROM found) f LEFT JOIN embeddings e ON 'r:' || e.vec_id = f.record_id),
+scored AS (SELECT hit.seed_id, hit.record_id, CASE WHEN list_sum(list_transform(v, lambda x: abs(x))) = 0 THEN 0.0 ELSE round(list_cosine_similarity(v, e.embedding::double[]), 6) END AS cosine FROM hit JOIN sv USING (seed_id) JOIN embeddings e ON 'r:' || e.vec_id = hit.record_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY cosine DESC, record_id) AS rank FROM scored) WHERE rank <= 25),
+shown AS (SELECT best.*, c.name, c.domain, coalesce(nullif(c.one_liner, ''), c.long_description[:300]) AS one_liner, lower(coalesce(nullif(c.long_description, ''), nullif(c.one_liner, ''), '') || ' ' || array_to_string(c.industries, ' ')) AS words FROM best JOIN corpus c USING (record_id)),
+verdict AS (SELECT shown.seed_id, record_id, criterion_id, contains(words, lower(tag)) AS match FROM shown JOIN crit USING (seed_id)),
+per AS (SELECT seed_id, record_id, avg(match::int) AS share, count(*) FILTER (WHERE match) AS n, coalesce(list(criterion_id ORDER BY criterion_id) FILTER (WHERE match), []) AS matched FROM verdict GROUP BY 1, 2),
+ranked AS (SELECT shown.*, matched, n || ' criteria hold' AS why, CASE WHEN share >= 0.75 THEN 'tier_1' WHEN share >= 0.5 THEN 'tier_2' WHEN share > 0 THEN 'tier_3' ELSE 'tier_4' END AS tier FROM shown JOIN per USING (seed_id, record_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY seed_id, tier ORDER BY cosine DESC, rank, record_id) AS position FROM ranked),
+total AS (SELECT seed_id, count(*) AS n FROM placed WHERE position <= 25 GROUP BY 1),
+every AS (SELECT seed_id, list(criterion_id ORDER BY criterion_id) AS ids FROM crit GROUP BY 1)
+"""
+
 
-@query()
-def similar_companies(spark, sf_dir):
-    """Nested results of the whole search for every seed, as JSON."""
+def _searched(spark, sf_dir):
     corpus, vectors = fx.corpus(spark, sf_dir), fx.vectors(spark, sf_dir)
     _, _, m, st = _er(spark, sf_dir)
     asked = fx.seeds(spark, sf_dir).select("seed_id", F.col("record_id").alias("query"))
-    result = similar_to(asked, corpus, resolution.twins(st, m), vectors, Options(broad_tags=fx.BROAD))
-    return result.documents.select("seed_id", "candidate_count_total", F.to_json(F.struct("seed", "criteria", "tiers")).alias("document"))
+    options = Options(broad_tags=fx.BROAD, criteria=lambda s: judging.criteria_from_tags(s), embedder=retrieval.letter_embedder, work=fx.scratch(spark))
+    return similar_to(asked, corpus, resolution.twins(st, m), vectors, options)
+
+
+@query(_ER + _SEARCH + """SELECT placed.seed_id, f.name AS seed_name, f.domain AS seed_domain, t.n AS candidate_count_total, tier AS llm_tier,
+  CASE tier WHEN 'tier_1' THEN 'Tier 1: closest peers' WHEN 'tier_2' THEN 'Tier 2: strong peers' WHEN 'tier_3' THEN 'Tier 3: partial peers' ELSE 'Tier 4: weak peers' END || ' — ' || first_value(why) OVER w AS tier_label,
+  array_to_string(first_value(matched) OVER w, ',') AS criteria_matched, array_to_string(list_filter(e.ids, lambda x: NOT list_contains(first_value(matched) OVER w, x)), ',') AS criteria_missing,
+  position, placed.record_id, placed.name, placed.domain, sha256(coalesce(placed.one_liner, '')) AS one_liner_sha256, round(cosine, 4) AS cosine, why AS tier_rationale, array_to_string(matched, ',') AS matched
+FROM placed JOIN found f USING (seed_id) JOIN total t USING (seed_id) JOIN every e USING (seed_id) WHERE position <= 25 WINDOW w AS (PARTITION BY placed.seed_id, tier ORDER BY position)""")
+def similar_companies(spark, sf_dir):
+    """The whole search for every seed: each candidate of each tier of the nested result documents."""
+    rows = _searched(spark, sf_dir).documents.select("seed_id", "seed", "candidate_count_total", F.explode("tiers").alias("t"))
+    rows = rows.select("*", F.explode("t.candidates").alias("c"))
+    ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select(
+        "seed_id", F.col("seed.name").alias("seed_name"), F.col("seed.domain").alias("seed_domain"), "candidate_count_total", "t.llm_tier", "t.tier_label",
+        ids("t.criteria_matched").alias("criteria_matched"), ids("t.criteria_missing").alias("criteria_missing"), F.col("c.position").cast("long").alias("position"), "c.record_id", "c.name", "c.domain",
+        F.sha2(F.coalesce("c.one_liner", F.lit("")), 256).alias("one_liner_sha256"), "c.cosine", "c.tier_rationale", ids("c.matched").alias("matched"),
+    )
+
+
+@query(_ER + _SEARCH + """SELECT s.seed_id, 'resolved' AS status, CASE WHEN n IS NULL THEN 'no_candidates' END AS error, n_tiers, n_tier_1, n AS n_total
+FROM seeds s LEFT JOIN (SELECT seed_id, count(DISTINCT tier) AS n_tiers, CAST(count(*) FILTER (WHERE tier = 'tier_1') AS BIGINT) AS n_tier_1, count(*) AS n FROM placed WHERE position <= 25 GROUP BY 1) USING (seed_id)""")
+def search_summary(spark, sf_dir):
+    return run_summary(_searched(spark, sf_dir)).drop("seconds")

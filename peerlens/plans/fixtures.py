@@ -28,7 +28,7 @@ SELECT 'r:' || cast(p_partkey AS string) AS record_id, 'crunchbase' AS source, p
     || CASE p_partkey % 3 WHEN 2 THEN '/' ELSE '/about?x=1' END END AS website,
   split(p_type || ',' || p_brand, ',') AS industries,
   CASE WHEN p_partkey % 10 = 0 THEN 'closed' ELSE 'active' END AS operating_status,
-  substr(d.text, 1, 200) AS one_liner, cast(NULL AS string) AS long_description,
+  CASE WHEN p_partkey % 3 = 0 THEN 'about ' || p_name END AS one_liner, d.text AS long_description,
   CASE WHEN p_partkey % 13 <> 0 THEN {_ENUM.format(hc=_HC.format(n="(p_size * 7)"))} END AS num_employees_enum,
   cast(NULL AS int) AS team_size, n.n_name AS country
 FROM {{part}} p LEFT JOIN {{documents}} d ON d.doc_id = p.p_partkey LEFT JOIN {{nation}} n ON n.n_nationkey = p.p_partkey % 25
@@ -51,6 +51,18 @@ FROM {part} WHERE p_partkey % 5 = 0
 """
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that all executors share: below spark.checkpoint.dir, or, in a local session without one, the warehouse."""
+    import uuid
+
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

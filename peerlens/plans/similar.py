@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
 from ..operators import enrichment, judging, prefilter, ranking, retrieval, seeds as seeds_
 
 
@@ -21,6 +22,10 @@ class Options:
     judge: judging.Judge = judging.judge_by_terms
     embedder: retrieval.Embedder = retrieval.hashed_embedder
     enrichment: enrichment.Provider | None = None
+    #: Criteria that are known already: cache_key, fingerprint, criteria.
+    criteria_cache: DataFrame | None = None
+    #: A folder that all executors share, for the tables between the steps; without one every result computes its steps itself.
+    work: str | None = None
 
 
 @dataclass
@@ -38,24 +43,27 @@ def similar_to(asked: DataFrame, corpus: DataFrame, twins: DataFrame, vectors: D
     """corpus: compact columns and texts with corpus_ord and has_description; vectors: record_id, embedding.
 
     Seeds that aren't found, or not uniquely, are rows of `status`; the others go on.  A seed without a vector is embedded
-    from its description."""
+    from its description; one that can't be embedded has similarity 0 to all of its candidates."""
     o = options or Options()
-    status = seeds_.lookup_status(asked, corpus)
+    status = stage(seeds_.lookup_status(asked, corpus), o.work, "status")
     found = seeds_.merge(seeds_.with_twins(status, twins), corpus)
     if o.enrichment is not None:
         found = enrichment.enrich(found, o.enrichment)
-    criteria = judging.extract_criteria(found, o.criteria)
-    judged = prefilter.judged(found, corpus, o.headcount_band, o.drop_self, o.broad_tags)
+    found = stage(found, o.work, "found")
+    cache = o.criteria_cache
+    criteria = judging.extract_criteria(found, o.criteria) if cache is None else judging.cached_or_extracted(found, cache, o.criteria)
+    criteria = stage(criteria, o.work, "criteria")
+    judged = stage(prefilter.judged(found, corpus, o.headcount_band, o.drop_self, o.broad_tags), o.work, "judged")
     pairs = judged.where("active and described and in_band and other").select("seed_id", "record_id")
     own = found.select("seed_id", "record_id", F.coalesce("description", F.lit("")).alias("text")).join(vectors, "record_id", "left")
     fresh = o.embedder(own.where(F.col("embedding").isNull()).select(F.col("seed_id").alias("record_id"), "text")).withColumnRenamed("record_id", "seed_id")
     seed_vectors = own.where(F.col("embedding").isNotNull()).select("seed_id", "embedding").union(fresh.select("seed_id", "embedding"))
-    retrieved = retrieval.top_k(seed_vectors, vectors, o.k, pairs)
+    retrieved = stage(retrieval.top_k(seed_vectors, vectors, o.k, pairs), o.work, "retrieved")
     meta = ranking.candidate_meta(corpus)
     # only the k best candidates of each seed meet their texts again
     texts = corpus.select("record_id", "industries")
     shown = retrieved.join(meta, "record_id").join(texts, "record_id").withColumn("description", F.col("description_full"))
-    answers = o.judge(shown, criteria)
+    answers = stage(o.judge(shown, criteria), o.work, "answers")
     verdicts = answers.select("seed_id", "record_id", "criterion_id", "match", "evidence")
     tiers = answers.select("seed_id", "record_id", "tier", "tier_rationale").distinct()
     bucketed = ranking.by_tier(retrieved, tiers)
@@ -63,8 +71,12 @@ def similar_to(asked: DataFrame, corpus: DataFrame, twins: DataFrame, vectors: D
     return Result(status, found, prefilter.funnel(judged), retrieved, verdicts, bucketed, documents)
 
 
-def run_summary(result: Result) -> DataFrame:
-    """seed_id, status, n_tiers, n_tier_1, n_total: one row for each asked seed, failed ones included."""
+def run_summary(result: Result, seconds: float | None = None) -> DataFrame:
+    """seed_id, status, error, seconds, n_tiers, n_tier_1, n_total: one row for each asked seed, failed ones included.
+
+    seconds: what the run took, if it was timed; seeds run as one plan, so it is the same for all of them."""
     one = F.col("tier") == "tier_1"
     per = result.tiers.groupBy("seed_id").agg(F.count_distinct("tier").alias("n_tiers"), F.sum(one.cast("long")).alias("n_tier_1"), F.count("*").alias("n_total"))
-    return result.status.select("seed_id", "status").join(per, "seed_id", "left")
+    failed = F.when(F.col("status") != seeds_.RESOLVED, F.col("status")).when(F.col("n_total").isNull(), "no_candidates")
+    rows = result.status.select("seed_id", "status").join(per, "seed_id", "left")
+    return rows.select("seed_id", "status", failed.alias("error"), F.lit(seconds).cast("double").alias("seconds"), "n_tiers", "n_tier_1", "n_total")

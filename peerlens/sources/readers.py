@@ -34,16 +34,58 @@ CORPUS_SCHEMA = (
 )
 
 
-def read_directory(spark: SparkSession, path: str, batches: tuple[str, ...] | None = BATCHES) -> DataFrame:
-    """Directory records of the given batches from pre-fetched JSON (an array or one object a line)."""
-    df = spark.read.schema(DIRECTORY_SCHEMA).option("multiLine", True).json(path)
+def read_directory(spark: SparkSession, path: str, batches: tuple[str, ...] | None = BATCHES, multi_line: bool = True) -> DataFrame:
+    """Directory records of the given batches from pre-fetched JSON: one array or object a file, or (not `multi_line`) one object
+    a line, which lets large files be split."""
+    df = spark.read.schema(DIRECTORY_SCHEMA).option("multiLine", multi_line).json(path)
     return df if batches is None else df.where(F.col("batch").isin(*batches))
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registry rows from CSV shards with headers, columns by name, malformed lines dropped.  A missing path is an error."""
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("inferSchema", False)
-    return reader.option("quote", '"').option("escape", '"').option("multiLine", True).csv(path).select(*REGISTRY_COLUMNS)
+def _shards(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by the columns that their headers name."""
+    import csv
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    found = fs.globStatus(root) or []
+    if not found:
+        raise FileNotFoundError(path)
+    out: dict[tuple[str, ...], list[str]] = {}
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    for status in [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]:
+        file = status.getPath()
+        if status.isDirectory() or file.getName().startswith(("_", ".")) or not status.getLen():
+            continue
+        codec, stream = codecs.getCodec(file), fs.open(file)
+        try:
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+            head = (lines.readLine() or "").lstrip("\ufeff")
+        finally:
+            stream.close()
+        out.setdefault(tuple(c.strip() for c in next(csv.reader([head]), [])), []).append(file.toString())
+    return out
+
+
+def read_registry(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Registry rows from CSV shards with headers, malformed lines dropped.  A missing path is an error.
+
+    Columns go by the names in each shard's own header, whatever their order; a column that a shard lacks is null there.  Shards
+    with one header are one scan.  Quoted line breaks need `multi_line`, under which a shard is one task; without it large shards
+    are split."""
+    parts = []
+    for head, files in _shards(spark, path).items():
+        # names that a header repeats, or leaves empty, can't be asked for
+        names = [c if c and head.index(c) == i else f"_unnamed{i}" for i, c in enumerate(head)]
+        reader = spark.read.schema(", ".join(f"`{c}` string" for c in names)).option("header", True).option("mode", "DROPMALFORMED")
+        df = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(files)
+        parts.append(df.select(*[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in REGISTRY_COLUMNS]))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in REGISTRY_COLUMNS))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def read_corpus(spark: SparkSession, path: str, source: str | None = None, tolerant: bool = False) -> DataFrame:

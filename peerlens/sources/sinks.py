@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +56,21 @@ def write_directory_extracts(directory: DataFrame, path: str) -> None:
     directory.select("name", "slug", "website", "batch", "status", "industries", "one_liner").write.mode("overwrite").json(f"{path}/seed")
 
 
-def html_page(results: DataFrame, title: str = "results") -> DataFrame:
-    """One row with a static page that embeds the results as JSON; for a set of seeds that fits a page."""
+def stage(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """`df` written to a folder that all executors share and read back, so that what follows doesn't compute it again; without a
+    folder `df` itself."""
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def html_page(results: DataFrame, title: str = "results", most: int = 1000) -> DataFrame:
+    """One row with a static page that embeds the results as JSON; more than `most` results don't fit a page and are an error."""
+    n = results.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} results don't fit one page")
     body = F.to_json(F.collect_list(F.struct(*results.columns)))
     safe = F.replace(body, F.lit("</"), F.lit("<\\/"))
     head = f"<!doctype html><meta charset=utf-8><title>{title}</title><script id=data type=application/json>"
