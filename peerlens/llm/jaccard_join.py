@@ -39,7 +39,7 @@ SHINGLE, PERCENT = 5, 80
 #: Tokens that so many first parts hold come last in the order; at most so many tokens are broadcast as such.
 FREQUENT, MOST_FREQUENT = 10, 500_000
 #: Sets and tokens of a block, on average; queries of a block that one task answers, on average.
-BLOCK, BLOCK_TOKENS, QUERIES = 128, 1 << 22, 256
+BLOCK, BLOCK_TOKENS, QUERIES = 256, 1 << 22, 256
 _NO_ID = 2**63 - 1
 
 
