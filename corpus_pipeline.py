@@ -1,7 +1,12 @@
 """A cleaning and packing pipeline over `documents`, built from the operators of peerlens.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
-of `documents`.  A stage that changes a text sets its `n_chars` to the new length; other columns are carried along.
+of `documents`.  A stage that changes a text sets its `n_chars` to the new length; other columns are carried along, whatever
+their names.
+
+Null texts and texts without words are rejected by the first stage; given to a later one, they stay as they are (packing gives
+them the end id alone).  Null ids are documents like any other.  Repeated rows are judged alike by the first two stages and the
+fourth; of equal texts one row stays after the third.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -70,7 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = common.finish(stage(spark, docs, sf_dir), name, *written)
+        written = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    common.drop_tables(*written)
+    return packed
