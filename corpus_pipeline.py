@@ -77,7 +77,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = common.finish(stage(spark, docs, sf_dir), name, *written)
+        with common.recorded() as made:
+            kept = stage(spark, docs, sf_dir)
+        docs = common.finish(kept, name, *made, *written)
         written = [docs]
     packed = STAGES[-1][1](spark, docs, sf_dir)
     common.drop_tables(*written)

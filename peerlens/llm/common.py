@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +122,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_recorded: ContextVar[list[DataFrame] | None] = ContextVar("_recorded", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The work tables made inside, so that they can be deleted when what is computed from them is written."""
+    made: list[DataFrame] = []
+    token = _recorded.set(made)
+    try:
+        yield made
+    finally:
+        _recorded.reset(token)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -136,6 +150,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     made = spark.read.schema(df.schema).parquet(path)
     made._work_path = path
+    if (tables := _recorded.get()) is not None:
+        tables.append(made)
     return made
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against plain Python on its own input."""
 
+import os
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -54,8 +56,12 @@ def test_stages(spark, sf_dir, documents):
     assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
 
 
-def test_run_gives_the_last_stage(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).columns[:3] == ["doc_id", "start", "length"] and corpus_pipeline.ORACLE_SQL is None
+def test_run_gives_the_last_stage_and_leaves_its_table_only(spark, sf_dir):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    made = corpus_pipeline.run(spark, sf_dir)
+    assert made.columns[:3] == ["doc_id", "start", "length"] and made.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["packed"]
 
 
 def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd, empty):
