@@ -121,7 +121,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a work table is written.  Spark removes the shuffles behind it when the write ends, and an Arrow batch holds
+#: 8 MiB at most (or one row): a batch of whole texts lies in the JVM and in the Python worker of each running task.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _recorded: ContextVar[list[DataFrame] | None] = ContextVar("_recorded", default=None)
 
 
@@ -142,12 +144,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The shuffles behind it have served by then, and Spark is told to remove their files when the write ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     made = spark.read.schema(df.schema).parquet(path)
     made._work_path = path
     if (tables := _recorded.get()) is not None:
