@@ -75,16 +75,48 @@ def match_method(domain: Column, name: Column) -> Column:
     return F.when(domain & name, "both").when(domain, "domain").otherwise("name+year")
 
 
+#: Fixed value: how a missing number is shown.
+NO_NUMBER = "—"
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    """x with so many digits (three at most), rounded as the binary value that it is, a tie away from zero."""
+    tie = F.when(x * 16 == F.floor(x * 16), F.signum(x) * 1e-9).otherwise(0.0)
+    return F.translate(F.format_number(x + tie, digits), ",", "")
+
+
 def display_number(n: Column) -> Column:
-    """1234 as 1.2K, 1234567 as 1.2M."""
+    """1200 as 1.2K, 2000 as 2K, 12345 as 12K, 1250000 as 1.3M; a missing number as a dash."""
+
+    def shown(x: Column, unit: str) -> Column:
+        return F.concat(F.regexp_replace(_fixed(x, 1), r"\.0$", ""), F.lit(unit))
+
     return (
-        F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, 1), F.lit("M")))
-        .when(n >= 1_000, F.concat(F.format_number(n / 1_000, 1), F.lit("K")))
+        F.when(n.isNull(), F.lit(NO_NUMBER))
+        .when(n >= 1_000_000, shown(n / 1_000_000, "M"))
+        .when(n >= 10_000, F.concat(F.round(n / 1_000).cast("long").cast("string"), F.lit("K")))
+        .when(n >= 1_000, shown(n / 1_000, "K"))
         .otherwise(n.cast("string"))
     )
 
 
+def display_cosine(c: Column) -> Column:
+    """Three digits; a missing similarity as a dash."""
+    return F.coalesce(_fixed(c.cast("double"), 3), F.lit(NO_NUMBER))
+
+
+def site_url(domain: Column) -> Column:
+    """A link to a domain, whatever scheme it has; null without a domain."""
+    return F.when(domain != "", F.concat(F.lit("https://"), F.regexp_replace(domain, "^https?://", "")))
+
+
+def criterion_class(criterion_id: Column) -> Column:
+    """The display class of a criterion: seven of them, in turn."""
+    return F.concat(F.lit("c"), (F.pmod(criterion_id - 1, F.lit(7)) + 1).cast("string"))
+
+
 def initials(name: Column) -> Column:
-    """First letters of the first two words, upper case."""
+    """First letters of the first two words, upper case; a question mark without any."""
     words = F.slice(F.filter(F.split(name, r"\s+"), lambda w: w != ""), 1, 2)
-    return F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
+    made = F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
+    return F.when(F.coalesce(made, F.lit("")) == "", F.lit("?")).otherwise(made)

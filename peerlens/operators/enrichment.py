@@ -54,6 +54,30 @@ def from_table(answers: DataFrame) -> Provider:
     return lambda domains: domains.join(answers, "domain", "left")
 
 
+def with_retry(exact: Provider, fuzzy: Provider) -> Provider:
+    """A provider that asks `fuzzy` for the domains that `exact` has no answer for."""
+
+    def ask(domains: DataFrame) -> DataFrame:
+        first = exact(domains).select("domain", "raw")
+        answered = first.where(F.col("raw").isNotNull())
+        return answered.unionByName(fuzzy(domains.join(answered, "domain", "left_anti")).select("domain", "raw"))
+
+    return ask
+
+
+def cached(cache: DataFrame, provider: Provider) -> Provider:
+    """A provider that takes answers from `cache` (domain, raw) and asks `provider` for the rest; a cached answer that isn't
+    JSON counts as missing."""
+    good = cache.where(F.expr("try_parse_json(raw)").isNotNull()).groupBy("domain").agg(F.min("raw").alias("raw"))
+    return with_retry(from_table(good), provider)
+
+
+def new_answers(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The rows of `answers` (domain, raw) to append to `cache`: domains that it has no JSON for."""
+    good = cache.where(F.expr("try_parse_json(raw)").isNotNull())
+    return answers.where(F.col("raw").isNotNull()).join(good, "domain", "left_anti").select("domain", "raw")
+
+
 def enrich(seeds: DataFrame, provider: Provider) -> DataFrame:
     """seeds with their enrichment; seeds without a domain or an answer have nulls."""
     keyed = seeds.withColumn("enrichment_domain", text.enrichment_domain("domain"))

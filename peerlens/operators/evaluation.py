@@ -67,6 +67,13 @@ def judged(labels: DataFrame, resolutions: DataFrame, found: DataFrame) -> DataF
     )
 
 
+def unresolved(labels: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """stratum, n_labels, n_unresolved: labels without a resolution, which `judged` leaves out."""
+    at = labels.join(resolutions.select("directory_id", F.lit(True).alias("resolved")), "directory_id", "left")
+    n = F.count_if(F.col("resolved").isNull())
+    return at.groupBy(F.coalesce("stratum", F.lit("unknown")).alias("stratum")).agg(F.count("*").alias("n_labels"), n.alias("n_unresolved"))
+
+
 def metrics(rows: DataFrame) -> DataFrame:
     """Precision and recall for each stratum and overall ("all")."""
     n = lambda c: F.sum(c.cast("long"))

@@ -791,12 +791,22 @@ def file_and_domain_keys(spark, sf_dir):
     return fx.corpus(spark, sf_dir).select("record_id", text.file_slug("name").alias("file_slug"), text.enrichment_domain("website").alias("enrichment_domain"), text.escape_html("name").alias("escaped"), text.domain_root("domain").alias("root"))
 
 
-@query("""SELECT record_id, CASE WHEN n >= 1000000 THEN format('{:.1f}M', n / 1000000.0) WHEN n >= 1000 THEN format('{:.1f}K', n / 1000.0) ELSE CAST(n AS VARCHAR) END AS shown,
-  upper(name[1]) || CASE WHEN len(string_split(name, ' ')) > 1 THEN upper(string_split(name, ' ')[2][1]) ELSE '' END AS initials FROM (SELECT record_id, name, CASE WHEN corpus_ord % 2 = 0 THEN corpus_ord * corpus_ord * 100 ELSE corpus_ord END AS n FROM registry)""")
+@query("""SELECT record_id, CASE WHEN n IS NULL THEN '—' WHEN n >= 1000000 THEN regexp_replace(format('{:.1f}', m + CASE WHEN m * 16 = floor(m * 16) THEN 1e-9 ELSE 0 END), '\\.0$', '') || 'M'
+    WHEN n >= 10000 THEN CAST(CAST(floor(k + 0.5) AS BIGINT) AS VARCHAR) || 'K'
+    WHEN n >= 1000 THEN regexp_replace(format('{:.1f}', k + CASE WHEN k * 16 = floor(k * 16) THEN 1e-9 ELSE 0 END), '\\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END AS shown,
+  upper(name[1]) || CASE WHEN len(string_split(name, ' ')) > 1 THEN upper(string_split(name, ' ')[2][1]) ELSE '' END AS initials,
+  CASE WHEN domain IS NOT NULL THEN 'https://' || domain END AS link, 'c' || ((corpus_ord + 6) % 7 + 1) AS shade,
+  CASE WHEN c IS NULL THEN '—' ELSE format('{:.3f}', c + CASE WHEN c * 16 = floor(c * 16) THEN sign(c) * 1e-9 ELSE 0 END) END AS cosine
+  FROM (SELECT *, n / 1e3 AS k, n / 1e6 AS m FROM (SELECT record_id, name, domain, corpus_ord, CASE WHEN corpus_ord % 11 = 0 THEN NULL WHEN corpus_ord % 2 = 0 THEN corpus_ord * corpus_ord * 50 ELSE corpus_ord * 10 END AS n,
+    CASE WHEN corpus_ord % 5 <> 0 THEN (corpus_ord % 257 - 128) / 128e0 END AS c FROM registry))""")
 def shown_numbers(spark, sf_dir):
-    r = fx.registry(spark, sf_dir)
-    n = F.when(F.col("corpus_ord") % 2 == 0, F.col("corpus_ord") * F.col("corpus_ord") * 100).otherwise(F.col("corpus_ord"))
-    return r.select("record_id", company.display_number(n).alias("shown"), company.initials(F.col("name")).alias("initials"))
+    k = F.col("corpus_ord")
+    n = F.when(k % 11 != 0, F.when(k % 2 == 0, k * k * 50).otherwise(k * 10))
+    c = F.when(k % 5 != 0, (k % 257 - 128) / 128)
+    return fx.registry(spark, sf_dir).select(
+        "record_id", company.display_number(n).alias("shown"), company.initials(F.col("name")).alias("initials"), company.site_url(F.concat(F.lit("http://"), "domain")).alias("link"),
+        company.criterion_class(k).alias("shade"), company.display_cosine(c).alias("cosine"),
+    )
 
 
 @query("SELECT record_id, CASE WHEN k % 3 = 0 THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT record_id, corpus_ord AS k FROM directory) WHERE k % 3 = 0 OR k % 7 = 1")

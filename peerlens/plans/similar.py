@@ -17,6 +17,8 @@ class Options:
     k: int = 25
     headcount_band: int | None = None
     drop_self: bool = True
+    #: Whether the seed's record of the other source is no candidate either.
+    drop_twin: bool = False
     broad_tags: tuple[str, ...] = prefilter.BROAD_TAGS
     criteria: judging.CriteriaProvider = judging.criteria_from_tags
     judge: judging.Judge = judging.judge_by_terms
@@ -53,7 +55,7 @@ def similar_to(asked: DataFrame, corpus: DataFrame, twins: DataFrame, vectors: D
     cache = o.criteria_cache
     criteria = judging.extract_criteria(found, o.criteria) if cache is None else judging.cached_or_extracted(found, cache, o.criteria)
     criteria = stage(criteria, o.work, "criteria")
-    judged = stage(prefilter.judged(found, corpus, o.headcount_band, o.drop_self, o.broad_tags), o.work, "judged")
+    judged = stage(prefilter.judged(found, corpus, o.headcount_band, o.drop_self, o.broad_tags, twins if o.drop_twin else None), o.work, "judged")
     pairs = judged.where("active and described and in_band and other").select("seed_id", "record_id")
     own = found.select("seed_id", "record_id", F.coalesce("description", F.lit("")).alias("text")).join(vectors, "record_id", "left")
     fresh = o.embedder(own.where(F.col("embedding").isNull()).select(F.col("seed_id").alias("record_id"), "text")).withColumnRenamed("record_id", "seed_id")

@@ -81,7 +81,13 @@ def test_truthy(spark):
 
 def test_display(spark):
     assert values(spark, company.display_number, [12, 1234, 2_500_000], "long") == ["12", "1.2K", "2.5M"]
-    assert values(spark, company.initials, ["big old co", "x"]) == ["BO", "X"]
+    # ties of the binary value go up: 1.15 lies below its tie, 1.25 on it
+    shown = values(spark, company.display_number, [None, 1000, 1150, 1250, 9_999, 12_500, 999_999, 1_250_000, 3_000_000, 1_234_500_000], "long")
+    assert shown == ["—", "1K", "1.1K", "1.3K", "10K", "13K", "1000K", "1.3M", "3M", "1234.5M"]
+    assert values(spark, company.display_cosine, [None, 0.0625, -0.0625, 0.9, 1.0], "double") == ["—", "0.063", "-0.063", "0.900", "1.000"]
+    assert values(spark, company.site_url, ["a.com", "http://b.org/x", "", None]) == ["https://a.com", "https://b.org/x", None, None]
+    assert values(spark, company.criterion_class, [1, 7, 8], "long") == ["c1", "c7", "c1"]
+    assert values(spark, company.initials, ["big old co", "x", "", None]) == ["BO", "X", "?", "?"]
     assert values(spark, text.escape_html, ["<a href='x'>&\""]) == ["&lt;a href=&#39;x&#39;&gt;&amp;&quot;"]
 
 

@@ -262,3 +262,43 @@ def test_label_rows_show_fixed_columns(spark, sf_dir):
         assert x["status"] == "absent_from_crunchbase" or x["near_rows"] is None
         ranks = [n["rank"] for n in x["near_rows"] or []]
         assert ranks == sorted(ranks)
+
+
+def test_cached_answers_and_retry(spark):
+    def table(rows):
+        return spark.createDataFrame(rows, "domain string, raw string")
+
+    asked = []
+
+    def live(rows):
+        def ask(domains):
+            asked.append({r["domain"] for r in domains.collect()})
+            return enrichment.from_table(table(rows))(domains)
+
+        return ask
+
+    cache = table([("a.com", '{"domains": ["a.com"]}'), ("b.com", "{broken")])
+    provider = enrichment.cached(cache, enrichment.with_retry(live([("b.com", '{"domains": ["b.com"]}')]), live([("c.com", "{}")])))
+    answers = provider(spark.createDataFrame([("a.com",), ("b.com",), ("c.com",), ("d.com",)], "domain string"))
+    assert {r["domain"]: r["raw"] for r in answers.collect()} == {"a.com": '{"domains": ["a.com"]}', "b.com": '{"domains": ["b.com"]}', "c.com": "{}", "d.com": None}
+    assert asked == [{"b.com", "c.com", "d.com"}, {"c.com", "d.com"}]
+    assert {r["domain"] for r in enrichment.new_answers(cache, answers).collect()} == {"b.com", "c.com"}
+    assert provider(answers.select("domain").limit(0)).count() == 0
+
+
+def test_twin_stays_unless_asked(spark):
+    from peerlens.operators import prefilter
+
+    seeds_ = spark.createDataFrame([(1, "cb:1", ["x"], None, None)], "seed_id long, record_id string, industries array<string>, num_employees_enum string, team_size int")
+    rows = [(i, s, ["x"], None, None, "active", True) for i, s in (("cb:1", "crunchbase"), ("yc:1", "yc"), ("cb:2", "crunchbase"))]
+    records = spark.createDataFrame(rows, "record_id string, source string, industries array<string>, num_employees_enum string, team_size int, operating_status string, has_description boolean")
+    twins = spark.createDataFrame([("yc:1", "cb:1"), ("yc:9", "cb:2")], "directory_id string, registry_id string")
+    ids = lambda df: {r["record_id"] for r in df.collect()}
+    assert ids(prefilter.candidates(seeds_, records, broad=())) == {"yc:1", "cb:2"}
+    assert ids(prefilter.candidates(seeds_, records, broad=(), twins=twins)) == {"cb:2"}
+
+
+def test_labels_without_a_resolution_are_counted(spark):
+    labels = spark.createDataFrame([("d:1", None, "easy"), ("d:2", "r:2", "easy"), ("d:3", None, None)], "directory_id string, gold_id string, stratum string")
+    made = evaluation.unresolved(labels, spark.createDataFrame([("d:1", "absent")], "directory_id string, status string"))
+    assert {r["stratum"]: (r["n_labels"], r["n_unresolved"]) for r in made.collect()} == {"easy": (2, 1), "unknown": (1, 1)}
