@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, language_id, line_dedup, media_match, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from . import bpe, conversation_trie, jaccard_join, language_id, line_dedup, media_match, packing, quality_rules, secret_scan, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": _over_documents(bpe.digests),
         "op9_secret_scan": _over_documents(secret_scan.spans),
         "op10_jaccard_join": _over_documents(jaccard_join.join),
+        "op12_conversation_trie": lambda spark, sf_dir: conversation_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     }
 
 
@@ -40,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.REMOVALS_SQL,
         "op9_secret_scan": secret_scan.SPANS_SQL,
         "op10_jaccard_join": jaccard_join.JOIN_SQL,
+        "op12_conversation_trie": conversation_trie.NODES_SQL,
     }
