@@ -210,14 +210,15 @@ class Words:
     """The words of a slice of texts, as offsets into one byte buffer.
 
     `first[d]:first[d + 1]` are the words of text d; a null text has none.  `start` and `end` are byte offsets in `data`.
+    `outside` tells of each byte whether it parts words; the line feed has to.
     """
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], outside: np.ndarray = _SPACE):
         blobs = [t or b"" for t in texts]
         self.data = b"\n".join(blobs)
         raw = np.frombuffer(self.data, dtype=np.uint8)
         self.raw = raw
-        space = np.concatenate([[True], _SPACE[raw], [True]])
+        space = np.concatenate([[True], outside[raw], [True]])
         edge = space[1:] != space[:-1]
         at = np.flatnonzero(edge)
         self.start, self.end = at[0::2], at[1::2]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversation_trie, jaccard_join, language_id, line_dedup, media_match, packing, quality_rules, secret_scan, substring_dedup, token_counts
+from . import bpe, conversation_trie, jaccard_join, language_id, lexical_search, line_dedup, media_match, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": _over_documents(bpe.digests),
         "op9_secret_scan": _over_documents(secret_scan.spans),
         "op10_jaccard_join": _over_documents(jaccard_join.join),
+        "op11_quality_classifier": lambda spark, sf_dir: quality_classifier.predictions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op12_conversation_trie": lambda spark, sf_dir: conversation_trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+        "op13_lexical_search": lambda spark, sf_dir: lexical_search.search(
+            _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+        ).drop("tier"),
     }
 
 
@@ -42,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_secret_scan": secret_scan.SPANS_SQL,
         "op10_jaccard_join": jaccard_join.JOIN_SQL,
         "op12_conversation_trie": conversation_trie.NODES_SQL,
+        "op13_lexical_search": lexical_search.SEARCH_SQL,
     }
