@@ -10,7 +10,7 @@ columns of one row for each document, so a search of the upper tiers reads their
 
 A search reads tier 0 first and keeps the `CANDIDATES` documents with the highest sums of each item; these get their exact
 scores from all tiers.  No other document can score above the next highest sum plus the residual bounds of the item's terms.
-If that is below the 20th exact score, the item is proven exact and done; all other items fall through to the next tier.  The
+If that is 0 or below the 20th exact score, the item is proven exact and done; all others fall through to the next tier.  The
 last tier has no residual, so what reaches it is exact.  Ties go by ascending doc_id, null first.
 
 Items are searched in blocks (dealt by a hash of the id, some `BLOCK_TERMS` terms and `BLOCK_ITEMS` items each): only one
@@ -314,7 +314,8 @@ def _search(rows: DataFrame, block: Block, n_docs: int, n_terms: int, most: int,
                 rest[r["item"]] = r["score"]
             for r in scored.where(F.col("place") == most).collect():
                 bar[r["item"]] = r["score"]
-            proven = np.flatnonzero((rest + block.sums(bounds[upto]) < bar))
+            most_left = rest + block.sums(bounds[upto])
+            proven = np.flatnonzero((most_left < bar) | (most_left == 0))
             common.drop_tables(found)
             found = scored.where(F.col("place") <= most)
         names = spark.createDataFrame([(int(i), block.items[i]) for i in proven], "item long, item_id long")

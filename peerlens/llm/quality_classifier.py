@@ -12,7 +12,8 @@ proportions of all labels; a fifth of the sample fits the temperature of the pro
 
 Bounds: about `SAMPLE` labelled rows (a documented parameter), half of each label, chosen by a hash of the id, one for each
 id; word vectors are SLOTS x DIM numbers whatever the vocabulary.  Rows whose crc32(id as text) mod 5 is 0 and rows without an
-id are never learnt from; labels, language, source and id are no inputs of a score, so repeated texts get equal scores.  An id
+id are never learnt from; labels, language, source and id are no inputs of a score; scores are rounded to 6 digits, so that repeated texts
+get equal ones whatever they are computed along with.  An id
 with several labels counts as its smallest, labels other than 0 and 1 as none; of an id with several texts the one with the
 smallest features is learnt.
 
@@ -40,7 +41,7 @@ DAMPING = 1e-3
 THRESHOLD = 0.3
 FOLDS = 5
 WIDTH = 2 * DIM + 3
-_BLOCK = 1 << 17
+_BLOCK = 1 << 16
 
 _KIND = np.full(256, 2, np.int8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -138,9 +139,9 @@ class Vectors:
         slot, total = t.slots(), np.zeros((len(texts), 2 * DIM + 1))
         for a in range(0, len(slot), _BLOCK):
             s, d = slot[a : a + _BLOCK], t.doc[a : a + _BLOCK]
-            v, w = self.words[s], self.weight[s][:, None]
+            v, w = self.words[s].astype(np.float64), self.weight[s][:, None]
             first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            total[d[first]] += np.add.reduceat(np.concatenate([v * w, v * v * w, w], axis=1), first, axis=0, dtype=np.float64)
+            total[d[first]] += np.add.reduceat(np.concatenate([v * w, v * v * w, w], axis=1), first, axis=0)
         weight = np.maximum(total[:, -1:], 1e-12)
         mean = total[:, :DIM] / weight
         spread = np.sqrt(np.maximum(total[:, DIM:-1] / weight - mean * mean, 0))
@@ -263,7 +264,7 @@ def scored(documents: DataFrame, keep: dict[str, Column], model: Model, text: st
     """`keep`, score and predicted (1 if the score reaches the threshold) of every whole text."""
 
     def run(texts):
-        p = model.scores(texts)
+        p = model.scores(texts).round(6)
         return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
 
     return _bytes(documents, keep, text, run, "score double, predicted int")
