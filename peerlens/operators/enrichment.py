@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.sinks import stage
+from .calls import Call, Policy, guarded
 
 #: The lists of competitor domains in an answer, in the order in which they count.
 COMPETITOR_LISTS = ("competitor_website_domains", "organic_seo_competitors_website_domains", "paid_seo_competitors_website_domains")
@@ -54,6 +56,21 @@ def from_table(answers: DataFrame) -> Provider:
     return lambda domains: domains.join(answers, "domain", "left")
 
 
+def live(call: Call, work: str, policy: Policy = Policy()) -> Provider:
+    """A provider over a live service: `call` gets a domain and returns the answer's JSON text.  Errors and empty answers (no
+    text, an empty list, an object without results or a name) are answers that aren't there.  Answers are written to `work`, a
+    folder that all executors share, so that no domain is asked for twice."""
+
+    def ask(domains: DataFrame) -> DataFrame:
+        rows = guarded(domains.select("domain"), call, "domain", "domain", policy)
+        body = F.try_parse_json("response")
+        one = F.from_json("response", "struct<results:array<string>,name:string>")
+        empty = body.isNull() | F.btrim("response").rlike(r"^\[\s*\]$") | (F.btrim("response").startswith("{") & ~F.coalesce(F.size(one["results"]) > 0, F.lit(False)) & one["name"].isNull())
+        return stage(rows.select("domain", F.when(~empty, F.col("response")).alias("raw")), work, "answers")
+
+    return ask
+
+
 def with_retry(exact: Provider, fuzzy: Provider) -> Provider:
     """A provider that asks `fuzzy` for the domains that `exact` has no answer for."""
 

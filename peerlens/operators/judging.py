@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.sinks import stage
+from . import calls as calls_
 
 #: What a judge answers for one seed; numbers may come as texts and verdicts as texts.
 RESPONSE = (
@@ -59,11 +62,93 @@ def criteria_keys(seeds: DataFrame, version: str = "1") -> DataFrame:
     return seeds.select("seed_id", text.cache_key("record_id", asked).alias("cache_key"), print_.alias("fingerprint"))
 
 
-def prompts(seeds: DataFrame, candidates: DataFrame, most: int = 600) -> DataFrame:
-    """seed_id, prompt: the seed and its labelled candidates as text for a live judge."""
+CRITERIA_RESPONSE = "struct<criteria:array<struct<id:int,text:string,rationale:string>>>"
+#: Characters of a seed's description in a prompt.
+DESCRIPTION = 2500
+
+
+def _lines(c: Column) -> Column:
+    return F.array_join(c, "\n")
+
+
+def criteria_prompts(seeds: DataFrame) -> DataFrame:
+    """seed_id, prompt: a seed and what is asked for, as text for a live source of criteria.
+
+    Description, industries, user_query and the summaries of an enrichment are used where `seeds` has them."""
+    has = lambda c: text.missing_if_empty(F.col(c)) if c in seeds.columns else F.lit(None).cast("string")
+    line = lambda label, c: F.concat(F.lit(label), c)  # noqa: E731  null where the value is
+    asked = F.coalesce(has("user_query"), F.concat(F.lit("companies similar to "), "name"))
+    tags = F.array_join(F.slice(text.as_list(F.col("industries")), 1, 8), ", ") if "industries" in seeds.columns else F.lit("")
+    parts = F.array(
+        F.lit("State 4 to 6 short criteria that every true peer of this company meets, so that each can be checked alone."),
+        line("Wanted: ", asked), line("Company: ", F.col("name")), line("Industries: ", F.when(tags != "", tags)),
+        line("Description: ", F.substring(F.coalesce(has("description"), F.lit("none")), 1, DESCRIPTION)),
+        line("Competitors: ", has("competitors_summary")), line("Categories: ", has("taxonomy_summary")), line("Founders: ", has("founders_summary")),
+        F.lit("Leave size, age and funding out, and places unless they are wanted."),
+        F.lit('Answer as JSON: {"criteria": [{"id": 1, "text": "...", "rationale": "..."}]}'),
+    )
+    return seeds.select("seed_id", _lines(F.filter(parts, lambda x: x.isNotNull())).alias("prompt"))
+
+
+def prompts(seeds: DataFrame, candidates: DataFrame, most: int = 600, criteria: DataFrame | None = None) -> DataFrame:
+    """seed_id, prompt: the seed, its criteria if given, and its labelled candidates as text for a live judge."""
     line = F.format_string("[%s] %s (similarity %.3f): %s", "label", "name", "cosine", F.substring(F.coalesce("description", F.lit("")), 1, most))
-    lines = candidates.groupBy("seed_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    return seeds.join(lines, "seed_id").select("seed_id", F.concat(F.lit("Company: "), "name", F.lit("\nCandidates:\n"), "lines").alias("prompt"))
+    lines = candidates.groupBy("seed_id").agg(_lines(F.transform(F.array_sort(F.collect_list(F.struct("label", line.alias("line")))), lambda x: x["line"])).alias("lines"))
+    rows, asked = seeds.join(lines, "seed_id"), F.lit("")
+    if criteria is not None:
+        numbered = F.struct("criterion_id", F.concat(F.col("criterion_id").cast("string"), F.lit(". "), "text").alias("line"))
+        per = criteria.groupBy("seed_id").agg(_lines(F.transform(F.array_sort(F.collect_list(numbered)), lambda x: x["line"])).alias("asked"))
+        rows, asked = rows.join(per, "seed_id", "left"), F.coalesce(F.concat(F.lit("\nCriteria:\n"), "asked"), F.lit(""))
+    return rows.select("seed_id", F.concat(F.lit("Company: "), "name", asked, F.lit("\nCandidates:\n"), "lines").alias("prompt"))
+
+
+@dataclass
+class Live:
+    """A live model: a function from a prompt to an answer, called behind `calls.guarded`.
+
+    Answers are written to `work`, a folder that all executors share, so none is asked for twice; seeds whose call failed are
+    asked again in `passes` further passes."""
+
+    call: calls_.Call
+    work: str
+    policy: calls_.Policy = field(default_factory=calls_.Policy)
+    passes: int = 1
+
+    def ask(self, requests: DataFrame, readable: Column | None = None) -> DataFrame:
+        """seed_id, response, error, seconds, attempts of requests (seed_id, prompt); an answer that isn't `readable` is an error."""
+
+        def checked(rows: DataFrame) -> DataFrame:
+            bad = F.col("error").isNull() & ~F.coalesce(F.lit(True) if readable is None else readable, F.lit(False))
+            return stage(rows.withColumns({"error": F.when(bad, "unreadable answer").otherwise(F.col("error")), "response": F.when(~bad, F.col("response"))}), self.work, "calls")
+
+        requests = stage(requests, self.work, "requests")
+        made = checked(calls_.guarded(requests, self.call, "seed_id", policy=self.policy))
+        for _ in range(self.passes):
+            if not calls_.failed(made).take(1):
+                break
+            made = checked(calls_.again(made, requests, self.call, "seed_id", policy=self.policy))
+        return made
+
+
+def criteria_by_model(seeds: DataFrame, live: Live) -> tuple[DataFrame, DataFrame]:
+    """(criteria, calls) of a live model; a seed whose call failed has no criteria and an error in `calls`."""
+    body = F.from_json("response", CRITERIA_RESPONSE)["criteria"]
+    made = live.ask(criteria_prompts(seeds), F.size(body) > 0)
+    rows = made.where(F.col("error").isNull()).select("seed_id", F.posexplode(body).alias("i", "c"))
+    number = F.coalesce(F.col("c.id"), F.col("i") + 1)
+    rows = rows.select("seed_id", number.alias("criterion_id"), F.col("c.text").alias("text"), F.coalesce("c.rationale", F.lit("")).alias("rationale"))
+    return rows.where(text.missing_if_empty(F.col("text")).isNotNull()).dropDuplicates(["seed_id", "criterion_id"]), made
+
+
+def judged_by_model(seeds: DataFrame, shown: DataFrame, criteria: DataFrame, live: Live) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdicts, tiers, calls) of a live model, one call a seed.
+
+    shown: seed_id, record_id, name, cosine, rank, description.  A seed whose call failed has neither verdicts nor tiers."""
+    marked = labelled(shown)
+    answers = F.from_json("response", RESPONSE)["ranked_candidates"]
+    made = live.ask(prompts(seeds, marked, criteria=criteria), answers.isNotNull())
+    verdicts, tiers = parse(made.where(F.col("error").isNull()).select("seed_id", "response"), marked, criteria)
+    return verdicts, tiers, made
 
 
 def labelled(ranked: DataFrame) -> DataFrame:

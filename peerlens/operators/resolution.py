@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import company, text
+from ..functions import company, script, text
 
 #: Founding years at most this far apart agree.
 YEAR_WINDOW = 2
@@ -46,6 +46,18 @@ def name_year_matches(directory: DataFrame, registry: DataFrame, hits: DataFrame
     return hits.agg(F.max(~F.col("is_former")).alias("by_current"), F.max("is_former").alias("by_former"))
 
 
+def script_matches(directory: DataFrame, registry: DataFrame) -> DataFrame:
+    """directory_id, registry_id, is_former of names that are equal only once accents are dropped and other scripts are read as
+    Latin letters (`script.folded`), with agreeing years.
+
+    One equi-join on the folded name; pairs whose names are equal as they stand are left to `name_hits`."""
+    d = name_keys(directory).withColumn("folded", script.folded(F.col("key"))).where(F.col("folded") != "")
+    d = d.select(F.col("record_id").alias("directory_id"), F.col("founded_year").alias("dy"), "key", "is_former", "folded")
+    r = registry.where(F.col("name_norm") != "").select(F.col("record_id").alias("registry_id"), F.col("founded_year").alias("ry"), "name_norm", script.folded(F.col("name_norm")).alias("folded"))
+    met = d.join(r, "folded").where((F.col("key") != F.col("name_norm")) & (F.abs(F.col("dy") - F.col("ry")) <= YEAR_WINDOW))
+    return met.groupBy("directory_id", "registry_id").agg(F.min("is_former").alias("is_former"))
+
+
 def matches(directory: DataFrame, registry: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """One row for each candidate pair with its evidence.  hits: `name_hits`, if at hand."""
     no, yes = F.lit(False), F.lit(True)

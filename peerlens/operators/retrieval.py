@@ -1,8 +1,9 @@
 """Vector retrieval: the k most similar candidates of each seed by cosine.
 
 Similarities are doubles rounded to 6 digits, ties go by record id; a zero vector has similarity 0 to every other, and rows
-without a vector are in no result.  `top_k` stays in the JVM; `top_k_matrix` multiplies
-Arrow batches with the seeds' matrix in numpy, for few seeds against very many vectors, and gives the same rows.
+without a vector are in no result.  `top_k` stays in the JVM; `top_k_matrix` multiplies Arrow batches with the seeds' matrix in
+numpy, for few seeds against very many vectors; `top_k_tiled` deals seeds and vectors over the cells of a grid and multiplies
+matrices in each, for any number of seeds in one scan of the vectors.  All give the same rows.
 """
 
 from __future__ import annotations
@@ -16,21 +17,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: The seeds' vectors are broadcast if they are at most so many; more are dealt over several such sets.
+#: The seeds' vectors are broadcast if they are at most so many; more are searched by tiles.
 MOST_MATRIX_SEEDS = 4096
+#: Vectors and seeds in one cell of a grid.
+TILE_VECTORS, TILE_SEEDS = 32_768, 2048
+#: Seeds whose products with a batch of vectors are held at once.
+STEP = 128
 
 
-def _dealt(seeds: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """The union of `search` over sets of seeds, dealt by a hash; None if all of them may be broadcast at once."""
-    n = seeds.count()
-    if n <= MOST_MATRIX_SEEDS:
-        return None
-    parts = -(-2 * n // MOST_MATRIX_SEEDS)
-    deal = F.pmod(F.xxhash64("seed_id", F.lit(n)), F.lit(parts))
-    out = search(seeds.where(deal == 0))
-    for i in range(1, parts):
-        out = out.union(search(seeds.where(deal == i)))
-    return out
+def _many(seeds: DataFrame) -> bool:
+    return seeds.limit(MOST_MATRIX_SEEDS + 1).count() > MOST_MATRIX_SEEDS
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,8 +57,8 @@ def top_k(seeds: DataFrame, vectors: DataFrame, k: int = 25, pairs: DataFrame |
     """seed_id, record_id, cosine, rank; among `pairs` (seed_id, record_id) if given, else among all vectors.
 
     Partial top-k happens before the shuffle (WindowGroupLimit)."""
-    if pairs is None and (made := _dealt(seeds, lambda part: top_k(part, vectors, k))) is not None:
-        return made
+    if pairs is None and _many(seeds):
+        return top_k_tiled(seeds, vectors, k)
     # each vector's length is computed once, not once for each pair
     s = seeds.where(F.col("embedding").isNotNull()).select("seed_id", F.col("embedding").alias("e"), norm(F.col("embedding")).alias("ne"))
     v = vectors.where(F.col("embedding").isNotNull()).select("record_id", "embedding", norm(F.col("embedding")).alias("nv"))
@@ -70,36 +66,98 @@ def top_k(seeds: DataFrame, vectors: DataFrame, k: int = 25, pairs: DataFrame |
     return _first(rows.select("seed_id", "record_id", cosine_of_units(F.col("embedding"), F.col("e"), F.col("nv"), F.col("ne")).alias("cosine")), k)
 
 
+def _kinds(seeds: DataFrame, vectors: DataFrame) -> str:
+    kind = {n: df.schema[n].dataType.simpleString() for n, df in (("seed_id", seeds), ("record_id", vectors))}
+    return f"seed_id {kind['seed_id']}, record_id {kind['record_id']}, cosine double"
+
+
+def units(column: pa.Array) -> np.ndarray:
+    """The vectors of a column as rows of unit length; zero vectors stay zero."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1 if len(flat) else 0)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def best(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest entries of each column, the first rows of equal ones; so at most k for each column."""
+    n = min(k, len(cosines))
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = np.partition(cosines, len(cosines) - n, axis=0)[len(cosines) - n]
+    above = cosines > near
+    even = cosines == near
+    even &= np.cumsum(even, axis=0) <= n - above.sum(axis=0)
+    return np.nonzero(above | even)
+
+
+def _by_id(table: pa.Table, column: str) -> pa.Table:
+    return table.sort_by(column)
+
+
+def _scored(seed_ids: pa.Array, matrix: np.ndarray, record_ids: pa.Array, x: np.ndarray, k: int) -> list[pa.Array]:
+    """seed_id, record_id and cosine of the k best of each seed among vectors in order of their ids; some seeds at a time."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(matrix), STEP):
+        c = np.round(x @ matrix[a : a + STEP].T, 6) + 0.0
+        at, seed = best(c, k)
+        found.append((seed + a, at, c[at, seed]))
+    seed, at, c = (np.concatenate(f) for f in zip(*found))
+    return [seed_ids.take(pa.array(seed)), record_ids.take(pa.array(at)), pa.array(c)]
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def top_k_matrix(seeds: DataFrame, vectors: DataFrame, k: int = 25) -> DataFrame:
     """As `top_k` over all vectors.  Each batch sends on its k best of each seed only."""
-    if (made := _dealt(seeds, lambda part: top_k_matrix(part, vectors, k))) is not None:
-        return made
-    kind = {n: seeds.schema["seed_id"].dataType if n == "seed_id" else vectors.schema["record_id"].dataType for n in ("seed_id", "record_id")}
-    got = seeds.where(F.col("embedding").isNotNull()).select(F.col("seed_id").cast("string").alias("seed_id"), "embedding").toArrow()
-    ids = got.column("seed_id").to_pylist()
-    matrix = np.array(got.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1 if ids else 0)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    if _many(seeds):
+        return top_k_tiled(seeds, vectors, k)
+    got = seeds.where(F.col("embedding").isNotNull()).select("seed_id", "embedding").toArrow()
+    ids, matrix = _one(got.column("seed_id")), units(got.column("embedding"))
 
     def run(batches):
         for batch in batches:
-            flat = batch.column(1)
-            x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
-            if not len(x) or not len(ids):
-                continue
-            c = (x @ matrix.T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            name = np.array(batch.column(0).to_pylist(), object)
-            n = min(k, len(x))
-            out: list[tuple] = []
-            for j, seed in enumerate(ids):
-                near = np.sort(c[:, j])[-n]
-                best = np.flatnonzero(c[:, j] >= near - 1e-6)  # with what rounding may tie
-                out += [(seed, name[i], float(c[i, j])) for i in best]
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.float64())], names=["seed_id", "record_id", "c"])
-
-    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col("record_id").cast("string").alias("record_id"), "embedding")
-    rows = rows.mapInArrow(run, "seed_id string, record_id string, c double")
-    return _first(rows.select(*[F.col(n).cast(t).alias(n) for n, t in kind.items()], F.round("c", 6).alias("cosine")), k)
+            if len(batch) and len(ids):
+                t = _by_id(pa.Table.from_batches([batch]), "record_id")
+                yield pa.RecordBatch.from_arrays(_scored(ids, matrix, _one(t.column("record_id")), units(t.column("embedding")), k), names=["seed_id", "record_id", "cosine"])
+
+    rows = vectors.where(F.col("embedding").isNotNull()).select("record_id", "embedding")
+    return _first(rows.mapInArrow(run, _kinds(seeds, vectors)), k)
+
+
+def grid(rows: DataFrame, others: DataFrame, most: int, most_others: int, key: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables with columns tile and tile_other: every row of one meets every row of the other in exactly one cell.
+
+    A cell holds about `most` rows and `most_others` others, as the tables are counted first and dealt by a hash of `key` (the
+    first column otherwise); a table that is small enough is one tile."""
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((rows, most), (others, most_others)))
+
+    def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
+        at = F.pmod(F.xxhash64(F.lit(parts), *(key or [F.col(df.columns[0])])), F.lit(parts)) if parts > 1 else F.lit(0).cast("long")
+        return df.select("*", at.cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+
+    return dealt(rows, "tile", n, "tile_other", m), dealt(others, "tile_other", m, "tile", n)
+
+
+def top_k_tiled(seeds: DataFrame, vectors: DataFrame, k: int = 25, tile_seeds: int = TILE_SEEDS, tile_vectors: int = TILE_VECTORS) -> DataFrame:
+    """As `top_k` over all vectors, for any number of seeds: one scan of the vectors, a matrix product in each cell of a grid of
+    seed tiles and vector tiles, which sends on k rows for each of its seeds.  Nothing is broadcast.
+
+    Vectors are shuffled once for each tile of seeds and seeds once for each tile of vectors, in all (seeds x vectors) / tile size."""
+    s = seeds.where(F.col("embedding").isNotNull()).select("seed_id", "embedding")
+    v = vectors.where(F.col("embedding").isNotNull()).select("record_id", "embedding")
+    left, right = grid(s, v, tile_seeds, tile_vectors)
+    kinds = _kinds(seeds, vectors)
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table([pa.array([], t.column(c).type) for t, c in ((a, "seed_id"), (b, "record_id"))] + [pa.array([], pa.float64())], names=["seed_id", "record_id", "cosine"])
+        b = _by_id(b, "record_id")
+        return pa.table(_scored(_one(a.column("seed_id")), units(a.column("embedding")), _one(b.column("record_id")), units(b.column("embedding")), k), names=["seed_id", "record_id", "cosine"])
+
+    met = left.groupBy("tile", "tile_other").cogroup(right.groupBy("tile", "tile_other")).applyInArrow(cell, kinds)
+    return _first(met, k)
 
 
 def fetch(ids: DataFrame, vectors: DataFrame) -> DataFrame:

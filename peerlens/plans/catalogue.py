@@ -736,12 +736,11 @@ def metrics_sink(spark, sf_dir):
 
 @query("SELECT name AS slug, count(*) AS n FROM (SELECT n_name AS name FROM nation JOIN customer ON c_nationkey = n_nationkey) GROUP BY 1", views=False)
 def results_round_trip(spark, sf_dir):
-    """Result documents, one a slug, written and read back with the slug of their folders."""
+    """Result documents, one a slug, written and found again."""
     path = fx.scratch(spark)
     per = fx.table(spark, sf_dir, "customer").join(fx.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("slug")).agg(F.count("*").alias("n"))
     sinks.write_results(per, path)
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select("slug", F.get_json_object("value", "$.n").cast("long").alias("n"))
+    return readers.read_results(spark, path, "n long")
 
 
 @query("SELECT c_custkey AS seed_id, 'p' || c_custkey AS prompt, 'r' || c_nationkey AS response FROM customer", views=False)

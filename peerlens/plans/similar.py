@@ -22,6 +22,9 @@ class Options:
     broad_tags: tuple[str, ...] = prefilter.BROAD_TAGS
     criteria: judging.CriteriaProvider = judging.criteria_from_tags
     judge: judging.Judge = judging.judge_by_terms
+    #: Live models that are asked instead; a seed whose call fails becomes an error row and doesn't stop the others.
+    criteria_model: judging.Live | None = None
+    judge_model: judging.Live | None = None
     embedder: retrieval.Embedder = retrieval.hashed_embedder
     enrichment: enrichment.Provider | None = None
     #: Criteria that are known already: cache_key, fingerprint, criteria.
@@ -39,6 +42,8 @@ class Result:
     verdicts: DataFrame
     tiers: DataFrame
     documents: DataFrame = field(repr=False)
+    #: seed_id, step, error, seconds, attempts of the calls of live models; None without these.
+    calls: DataFrame | None = None
 
 
 def similar_to(asked: DataFrame, corpus: DataFrame, twins: DataFrame, vectors: DataFrame, options: Options | None = None) -> Result:
@@ -52,11 +57,19 @@ def similar_to(asked: DataFrame, corpus: DataFrame, twins: DataFrame, vectors: D
     if o.enrichment is not None:
         found = enrichment.enrich(found, o.enrichment)
     found = stage(found, o.work, "found")
-    cache = o.criteria_cache
-    criteria = judging.extract_criteria(found, o.criteria) if cache is None else judging.cached_or_extracted(found, cache, o.criteria)
+    cache, calls, provider = o.criteria_cache, [], o.criteria
+    if o.criteria_model is not None:
+
+        def provider(rows: DataFrame) -> DataFrame:
+            made, asked = judging.criteria_by_model(rows, o.criteria_model)
+            calls.append(_calls(asked, "criteria"))
+            return made
+
+    criteria = judging.extract_criteria(found, provider) if cache is None else judging.cached_or_extracted(found, cache, provider)
     criteria = stage(criteria, o.work, "criteria")
-    judged = stage(prefilter.judged(found, corpus, o.headcount_band, o.drop_self, o.broad_tags, twins if o.drop_twin else None), o.work, "judged")
-    pairs = judged.where("active and described and in_band and other").select("seed_id", "record_id")
+    judged = prefilter.judged(found, corpus, o.headcount_band, o.drop_self, o.broad_tags, twins if o.drop_twin else None)
+    # the pairs that pass are written, not every tag hit; the funnel counts the hits by itself
+    pairs = stage(judged.where("active and described and in_band and other").select("seed_id", "record_id"), o.work, "pairs")
     own = found.select("seed_id", "record_id", F.coalesce("description", F.lit("")).alias("text")).join(vectors, "record_id", "left")
     fresh = o.embedder(own.where(F.col("embedding").isNull()).select(F.col("seed_id").alias("record_id"), "text")).withColumnRenamed("record_id", "seed_id")
     seed_vectors = own.where(F.col("embedding").isNotNull()).select("seed_id", "embedding").union(fresh.select("seed_id", "embedding"))
@@ -65,20 +78,39 @@ def similar_to(asked: DataFrame, corpus: DataFrame, twins: DataFrame, vectors: D
     # only the k best candidates of each seed meet their texts again
     texts = corpus.select("record_id", "industries")
     shown = retrieved.join(meta, "record_id").join(texts, "record_id").withColumn("description", F.col("description_full"))
-    answers = stage(o.judge(shown, criteria), o.work, "answers")
-    verdicts = answers.select("seed_id", "record_id", "criterion_id", "match", "evidence")
-    tiers = answers.select("seed_id", "record_id", "tier", "tier_rationale").distinct()
+    if o.judge_model is not None:
+        verdicts, tiers, asked = judging.judged_by_model(found, stage(shown, o.work, "shown"), criteria, o.judge_model)
+        calls.append(_calls(asked, "judge"))
+        verdicts, tiers = stage(verdicts, o.work, "verdicts"), stage(tiers, o.work, "tiers")
+    else:
+        answers = stage(o.judge(shown, criteria), o.work, "answers")
+        verdicts = answers.select("seed_id", "record_id", "criterion_id", "match", "evidence")
+        tiers = answers.select("seed_id", "record_id", "tier", "tier_rationale").distinct()
     bucketed = ranking.by_tier(retrieved, tiers)
     documents = ranking.documents(found, criteria, bucketed, verdicts, meta)
-    return Result(status, found, prefilter.funnel(judged), retrieved, verdicts, bucketed, documents)
+    made = None
+    for c in calls:
+        made = c if made is None else made.union(c)
+    return Result(status, found, prefilter.funnel(judged), retrieved, verdicts, bucketed, documents, made)
+
+
+def _calls(asked: DataFrame, step: str) -> DataFrame:
+    return asked.select("seed_id", F.lit(step).alias("step"), "error", "seconds", "attempts")
 
 
 def run_summary(result: Result, seconds: float | None = None) -> DataFrame:
     """seed_id, status, error, seconds, n_tiers, n_tier_1, n_total: one row for each asked seed, failed ones included.
 
-    seconds: what the run took, if it was timed; seeds run as one plan, so it is the same for all of them."""
+    The error of a seed is its lookup's, or that of the first live call that failed for it, or that nothing was found.  Its
+    seconds are those of its own live calls; without live models all seeds run as one plan, and `seconds`, what the run took if
+    it was timed, is the same for all of them."""
     one = F.col("tier") == "tier_1"
     per = result.tiers.groupBy("seed_id").agg(F.count_distinct("tier").alias("n_tiers"), F.sum(one.cast("long")).alias("n_tier_1"), F.count("*").alias("n_total"))
-    failed = F.when(F.col("status") != seeds_.RESOLVED, F.col("status")).when(F.col("n_total").isNull(), "no_candidates")
     rows = result.status.select("seed_id", "status").join(per, "seed_id", "left")
-    return rows.select("seed_id", "status", failed.alias("error"), F.lit(seconds).cast("double").alias("seconds"), "n_tiers", "n_tier_1", "n_total")
+    called, took = F.lit(None).cast("string"), F.lit(seconds).cast("double")
+    if result.calls is not None:
+        bad = F.struct((F.col("step") != "criteria").alias("later"), F.concat("step", F.lit(": "), "error").alias("error"))
+        own = result.calls.groupBy("seed_id").agg(F.min(F.when(F.col("error").isNotNull(), bad)).alias("bad"), F.sum("seconds").alias("took"))
+        rows, called, took = rows.join(own, "seed_id", "left"), F.col("bad.error"), F.col("took")
+    failed = F.when(F.col("status") != seeds_.RESOLVED, F.col("status")).when(called.isNotNull(), called).when(F.col("n_total").isNull(), "no_candidates")
+    return rows.select("seed_id", "status", failed.alias("error"), took.alias("seconds"), "n_tiers", "n_tier_1", "n_total")

@@ -127,7 +127,15 @@ def cached_criteria(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(cache.select("cache_key", "fingerprint", "criteria"), ["cache_key", "fingerprint"], "left")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result documents below a folder, with the slug of each file's name; files that aren't JSON are left out."""
-    df = spark.read.option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", "*_results.json").json(path)
-    return df.withColumn("slug", F.regexp_extract(F.input_file_name(), r"([^/]+)_results\.json$", 1))
+def read_results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Result documents below a folder with their slugs, from what `sinks.write_results` writes (a folder for each slug) and from
+    single documents named {slug}_results.json.  What isn't JSON is left out, and so is a slug without any document.
+
+    schema: the fields of the documents; without one a row holds the document's text as `value`."""
+    named = r"([^/]+)_results\.json$"
+    lines = spark.read.schema("value string, slug string").option("recursiveFileLookup", False).option("pathGlobFilter", "part-*").text(path)
+    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*_results.json").schema("value string").text(path)
+    whole = whole.select("value", F.regexp_extract(F.col("_metadata.file_path"), named, 1).alias("slug"))
+    rows = lines.where(F.col("slug").isNotNull()).select("value", "slug").union(whole)
+    rows = rows.where(F.expr("try_parse_json(value)").isNotNull())
+    return rows if schema is None else rows.select("slug", F.from_json("value", schema).alias("r")).select("slug", "r.*")

@@ -37,10 +37,14 @@ def write_metrics(metrics: DataFrame, errors: DataFrame, path: str) -> None:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """One JSON document a seed, in a folder for each slug."""
-    results.select("slug", F.to_json(F.struct(*[c for c in results.columns if c != "slug"]), {"pretty": "true"}).alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy("slug").text(path)
+    """One JSON document a seed and line, in a folder for each slug; `readers.read_results` finds them."""
+    results.select("slug", F.to_json(F.struct(*[c for c in results.columns if c != "slug"])).alias("value")).write.mode("overwrite").partitionBy("slug").text(path)
+
+
+def write_index(codes: DataFrame, path: str) -> None:
+    """The lists of `operators.vector_index.encode` in order of their cells, so that a filter by cell reads its row groups only."""
+    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    codes.repartitionByRange(parts, "cell", "record_id").sortWithinPartitions("cell", "record_id").write.mode("overwrite").parquet(path)
 
 
 def append_audit(calls: DataFrame, path: str) -> None:
