@@ -137,7 +137,7 @@ def criteria_by_model(seeds: DataFrame, live: Live) -> tuple[DataFrame, DataFram
     rows = made.where(F.col("error").isNull()).select("seed_id", F.posexplode(body).alias("i", "c"))
     number = F.coalesce(F.col("c.id"), F.col("i") + 1)
     rows = rows.select("seed_id", number.alias("criterion_id"), F.col("c.text").alias("text"), F.coalesce("c.rationale", F.lit("")).alias("rationale"))
-    return rows.where(text.missing_if_empty(F.col("text")).isNotNull()).dropDuplicates(["seed_id", "criterion_id"]), made
+    return rows.where(F.btrim("text") != "").dropDuplicates(["seed_id", "criterion_id"]), made
 
 
 def judged_by_model(seeds: DataFrame, shown: DataFrame, criteria: DataFrame, live: Live) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -67,8 +67,8 @@ def train(pairs: DataFrame, work: str | None = None, steps: int = 40, batch: int
     from .retrieval import norm
 
     usable = [(F.col(c).isNotNull() & (norm(F.col(c)) > 0)) for c in ("anchor", "positive")]
-    rows = pairs.select("pair_id", *[F.col(c).cast("array<double>").alias(c) for c in ("anchor", "positive")]).where(usable[0] & usable[1]).dropDuplicates(["pair_id"])
-    rows = stage(rows, work, "pairs")
+    rows = pairs.select("pair_id", *[F.col(c).cast("array<double>").alias(c) for c in ("anchor", "positive")]).dropDuplicates(["pair_id"])
+    rows = stage(rows, work, "pairs").where(usable[0] & usable[1])
     first = rows.agg(F.count("*").alias("n"), F.max(F.size("anchor")).alias("width")).first()
     if not first["n"]:
         return Head(np.zeros((0, 0)))

@@ -145,8 +145,9 @@ def top_k_tiled(seeds: DataFrame, vectors: DataFrame, k: int = 25, tile_seeds: i
     seed tiles and vector tiles, which sends on k rows for each of its seeds.  Nothing is broadcast.
 
     Vectors are shuffled once for each tile of seeds and seeds once for each tile of vectors, in all (seeds x vectors) / tile size."""
-    s = seeds.where(F.col("embedding").isNotNull()).select("seed_id", "embedding")
-    v = vectors.where(F.col("embedding").isNotNull()).select("record_id", "embedding")
+    # columns of their own, since both tables may come from one
+    s = seeds.where(F.col("embedding").isNotNull()).select(F.col("seed_id").alias("seed_id"), F.col("embedding").alias("seed"))
+    v = vectors.where(F.col("embedding").isNotNull()).select(F.col("record_id").alias("record_id"), F.col("embedding").alias("vector"))
     left, right = grid(s, v, tile_seeds, tile_vectors)
     kinds = _kinds(seeds, vectors)
 
@@ -154,7 +155,7 @@ def top_k_tiled(seeds: DataFrame, vectors: DataFrame, k: int = 25, tile_seeds: i
         if not len(a) or not len(b):
             return pa.table([pa.array([], t.column(c).type) for t, c in ((a, "seed_id"), (b, "record_id"))] + [pa.array([], pa.float64())], names=["seed_id", "record_id", "cosine"])
         b = _by_id(b, "record_id")
-        return pa.table(_scored(_one(a.column("seed_id")), units(a.column("embedding")), _one(b.column("record_id")), units(b.column("embedding")), k), names=["seed_id", "record_id", "cosine"])
+        return pa.table(_scored(_one(a.column("seed_id")), units(a.column("seed")), _one(b.column("record_id")), units(b.column("vector")), k), names=["seed_id", "record_id", "cosine"])
 
     met = left.groupBy("tile", "tile_other").cogroup(right.groupBy("tile", "tile_other")).applyInArrow(cell, kinds)
     return _first(met, k)
@@ -172,13 +173,13 @@ def missing(corpus: DataFrame, vectors: DataFrame) -> DataFrame:
 def hashed_vector(c: Column, size: int = 64) -> Column:
     """The offline embedding: signed hashed word counts, unit length."""
     words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(size))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.when(slot(w) == i, F.when(F.pmod(F.crc32(w), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    sign = lambda w: F.when(F.pmod(F.crc32(w), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).alias("slot"), sign(w).alias("sign")))
+    total = lambda h, i: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.when(x["slot"] == i, x["sign"]).otherwise(0.0))
+    # lists of one, so that words are hashed, slots counted and the length computed once and not wherever they are used
+    counts = F.transform(F.array(hashed), lambda h: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: total(h, i)))
+    sized = F.transform(counts, lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)).alias("n")))
+    return F.transform(sized, lambda y: F.transform(y["v"], lambda x: F.when(y["n"] > 0, x / y["n"]).otherwise(0.0).cast("float")))[0]
 
 
 Embedder = Callable[[DataFrame], DataFrame]

@@ -4,7 +4,8 @@
 the code of what the cell's centre leaves of it, `parts` bytes a vector.  `search` looks into the `probes` cells whose centres
 are nearest to a query, estimates similarities from tables of the query's products with the codebooks, keeps the `shortlist`
 best estimates of each query and ranks these by their exact cosine.  With all cells probed and a shortlist as long as the table
-the result is exact.
+the result is exact.  How many cells to probe is measured when the model is fitted: the fewest that hold the share `target` of
+the sample's exact neighbours of some of its vectors, so vectors without clusters are probed widely and clustered ones little.
 
 Bounds: the model (cells x width and 256 x width numbers) goes to every task.  Queries and codes meet in a grid within each
 cell, so that neither a cell which very many vectors share nor one that very many queries probe is one task.  Each meeting
@@ -36,6 +37,7 @@ TILE_CODES, TILE_QUERIES = 65_536, 512
 class Model:
     centres: np.ndarray  # cells x width
     books: np.ndarray  # parts x CODES x (width / parts)
+    probes: int = 16
 
     @property
     def parts(self) -> int:
@@ -87,7 +89,22 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
-def fit(vectors: DataFrame, cells: int | None = None, parts: int = 16, sample: int = SAMPLE, rounds: int = 8, seed: int = 42) -> Model | None:
+def probes_for(model: Model, x: np.ndarray, k: int, target: float, queries: int = 256) -> int:
+    """The fewest cells that hold a share `target` of the k nearest rows of x of its first rows, these themselves left out."""
+    q = x[:queries]
+    if len(x) < 2:
+        return 1
+    s = q @ x.T
+    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(x) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    place = np.argsort(model.cells(q, len(model.centres)), axis=1)  # of each cell in a query's order
+    own = np.concatenate([model.cells(x[a : a + 4096])[:, 0] for a in range(0, len(x), 4096)])
+    found = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(found[min(len(found) - 1, int(np.ceil(target * len(found))) - 1)]) + 1
+
+
+def fit(vectors: DataFrame, cells: int | None = None, parts: int = 16, sample: int = SAMPLE, rounds: int = 8, k: int = 50, target: float = 0.95, seed: int = 42) -> Model | None:
     """The model of about `sample` vectors at most, chosen by a hash of their ids; None if there is no vector.
 
     By default the square root of the number of vectors is the number of cells.  The width has to be a multiple of `parts`."""
@@ -110,7 +127,9 @@ def fit(vectors: DataFrame, cells: int | None = None, parts: int = 16, sample: i
     for j in range(parts):
         found = kmeans(rest[:, j], CODES, rounds, seed + j)
         books[j] = found[np.minimum(np.arange(CODES), len(found) - 1)]
-    return Model(centres, books)
+    made = Model(centres, books)
+    made.probes = probes_for(made, x, k, target)
+    return made
 
 
 def encode(vectors: DataFrame, model: Model) -> DataFrame:
@@ -152,14 +171,14 @@ def _tiled(rows: DataFrame, own: str, most: int, other: str, id_: str, per: Data
     return rows.join(F.broadcast(per), "cell").select(*rows.columns, at.alias(own), F.explode(copies).alias(other))
 
 
-def search(seeds: DataFrame, codes: DataFrame, vectors: DataFrame, model: Model | None, k: int = 50, probes: int = 16, shortlist: int = 400) -> DataFrame:
+def search(seeds: DataFrame, codes: DataFrame, vectors: DataFrame, model: Model | None, k: int = 50, probes: int | None = None, shortlist: int = 400) -> DataFrame:
     """seed_id, record_id, cosine, rank: the k best of each seed's shortlist by exact cosine.
 
-    `codes` is what `encode` made of `vectors`; it and the seeds are counted by cell first."""
+    `codes` is what `encode` made of `vectors`; it and the seeds are counted by cell first.  probes: the model's own, if not given."""
     seed_kind, record_kind = (df.schema[c].dataType.simpleString() for df, c in ((seeds, "seed_id"), (codes, "record_id")))
     if model is None:
         return seeds.sparkSession.createDataFrame([], f"seed_id {seed_kind}, record_id {record_kind}, cosine double, rank int")
-    asked = probed(seeds, model, probes)
+    asked = probed(seeds, model, probes or model.probes)
     # one row for each cell of the model
     per = codes.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("m")), "cell")
     left = _tiled(asked, "tile", TILE_QUERIES, "tile_other", "seed_id", per, "m", "n", TILE_CODES)

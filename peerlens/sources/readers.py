@@ -133,9 +133,12 @@ def read_results(spark: SparkSession, path: str, schema: str | None = None) -> D
 
     schema: the fields of the documents; without one a row holds the document's text as `value`."""
     named = r"([^/]+)_results\.json$"
-    lines = spark.read.schema("value string, slug string").option("recursiveFileLookup", False).option("pathGlobFilter", "part-*").text(path)
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*_results.json").schema("value string").text(path)
+    parts = spark.read.option("pathGlobFilter", "part-*")
+    by_slug = "slug" in parts.text(path).columns
+    lines = parts.schema("value string, slug string").text(path) if by_slug else spark.createDataFrame([], "value string, slug string")
+    # where there are folders for slugs, Spark passes over files beside them unless it looks them all up
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_results.json").schema("value string").text(path, wholetext=True)
     whole = whole.select("value", F.regexp_extract(F.col("_metadata.file_path"), named, 1).alias("slug"))
-    rows = lines.where(F.col("slug").isNotNull()).select("value", "slug").union(whole)
+    rows = lines.select("value", "slug").union(whole)
     rows = rows.where(F.expr("try_parse_json(value)").isNotNull())
     return rows if schema is None else rows.select("slug", F.from_json("value", schema).alias("r")).select("slug", "r.*")
