@@ -14,7 +14,7 @@ parts within `SCOPE` code points of it; it is reported only if a complementary p
 Positions are code points, end exclusive.  They come from splitting the text by the pattern: pieces and matches alternate,
 so running lengths give every start.  Matches of one kind are leftmost and don't overlap; matches that fail a length rule
 still use up their text.  Running lengths are kept over chunks of `CHUNK` matches and within each chunk, so a text with very
-many matches costs no square of their number.
+many matches costs no square of their number.  Tokens are tested for overlap by chunks too, against the base spans near a chunk.
 
 Null and empty texts have no spans.  Rows that agree on id and text are judged alike and each keeps its row; a null id is
 a document like any other.  An empty table gives an empty table; other columns are not looked at.
@@ -57,11 +57,28 @@ def _over_chunks(items: Column, measure: Callable, combine: Callable, inner: Cal
         edges = F.aggregate(steps, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(combine(F.element_at(acc, -1), t))))
         return _let(edges, lambda e: F.flatten(F.transform(parts, lambda p, i: inner(p, F.get(e, i), F.get(e, i + 1)))))
 
-    def cut(z: Column) -> Column:
-        last = F.floor((F.size(z) - 1) / CHUNK).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(z, i * CHUNK + 1, F.lit(CHUNK)))
+    return _let(items, lambda z: _let(_cut(z), over))
 
-    return _let(items, lambda z: _let(cut(z), over))
+
+def _cut(items: Column) -> Column:
+    """A non-empty array in chunks of CHUNK items."""
+    last = F.floor((F.size(items) - 1) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _apart(weak: Column, base: Column) -> Column:
+    """The weak candidates but for tokens that overlap a base span.
+
+    A chunk of candidates is compared with the base spans that reach into its part of the text only."""
+
+    def within(chunk: Column) -> Column:
+        first, end = F.array_min(F.transform(chunk, lambda w: w["start"])), F.array_max(F.transform(chunk, lambda w: w["end"]))
+        near = _let(F.struct(first.alias("a"), end.alias("b")), lambda r: F.filter(base, lambda b: (b["start"] < r["b"]) & (b["end"] > r["a"])))
+        meets = lambda n, w: F.exists(n, lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
+        return _let(near, lambda n: F.filter(chunk, lambda w: (w["kind"] != 3) | ~meets(n, w)))
+
+    parts = _let(weak, lambda z: F.flatten(F.transform(_cut(z), within)))
+    return F.when((F.size(weak) > 0) & (F.size(base) > 0), parts).otherwise(weak)
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, maybe: Column | None = None, also=None) -> Column:
@@ -105,8 +122,7 @@ def scan(df: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFram
             _matches(t, ENDPOINT, 5, maybe=F.contains(t, F.lit("://"))),
         ).alias("weak"),
     )
-    apart = lambda w: (w["kind"] != 3) | ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
-    return found.withColumn("weak", F.filter("weak", apart))
+    return found.withColumn("weak", _apart(F.col("weak"), F.col("base")))
 
 
 def _kind_in(kind: Column, *names: str) -> Column:

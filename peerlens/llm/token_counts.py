@@ -11,12 +11,15 @@ start without a one-character piece also offers an unknown piece of that charact
 pieces in a row are one, and with byte fallback an unknown run costs a token for each of its UTF-8 bytes if the vocabulary
 has all of these bytes.
 
-Null and empty texts count 0.  Repeated rows give repeated results; an empty table gives an empty table.
+Null and empty texts count 0.  Repeated rows give repeated results; an empty table gives an empty table.  Long texts are
+counted whole, word by word; a text without spaces is one word, searched in memory of its length.  Columns other than id and
+text are never read.
 """
 
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,8 +30,11 @@ from .bpe import rank_path
 
 PIECES = "piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words whose counts a worker remembers.
-REMEMBERED = 200_000
+#: Distinct words whose counts a worker remembers, and the most characters of one: some 30 MB in all.  Texts without spaces are
+#: words of any length, which seldom come again.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+#: Words from so many characters on are searched over packed arrays, 24 bytes a character instead of some 95.
+LONG = 4096
 
 
 @functools.lru_cache(maxsize=2)
@@ -67,8 +73,11 @@ class Counter:
     def word(self, text: str) -> int:
         """Pieces of one marked word."""
         n = len(text)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        run = [-1] * (n + 1)  # the start of the unknown run that the path ends in, or -1
+        if n < LONG:
+            score, count, run = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        else:
+            score, count, run = array("d", [0.0]) * (n + 1), array("q", [0]) * (n + 1), array("q", [-1]) * (n + 1)
+        # run: the start of the unknown run that the path ends in, or -1
         at, best, start, unknown, single = 1, None, 0, False, False
 
         def close() -> None:
@@ -105,9 +114,11 @@ class Counter:
         for word in pieces_of(text):
             got = memo.get(word)
             if got is None:
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                got = memo[word] = self.word(word)
+                got = self.word(word)
+                if len(word) <= REMEMBERED_CHARS:
+                    if len(memo) >= REMEMBERED:
+                        memo.clear()
+                    memo[word] = got
             total += got
         return total
 

@@ -240,6 +240,26 @@ def test_secrets_of_a_very_long_text(spark):
     assert {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()} == {1: "".join([*want, text[at:]]), 2: "none"}
 
 
+def test_secrets_of_many_tokens_and_hex_strings(spark):
+    """Overlaps of tokens with base spans over many chunks: as tested one by one, in a text with thousands of both."""
+    import re
+
+    parts = []
+    for i in range(6000):
+        parts.append(f"Ab{i * 7919:018d}Z" if i % 3 else f"token=Ab{i:020d}Z")
+        parts.append(f"{i * 104729 + 1:024x}")
+    text = " ".join(parts) + " user_name: joe"
+    base = [m.span() for m in re.finditer(secret_scan.ASSIGN, text)] + [m.span() for m in re.finditer(secret_scan.HEX, text)]
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), {}).first()
+    tokens = [m.span() for m in re.finditer(secret_scan.TOKEN, text) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
+    begin = sorted(base)
+    import bisect
+
+    apart = [t for t in tokens if not any(a < t[1] and b > t[0] for a, b in begin[max(0, bisect.bisect(begin, t) - 3) : bisect.bisect(begin, t) + 3])]
+    assert 3000 < len(apart) < len(tokens)
+    assert sorted((w["start"], w["end"]) for w in got["weak"] if w["kind"] == 3) == sorted(apart)
+
+
 def test_secrets_of_odd_rows(odd, empty):
     assert secret_scan.spans(odd).count() == odd.count() and secret_scan.spans(empty).count() == 0
     again = secret_scan.redact(odd)
@@ -253,4 +273,4 @@ def test_secrets_stay_native(documents):
 
 def test_every_operator_is_registered():
     names = queries.queries()
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
