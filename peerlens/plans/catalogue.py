@@ -52,7 +52,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT record_id, name_norm FROM corpus")
 def normalize_names(spark, sf_dir):
-    return fx.corpus(spark, sf_dir).select("record_id", "name_norm")
+    return fx.corpus(spark, sf_dir, False, False).select("record_id", "name_norm")
 
 
 @query(f"SELECT page_id, {fx.domain_sql('url')} AS domain FROM pages", views=False)
@@ -97,7 +97,7 @@ def headcount_bucket(spark, sf_dir):
 
 @query("SELECT record_id, coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'seed') AS slug FROM corpus")
 def slugify(spark, sf_dir):
-    return fx.corpus(spark, sf_dir).select("record_id", text.slugify("name").alias("slug"))
+    return fx.corpus(spark, sf_dir, False, False).select("record_id", text.slugify("name").alias("slug"))
 
 
 @query("""SELECT record_id, replace(replace(record_id, ':', '_'), '/', '_') || '__' || sha256(coalesce(country, ''))[:8] AS cache_key,
@@ -128,18 +128,18 @@ def null_rates(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n FROM corpus GROUP BY 1")
 def counts_by_source(spark, sf_dir):
-    return corpus_.counts_by_source(fx.corpus(spark, sf_dir))
+    return corpus_.counts_by_source(fx.corpus(spark, sf_dir, False, False))
 
 
 @query("SELECT name_norm, count(*) AS n, min(corpus_ord) AS first_ord FROM corpus WHERE name_norm <> '' GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, first_ord, name_norm LIMIT 20")
 def name_collisions(spark, sf_dir):
-    return corpus_.name_collisions(fx.corpus(spark, sf_dir), least=2)
+    return corpus_.name_collisions(fx.corpus(spark, sf_dir, False, False), least=2)
 
 
 @query("""SELECT count(DISTINCT nullif(domain, '')) AS n_domains, count(DISTINCT nullif(name_norm, '')) AS n_names,
   (SELECT count(DISTINCT t) FROM (SELECT unnest(industries) AS t FROM corpus) WHERE t <> '') AS n_industries FROM corpus""")
 def index_cardinalities(spark, sf_dir):
-    return corpus_.cardinalities(fx.corpus(spark, sf_dir))
+    return corpus_.cardinalities(fx.corpus(spark, sf_dir, False, False))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n FROM corpus" for c in ("record_id", "source", "name", "name_norm", "industries")))
@@ -149,7 +149,7 @@ def schema_violations(spark, sf_dir):
 
 @query("SELECT value, count(*) AS n FROM (SELECT unnest(industries) AS value FROM corpus) GROUP BY 1")
 def industry_frequency(spark, sf_dir):
-    return corpus_.frequencies(fx.corpus(spark, sf_dir), "industries")
+    return corpus_.frequencies(fx.corpus(spark, sf_dir, False, False), "industries")
 
 
 # --- entity resolution -----------------------------------------------------------------------------------------------
@@ -194,9 +194,9 @@ judged AS (
 """.replace("NORM", fx.norm_sql("fn"))
 
 
-def _er(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(directory, registry, matches, resolutions)"""
-    d, r = fx.directory(spark, sf_dir), fx.registry(spark, sf_dir)
+def _er(spark: SparkSession, sf_dir: str, bare: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(directory, registry, matches, resolutions); `bare` without texts and places, which matching doesn't need"""
+    d, r = fx.directory(spark, sf_dir, not bare), fx.registry(spark, sf_dir, not bare, not bare)
     hits = resolution.name_hits(d, r).persist()
     m = resolution.matches(d, r, hits).persist()
     return d, r, m, resolution.resolve(d, r, m, hits)
@@ -204,57 +204,57 @@ def _er(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFra
 
 @query(_ER + "SELECT directory_id, registry_id FROM dom")
 def er_domain_join(spark, sf_dir):
-    return resolution.domain_matches(fx.directory(spark, sf_dir), fx.registry(spark, sf_dir))
+    return resolution.domain_matches(fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False))
 
 
 @query(_ER + "SELECT directory_id, registry_id, c AS by_current, f AS by_former FROM ny")
 def er_name_year_join(spark, sf_dir):
-    return resolution.name_year_matches(fx.directory(spark, sf_dir), fx.registry(spark, sf_dir))
+    return resolution.name_year_matches(fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False))
 
 
 @query(_ER + "SELECT directory_id, directory_name, registry_id, registry_name, registry_domain, registry_year, match_method, domain_match, name_match, year_delta, via_former, by_current, by_former FROM m")
 def er_matches(spark, sf_dir):
-    return resolution.matches(fx.directory(spark, sf_dir), fx.registry(spark, sf_dir))
+    return resolution.matches(fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False))
 
 
 @query(_ER + "SELECT directory_id, directory_name, status, n_matches, failure_reason, cross_name_split FROM st")
 def er_status(spark, sf_dir):
-    return _er(spark, sf_dir)[3]
+    return _er(spark, sf_dir, bare=True)[3]
 
 
 @query(_ER + "SELECT status, count(*) AS n FROM st GROUP BY 1")
 def er_status_counts(spark, sf_dir):
-    return resolution.status_counts(_er(spark, sf_dir)[3])
+    return resolution.status_counts(_er(spark, sf_dir, bare=True)[3])
 
 
 @query(_ER + "SELECT coalesce(failure_reason, 'no_signal') AS reason, count(*) AS n FROM st WHERE n_matches = 0 GROUP BY 1")
 def er_failure_reason(spark, sf_dir):
-    return resolution.failure_reasons(_er(spark, sf_dir)[3])
+    return resolution.failure_reasons(_er(spark, sf_dir, bare=True)[3])
 
 
 @query(_ER + "SELECT directory_id FROM st WHERE cross_name_split")
 def er_split(spark, sf_dir):
-    return _er(spark, sf_dir)[3].where("cross_name_split").select("directory_id")
+    return _er(spark, sf_dir, bare=True)[3].where("cross_name_split").select("directory_id")
 
 
 @query(_ER + "SELECT match_method, count(*) AS n, CAST(count(*) FILTER (WHERE via_former) AS BIGINT) AS n_via_former FROM m GROUP BY 1")
 def er_method_mix(spark, sf_dir):
-    return resolution.method_mix(_er(spark, sf_dir)[2])
+    return resolution.method_mix(_er(spark, sf_dir, bare=True)[2])
 
 
 @query(_ER + "SELECT least(n_matches, 5) AS n_matches, count(*) AS n FROM st GROUP BY 1")
 def er_hist(spark, sf_dir):
-    return resolution.match_histogram(_er(spark, sf_dir)[3])
+    return resolution.match_histogram(_er(spark, sf_dir, bare=True)[3])
 
 
 @query(_ER + "SELECT directory_id, directory_name, n_matches FROM st WHERE n_matches >= 2 ORDER BY n_matches DESC, directory_id LIMIT 20")
 def er_most_ambiguous(spark, sf_dir):
-    return resolution.most_ambiguous(_er(spark, sf_dir)[3], least=2)
+    return resolution.most_ambiguous(_er(spark, sf_dir, bare=True)[3], least=2)
 
 
 @query(_ER + "SELECT directory_id, top_id FROM top")
 def er_top_candidate(spark, sf_dir):
-    return resolution.top_candidates(_er(spark, sf_dir)[2])
+    return resolution.top_candidates(_er(spark, sf_dir, bare=True)[2])
 
 
 _METRICS = """, c AS (

@@ -76,20 +76,35 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.select("*", text.normalize_name("name").alias("name_norm"), text.extract_domain("website").alias("domain"), has_description().alias("has_description"))
 
 
-def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(_made(spark, sf_dir, REGISTRY_BASE))
+#: What the views take from other tables; a left join that nothing needs can't be left out by Spark.
+_TEXTS, _PLACES = ("long_description", "has_description"), ("country",)
+_DOCUMENTS, _NATION = " LEFT JOIN {documents} d ON d.doc_id = p.p_partkey", " LEFT JOIN {nation} n ON n.n_nationkey = p.p_partkey % 25"
 
 
-def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(_made(spark, sf_dir, DIRECTORY_BASE))
+def registry(spark: SparkSession, sf_dir: str, texts: bool = True, places: bool = True) -> DataFrame:
+    """Without `texts` or `places` the columns from documents or nations, and their joins, are left out."""
+    base = REGISTRY_BASE
+    if not texts:
+        base = base.replace(_DOCUMENTS, "").replace("d.text AS", "cast(NULL AS string) AS")
+    if not places:
+        base = base.replace(_NATION, "").replace("n.n_name AS", "cast(NULL AS string) AS")
+    return _keyed(_made(spark, sf_dir, base)).drop(*_TEXTS * (not texts), *_PLACES * (not places))
+
+
+def directory(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
+    base = DIRECTORY_BASE
+    if not places:
+        base = base.replace(_NATION, "").replace("n.n_name AS", "cast(NULL AS string) AS")
+    return _keyed(_made(spark, sf_dir, base)).drop(*_PLACES * (not places))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, GOLD_BASE)
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory(spark, sf_dir).drop("former_names").unionByName(registry(spark, sf_dir))
+def corpus(spark: SparkSession, sf_dir: str, texts: bool = True, places: bool = True) -> DataFrame:
+    d = directory(spark, sf_dir, places).drop("former_names", *_TEXTS * (not texts))
+    return d.unionByName(registry(spark, sf_dir, texts, places))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

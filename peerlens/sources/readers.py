@@ -5,7 +5,9 @@ Schemas are explicit, so nothing is inferred and readers push column selections
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -20,6 +22,9 @@ REGISTRY_COLUMNS = (
     "locations", "num_employees_enum", "funding_total", "last_funding_type", "last_funding_at", "operating_status",
     "permalink", "url",
 )
+#: Shards whose headers are read at the same time.
+HEADERS_AT_ONCE = 32
+LOOKUP_BUCKETS = 256
 #: Winter and summer batches of 2019 to 2025.
 BATCHES = tuple(f"{season} {year}" for year in range(2019, 2026) for season in ("Winter", "Summer"))
 
@@ -53,17 +58,22 @@ def _shards(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
         raise FileNotFoundError(path)
     out: dict[tuple[str, ...], list[str]] = {}
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    for status in [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]:
+    def head(status) -> tuple[str, str] | None:
         file = status.getPath()
         if status.isDirectory() or file.getName().startswith(("_", ".")) or not status.getLen():
-            continue
+            return None
         codec, stream = codecs.getCodec(file), fs.open(file)
         try:
             lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-            head = (lines.readLine() or "").lstrip("\ufeff")
+            return file.toString(), (lines.readLine() or "").lstrip("\ufeff")
         finally:
             stream.close()
-        out.setdefault(tuple(c.strip() for c in next(csv.reader([head]), [])), []).append(file.toString())
+
+    # a line of each file, many files at a time
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        heads = pool.map(head, [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])])
+        for file, line in [h for h in heads if h]:
+            out.setdefault(tuple(c.strip() for c in next(csv.reader([line]), [])), []).append(file)
     return out
 
 
@@ -110,6 +120,16 @@ def lookup_many(corpus: DataFrame, ids: DataFrame) -> DataFrame:
     return corpus.join(ids.select("record_id").distinct(), "record_id", "left_semi")
 
 
+def lookup_bucket(key: Column, buckets: int = LOOKUP_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_lookup(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The corpus by buckets of its names or domains (`kind`), as `sinks.write_lookup` writes it; a filter on `bucket` reads its
+    folders only."""
+    return spark.read.parquet(f"{path}/by_{kind}")
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet cache, or an empty table if it isn't there yet."""
     try:

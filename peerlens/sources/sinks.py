@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import LOOKUP_BUCKETS, lookup_bucket
+
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
     """Parquet by source, so that a source filter reads its own files only."""
@@ -22,6 +24,16 @@ def write_bucketed(corpus: DataFrame, table: str, buckets: int = 256, key: str =
     corpus.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def write_lookup(corpus: DataFrame, path: str, buckets: int = LOOKUP_BUCKETS, files: int = 1) -> None:
+    """The corpus twice, in folders by buckets of its names and of its domains; rows without either are not in that half.
+
+    files: files of a bucket; a very frequent name is spread over them by its ids."""
+    for kind, key in (("name", "name_norm"), ("domain", "domain")):
+        rows = corpus.where(F.col(key) != "").withColumn("bucket", lookup_bucket(F.col(key), buckets))
+        spread = F.pmod(F.xxhash64("record_id"), F.lit(files))
+        rows.repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/by_{kind}")
+
+
 def append_vectors(vectors: DataFrame, path: str) -> None:
     vectors.select("record_id", "embedding").write.mode("append").parquet(path)
 

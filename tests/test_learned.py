@@ -310,3 +310,13 @@ def test_script_matches_need_agreeing_years(spark):
     d = spark.createDataFrame([("d:1", "яндекс", 2000, []), ("d:2", "café co", 2000, []), ("d:3", "new", 2000, ["Société X"]), ("d:4", "plain", 2000, []), ("d:5", "索尼", 2000, [])], schema)
     r = spark.createDataFrame([("r:1", "yandeks", 2001, []), ("r:2", "cafe co", 2010, []), ("r:3", "societe x", 2000, []), ("r:4", "plain", 2000, []), ("r:5", "索尼", 2000, []), ("r:6", "", 2000, [])], schema)
     assert sorted(map(tuple, resolution.script_matches(d, r).collect())) == [("d:1", "r:1", False), ("d:3", "r:3", True)]
+
+
+def test_many_names_at_once_are_as_similar_as_each():
+    made = np.random.default_rng(9)
+    word = lambda n: "".join(made.choice(list("abcé日 "), n))
+    left = [word(int(n)) for n in made.integers(0, 40, 600)] + ["martha", "dixon", "", "a", "same name", "x" * 300]
+    right = [x[: len(x) // 2] + word(3) + x[len(x) // 2 + 1 :] if i % 2 else word(len(x)) for i, x in enumerate(left[:600])] + ["marhta", "dicksonx", "", "", "same name", "x" * 299 + "y"]
+    got = features.jaro_winkler_many(left, right)
+    assert got == pytest.approx([features.jaro_winkler(x, y) for x, y in zip(left, right)], abs=1e-12)
+    assert features.jaro_winkler_many([], []).size == 0
