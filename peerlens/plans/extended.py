@@ -9,7 +9,7 @@ from ..functions import script, text
 from ..operators import baselines, calls, enrichment, features, judging, prefilter, projection, resolution, retrieval, review, vector_index
 from ..sources import paged, readers, sinks, vector_sink
 from . import fixtures as fx
-from .catalogue import _COS, _ER, _TAGS, _er, query
+from .catalogue import _COS, _ER, _KEPT, _TAGS, _er, query
 
 # --- recall by meaning -----------------------------------------------------------------------------------------------
 
@@ -263,6 +263,29 @@ def live_enrichment(spark, sf_dir):
     return domains.join(found, "domain", "left").select("domain", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
+@query("SELECT 'c-' || c_custkey || '.com' AS domain, 'fresh' AS raw_kind FROM customer WHERE c_custkey % 3 <> 0", views=False)
+def answer_cache(spark, sf_dir):
+    """The answers to append to a response cache that has a third of the domains, and for another third what isn't JSON."""
+    n = F.col("c_custkey")
+    domains = fx.table(spark, sf_dir, "customer").select(n, F.concat(F.lit("c-"), n.cast("string"), F.lit(".com")).alias("domain"))
+    kept = domains.where(n % 3 < 2).select("domain", F.when(n % 3 == 0, '{"name": "old"}').otherwise("{broken").alias("raw"))
+    provider = enrichment.cached(kept, enrichment.from_table(domains.select("domain", F.lit('{"name": "fresh"}').alias("raw"))))
+    made = enrichment.new_answers(kept, provider(domains.select("domain")))
+    return made.select("domain", F.get_json_object("raw", "$.name").alias("raw_kind"))
+
+
+@query(f""", kept AS (SELECT unnest({list(_KEPT)}) AS tag UNION SELECT tag FROM (SELECT unnest(industries) AS tag FROM seeds) WHERE tag NOT IN ('STANDARD', 'ECONOMY', 'SMALL', 'MEDIUM', 'LARGE')),
+tagged AS (SELECT DISTINCT record_id FROM (SELECT record_id, unnest(industries) AS tag FROM corpus) JOIN kept USING (tag))
+SELECT source, count(*) AS n FROM corpus c WHERE source = 'yc' OR record_id IN (SELECT record_id FROM seeds)
+  OR (record_id IN (SELECT record_id FROM tagged) AND source = 'crunchbase' AND operating_status = 'active' AND has_description AND founded_year >= 2010) GROUP BY 1""")
+def universe_round_trip(spark, sf_dir):
+    """The trimmed universe written by source and read back."""
+    path = fx.scratch(spark)
+    made = prefilter.universe(fx.corpus(spark, sf_dir), fx.seeds(spark, sf_dir), _KEPT, ("STANDARD", "ECONOMY", "SMALL", "MEDIUM", "LARGE"))
+    sinks.write_corpus(made.select("record_id", "source", "name"), path)
+    return readers.read_corpus(spark, path).groupBy("source").agg(F.count("*").alias("n"))
+
+
 def _part_pages(page: int, options: dict) -> dict:
     """Pages of directory records from a table."""
     import pyarrow.parquet as pq
