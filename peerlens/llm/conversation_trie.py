@@ -91,6 +91,8 @@ def prefixes(blocks: DataFrame, longest: int) -> DataFrame:
     """(c, d, m): for every prefix of d turns of c, the smallest conversation that starts with it."""
     width = F.lit(1).cast("long")
     last = blocks.where(F.expr("shiftright(s, k) & 1 = 0")).select("c", "s", (F.col("s") + F.expr("shiftleft(cast(1 as bigint), k)")).alias("d"), F.col("name").alias("b"))
+    # one written table instead of a union of all levels in the plan of every round
+    last = common.materialize(last, "blocks")
     rows, rounds = last.where("s = 0").select("c", "d", (width * 0).alias("a"), "b"), longest.bit_length()
     out = None
     for digits in range(1, rounds + 1):
