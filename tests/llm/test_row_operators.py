@@ -99,6 +99,32 @@ def test_quality_lines():
     assert kept and n_bad == 0 and cleaned == clean
 
 
+def test_quality_rules_are_shares():
+    """Each share at its edge, in several scripts; rows of short lines only where they are long enough."""
+    bad = lambda line, **r: quality_rules.bad_line(line.encode(), line.encode().split(), quality_rules.code_points(line.replace(" ", "").encode()), quality_rules.Rules(**r))
+    assert bad("Что?! Где?? Когда!!") and not bad("Что? Где? Когда!") and bad("a!! b!! c d") and not bad("a!! b c d.")
+    assert bad("日本 » 中国 » 韩国 首页") and not bad("日本、中国、韩国。") and not bad("see C++ and C# now.") and bad("x*** y z")
+    assert not bad("a long line of words with one / in it and and an e-mail a@b.org at its end.") and bad("###", symbols=3) and not bad("###" + "word" * 12)
+    assert bad("word " * 60) and not bad("word other " * 29 + "stop.")
+    menu = [True, True, False, True, True, True, False, True]
+    assert quality_rules.menus(menu) == [False, False, False, True, True, True, False, False] and quality_rules.menus([]) == []
+    prose = "\n".join("Ein Satz mit vielen Wörtern steht hier, und er endet mit einem Punkt." for _ in range(9))
+    *_, n_bad, _, cleaned = (c[0] for c in quality_rules.judge([("Home\n\nNews\nÜber uns\n" + prose + "\nKurz\nEnde").encode()]))
+    assert n_bad == 3 and cleaned == "\n" + prose + "\nKurz\nEnde"
+
+
+def test_quality_on_labels_not_chosen_on(spark):
+    """The half of the labelled documents on which no share was chosen: bad ones go, good ones go for the base measures only."""
+    import zlib
+
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = [r for r in d.join(l, "doc_id").select("doc_id", "text", "quality").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 2]
+    out = quality_rules.judge([r["text"].encode() for r in rows])
+    kept = {q: [k for k, r in zip(out[6], rows) if r["quality"] == q] for q in (0, 1)}
+    assert sum(kept[0]) <= 0.02 * len(kept[0])
+    assert all(k or base for k, base, r in zip(out[6], out[5], rows) if r["quality"] == 1)
+
+
 def test_quality_of_odd_rows(odd, empty):
     rows = quality_rules.verdicts(odd).collect()
     assert len(rows) == odd.count() and all(r["n_words"] == 0 and r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (2, 3, 4))
