@@ -40,7 +40,7 @@ MOST_REPEATED_PERCENT = 50
 class Rules:
     marks_percent: int = 50
     symbol_percent: int = 8
-    symbols: int = 3
+    symbols: int = 4
     long_line: int = 60
     separator_percent: int = 30
     menu_words: int = 3
@@ -190,7 +190,7 @@ rows_of AS (SELECT *, count(*) FILTER (WHERE NOT short) OVER (PARTITION BY doc_i
 judged AS (
   SELECT doc_id, nth, chars,
     100 * len(list_filter(lw, lambda x: regexp_matches(x, '[!?]{2}[.]?$'))) >= 50 * n
-      OR (symbols >= 3 AND 100 * symbols >= 8 * chars)
+      OR (symbols >= 4 AND 100 * symbols >= 8 * chars)
       OR 100 * len(list_filter(lw, lambda x: x IN ('|', '>', '<', '/', '»', '·', '•'))) >= 30 * n
       OR (n >= 60 AND NOT regexp_matches(l, '[.!?;:…。！？]'))
       OR (short AND count(*) FILTER (WHERE short) OVER (PARTITION BY doc_id, r) >= 3)
