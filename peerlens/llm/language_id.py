@@ -6,12 +6,14 @@ document frequencies come from all documents that may be learnt from.  Weights a
 leader (per-coordinate rates, L1 and L2 penalties) on a bounded sample of labelled rows; a fifth of that sample fits the
 softmax temperature instead.
 
-Bound (a documented parameter): at most about `SAMPLE` labelled rows, dealt evenly over languages and chosen by a hash of
-the id, are fitted on.  Every language of a sampled row is learnt; the model is SLOTS x languages floats.
+Bounds (documented parameters): at most about `SAMPLE` labelled rows, dealt evenly over languages and chosen by a hash of id
+and text, are fitted on, repeated rows once.  The `LANGUAGES` most frequent values of the language column are learnt (ties by
+name), so values that stand for no language, however many, don't grow the model of SLOTS x languages floats.
 
 Rows whose crc32(id as text) mod 5 is 0, or whose id or language is null, are never learnt from.  Null texts and texts
 without letters get `und` with score 0; with no labelled row at all every text does.  Language, source and id are no
-inputs of a prediction, so repeated texts get equal predictions.  Long texts are scored whole, in blocks that carry the last
+inputs of a prediction, so repeated texts get equal predictions.  An empty table gives an empty table; other columns are not
+looked at.  Long texts are scored whole, in blocks that carry the last
 codes of the one before, so no n-gram is lost or made at a block's edge.
 """
 
@@ -30,6 +32,7 @@ from . import common
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3)
 SAMPLE = 3000
+LANGUAGES = 512
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 SCALE = 64.0
@@ -142,7 +145,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], idf: np.ndarray) -> Model:
     """FTRL-proximal over `rows` of (slots, shares, language index), then the temperature over `held`."""
     k = len(languages)
-    z, n = np.zeros((SLOTS, k)), np.zeros((SLOTS, k))
+    # only slots that a row has are held; all others have no weight
+    used = np.unique(np.concatenate([np.zeros(0, np.int32), *[slot for slot, _, _ in rows]]))
+    rows = [(np.searchsorted(used, slot), x, y) for slot, x, y in rows]
+    z, n = np.zeros((len(used), k)), np.zeros((len(used), k))
     zb, nb = np.zeros(k), np.zeros(k)
 
     def solve(z, n, l1):
@@ -160,9 +166,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], held: list[tuple[np.ndar
             n[slot] = ns + g * g
             zb += p - (np.sqrt(nb + p * p) - np.sqrt(nb)) / ALPHA * b
             nb += p * p
-    weights, bias = solve(z, n, L1), solve(zb, nb, 0.0)
-    logits = np.array([x @ weights[slot] + bias for slot, x, _ in held]).reshape(len(held), k)
-    return Model(languages, (weights * idf[:, None]).astype(np.float32), bias, calibrate(logits, np.array([y for *_, y in held], int)))
+    weights, bias = np.zeros((SLOTS, k), np.float32), solve(zb, nb, 0.0)
+    fitted = solve(z, n, L1)
+    at, there = (np.minimum(np.searchsorted(used, slot), len(used) - 1) for slot, _, _ in held), len(used) > 0
+    logits = np.array([x @ (fitted[i] * (used[i] == slot)[:, None]) + bias if there else bias for i, (slot, x, _) in zip(at, held)]).reshape(len(held), k)
+    weights[used] = fitted * idf[used, None]
+    return Model(languages, weights, bias, calibrate(logits, np.array([y for *_, y in held], int)))
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
@@ -219,11 +228,11 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray,
     return out[:-1], int(out[-1])
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model | None:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, most: int = LANGUAGES) -> Model | None:
     """The model of the rows of `df` that may be learnt from; None if there are none."""
     learn = df.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    unit = (F.xxhash64(F.col(doc_id), F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("u")
-    per = learn.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
+    unit = F.xxhash64(F.col(doc_id), F.col(text).cast("string"), F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    per = learn.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "lang").limit(most).collect()
     if not per:
         return None
     languages = sorted(r["lang"] for r in per)
@@ -245,7 +254,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     chosen = learn.withColumn("_lang", F.col(lang).cast("string")).withColumn("_u", unit).where(F.col("_u") < share[F.col("_lang")])
     got = common.explode_texts(
         chosen, {"lang": F.col("_lang"), "u": F.col("_u")}, text, features, "lang string, u double, slots binary, counts binary"
-    ).toArrow()
+    ).distinct().toArrow()
     rows = []
     for r in sorted(got.to_pylist(), key=lambda r: (r["u"], r["slots"], r["counts"], r["lang"])):
         s, n = np.frombuffer(r["slots"], np.int32), np.frombuffer(r["counts"], np.int32)

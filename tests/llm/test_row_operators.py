@@ -82,6 +82,19 @@ def test_token_counts_of_odd_words(text):
     assert token_counts.counter().text(text) == len(lib.encode(text, add_special_tokens=False).ids)
 
 
+def test_token_counts_of_a_text_without_spaces():
+    """One word beyond the length from which packed arrays are used; it is counted alike and not remembered."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    lib = Tokenizer(models.Unigram(token_counts.vocabulary(), 0, True))
+    lib.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    text = "".join(chr(0x4E00 + i * 37 % 5000) if i % 7 else "abcé\x00"[i % 5] for i in range(3 * token_counts.LONG))
+    c = token_counts.Counter(token_counts.vocabulary())
+    for part in (text, text[: token_counts.LONG - 1], text[: token_counts.LONG], "short words " * 3):
+        assert c.text(part) == len(lib.encode(part, add_special_tokens=False).ids)
+    assert c.memo and max(map(len, c.memo)) <= token_counts.REMEMBERED_CHARS
+
+
 def test_quality_matches_sql(documents, same):
     same(quality_rules.verdicts(documents), quality_rules.VERDICTS_SQL)
 
@@ -300,3 +313,16 @@ def test_secrets_stay_native(documents):
 def test_every_operator_is_registered():
     names = queries.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
+
+
+def test_languages_and_sample_are_bounded(spark, monkeypatch):
+    """Hundreds of values that stand for no language, and one row very many times: the model and the sample stay small."""
+    rows = [(i, f"the words of this one {i}", "en") for i in range(60)] + [(100 + i, f"les mots de la phrase {i}", "fr") for i in range(50)]
+    rows += [(1000 + i, f"odd {i}", f"value {i}") for i in range(400)] + [(7777, "the same row again and again", "en")] * 3000
+    sizes, real = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda kept, held, *a: sizes.append(len(kept) + len(held)) or real(kept, held, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train(df, most=2)
+    assert model.languages == ["en", "fr"] and sizes[0] <= 111
+    best, _ = model.predict(["les mots de la", "the words of"])
+    assert [model.languages[i] for i in best] == ["fr", "en"]
