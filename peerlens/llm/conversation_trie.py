@@ -64,7 +64,9 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = turns.join(convs.select("c", "kept", "skip"), "c").where(F.col("d") > F.col("skip"))
     rest = rest.select("c", (F.col("d") - F.col("skip") + F.col("kept")).alias("d"), "key", "bytes")
     opening = turns.where((F.col("c") % FAMILY == 0) & (F.col("d") < HEADS))
-    near = F.explode(F.sequence(F.col("c") - (FAMILY - 1), F.col("c") + (FAMILY - 1)))
+    # ids at the ends of the range of longs have fewer neighbours
+    low, high = F.greatest(F.col("c"), F.lit(FAMILY - 1 - 2**63)) - (FAMILY - 1), F.least(F.col("c"), F.lit(2**63 - FAMILY)) + (FAMILY - 1)
+    near = F.explode(F.sequence(low, high))
     opening = opening.select(near.alias("x"), F.col("c").alias("b"), "d", "key", "bytes").where(F.col("x") - F.col("x") % FAMILY == F.col("b")).withColumnRenamed("x", "c")
     opening = opening.join(convs.select("c", "b", "kept"), ["c", "b"]).where(F.col("d") <= F.col("kept"))
     return rest.union(opening.select("c", "d", "key", "bytes")), convs.select("c", "n")

@@ -75,6 +75,12 @@ def test_many_ends_in_one_node(spark):
     assert found(conversation_trie.nodes(df.repartition(5))) == plainly(rows)
 
 
+def test_ids_at_the_ends_of_longs(spark):
+    rows = [(c, t, "user", f"x{t}") for c in (2**63 - 1, 2**63 - 3, -(2**63), -(2**63) + 3, 0) for t in range(10)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert found(conversation_trie.nodes(df)) == plainly(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert conversation_trie.nodes(df).count() == 0
