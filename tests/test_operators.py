@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from peerlens.operators import corpus, enrichment, evaluation, features, judging, ranking, resolution, retrieval, search, seeds
+from peerlens.operators import corpus, enrichment, evaluation, features, judging, prefilter, ranking, resolution, retrieval, search, seeds
 from peerlens.plans import fixtures, similar
 from peerlens.sources import readers, sinks
 
@@ -302,3 +302,23 @@ def test_labels_without_a_resolution_are_counted(spark):
     labels = spark.createDataFrame([("d:1", None, "easy"), ("d:2", "r:2", "easy"), ("d:3", None, None)], "directory_id string, gold_id string, stratum string")
     made = evaluation.unresolved(labels, spark.createDataFrame([("d:1", "absent")], "directory_id string, status string"))
     assert {r["stratum"]: (r["n_labels"], r["n_unresolved"]) for r in made.collect()} == {"easy": (2, 1), "unknown": (1, 1)}
+
+
+def test_tag_pairs_by_classes(spark):
+    """Counts and nearest candidates, made without rows for pairs, against the pairs themselves; twins, bands, nulls and repeated tags."""
+    tags = [["a", "b"], ["b"], ["c", "c", None], [], None, ["x", "a"]]
+    rows = [(f"r:{i}", "yc" if i % 4 == 0 else "crunchbase", "active" if i % 3 else "closed", i % 5 > 0, tags[i % 6], None if i % 7 == 0 else "c_00001_00010" if i % 2 else "c_00101_00250", i % 90) for i in range(120)]
+    corpus = spark.createDataFrame(rows, "record_id string, source string, operating_status string, has_description boolean, industries array<string>, num_employees_enum string, team_size int")
+    seeds_ = corpus.where("cast(substr(record_id, 3) as int) % 10 in (0, 2, 3, 5)").select(F.substring("record_id", 3, 9).cast("int").alias("seed_id"), "record_id", "industries", "num_employees_enum", "team_size")
+    twins = spark.createDataFrame([("r:0", "r:1"), ("r:20", "r:12"), ("r:3", "r:9")], "directory_id string, registry_id string")
+    vectors = corpus.where("record_id != 'r:7'").select("record_id", F.array(F.length("record_id").cast("float"), (F.substring("record_id", 3, 9).cast("int") % 4).cast("float")).alias("embedding"))
+    own = seeds_.join(vectors, "record_id").select("seed_id", "embedding")
+    get = lambda df: sorted(map(tuple, df.collect()))
+    for options in ({}, {"band": 1}, {"drop_self": False}, {"twins": twins, "band": 0}):
+        pairs = prefilter.judged(seeds_, corpus, broad=("x",), **options)
+        flags = ["seed_id", "active", "described", "in_band", "other"]
+        assert get(prefilter.tallied(seeds_, corpus, broad=("x",), **options).select(*flags, "n")) == get(pairs.groupBy(*flags).count())
+        assert pairs.count() == pairs.select("seed_id", "record_id").distinct().count() > 0
+        want = retrieval.top_k(own, vectors, 6, prefilter.candidates(seeds_, corpus, broad=("x",), **options))
+        got = prefilter.nearest(seeds_, corpus, own, vectors, 6, broad=("x",), **options)
+        assert get(got.select("seed_id", "record_id", "cosine", "rank")) == get(want.select("seed_id", "record_id", "cosine", "rank"))
