@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import _first, _one, cosine, units
+from .retrieval import _first, _one, _scored, cosine, units
 
 #: Vectors that cells and codebooks are learnt from, at most.
 SAMPLE = 50_000
@@ -182,7 +182,12 @@ def search(seeds: DataFrame, codes: DataFrame, vectors: DataFrame, model: Model
     # one row for each cell of the model
     per = codes.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("m")), "cell")
     left = _tiled(asked, "tile", TILE_QUERIES, "tile_other", "seed_id", per, "m", "n", TILE_CODES)
-    right = _tiled(codes.select("record_id", "cell", "code"), "tile_other", TILE_CODES, "tile", "record_id", per, "n", "m", TILE_QUERIES)
+    whole = per.agg(F.sum("n")).first()[0] or 0
+    coded = codes.select("record_id", "cell", "code")
+    if shortlist >= whole:
+        # nothing is cut by the estimates: the cells' vectors are compared at once, and no pair becomes a row
+        coded = codes.select("record_id", "cell").join(vectors.select("record_id", "embedding"), "record_id")
+    right = _tiled(coded, "tile_other", TILE_CODES, "tile", "record_id", per, "n", "m", TILE_QUERIES)
     schema = f"seed_id {seed_kind}, record_id {record_kind}, estimate double"
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -201,7 +206,17 @@ def search(seeds: DataFrame, codes: DataFrame, vectors: DataFrame, model: Model
             out.append(pa.table([_one(a.column("seed_id")).take(pa.array(seed)), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(e, best, 1).ravel())], names=names))
         return pa.concat_tables(out)
 
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["seed_id", "record_id", "cosine"]
+        if not len(a) or not len(b):
+            return pa.table([pa.array([], a.schema.field("seed_id").type), pa.array([], b.schema.field("record_id").type), pa.array([], pa.float64())], names=names)
+        b = b.sort_by("record_id")
+        return pa.table(_scored(_one(a.column("seed_id")), units(a.column("embedding")), _one(b.column("record_id")), units(b.column("embedding")), k), names=names)
+
     key = ["cell", "tile", "tile_other"]
+    if shortlist >= whole:
+        near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, schema.replace("estimate", "cosine"))
+        return _first(near, k)
     estimated = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, schema)
     order = Window.partitionBy("seed_id").orderBy(F.desc("estimate"), "record_id")
     short = estimated.withColumn("at", F.row_number().over(order)).where(F.col("at") <= shortlist).select("seed_id", "record_id")

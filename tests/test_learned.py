@@ -320,3 +320,14 @@ def test_many_names_at_once_are_as_similar_as_each():
     got = features.jaro_winkler_many(left, right)
     assert got == pytest.approx([features.jaro_winkler(x, y) for x, y in zip(left, right)], abs=1e-12)
     assert features.jaro_winkler_many([], []).size == 0
+
+
+def test_whole_shortlist_makes_no_pairs(spark):
+    """With nothing cut from the shortlist the cells' vectors are compared at once."""
+    made = np.random.default_rng(3)
+    v = spark.createDataFrame([(f"r:{i}", [float(x) for x in made.normal(size=16)]) for i in range(200)], "record_id string, embedding array<float>")
+    model = vector_index.fit(v, cells=4)
+    s = v.limit(20).withColumnRenamed("record_id", "seed_id")
+    got = vector_index.search(s, vector_index.encode(v, model), v, model, 5, probes=4, shortlist=1 << 30)
+    assert "estimate" not in got._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.top_k(s, v, 5).select(*got.columns).collect()))
