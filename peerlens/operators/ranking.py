@@ -79,12 +79,14 @@ def documents(seeds: DataFrame, criteria: DataFrame, bucketed: DataFrame, verdic
     return seeds.select("seed_id", seed.alias("seed")).join(ids, "seed_id", "left").join(per, "seed_id", "left")
 
 
-def ranking_quality(ranked: DataFrame, relevant: DataFrame, k: int = 25) -> DataFrame:
-    """seed_id, recall_at_k, reciprocal_rank, ndcg of ranked (seed_id, record_id, rank) against relevant (seed_id, record_id)."""
+def ranking_quality(ranked: DataFrame, relevant: DataFrame, k: int = 25, total: DataFrame | None = None) -> DataFrame:
+    """seed_id, recall_at_k, reciprocal_rank, ndcg of ranked (seed_id, record_id, rank) against relevant (seed_id, record_id).
+
+    total: seed_id and the number m of its relevant records, if known; relevant needs the ranked ones only then."""
     hits = ranked.where(F.col("rank") <= k).join(relevant.withColumn("hit", F.lit(1)), ["seed_id", "record_id"], "left").where("hit = 1")
     gain = F.sum(1.0 / F.log2(F.col("rank") + 1.0))
     got = hits.groupBy("seed_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"), gain.alias("gain"))
-    total = relevant.groupBy("seed_id").agg(F.count("*").alias("m"))
+    total = relevant.groupBy("seed_id").agg(F.count("*").alias("m")) if total is None else total
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("m", F.lit(k)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1.0))
     rows = total.join(got, "seed_id", "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
