@@ -322,3 +322,16 @@ def test_tag_pairs_by_classes(spark):
         want = retrieval.top_k(own, vectors, 6, prefilter.candidates(seeds_, corpus, broad=("x",), **options))
         got = prefilter.nearest(seeds_, corpus, own, vectors, 6, broad=("x",), **options)
         assert get(got.select("seed_id", "record_id", "cosine", "rank")) == get(want.select("seed_id", "record_id", "cosine", "rank"))
+
+
+def test_resolution_by_classes(spark, sf_dir):
+    """What is counted without making the matches, on rows that repeat, against the matches themselves."""
+    d, r = (f(spark, sf_dir).drop("country") for f in (fixtures.directory, fixtures.registry))
+    again = lambda df: df.union(df.withColumn("record_id", F.concat("record_id", F.lit("x"))))
+    d, r = again(d), again(r)
+    m = resolution.matches(d, r)
+    get = lambda df: sorted(map(str, df.collect()))
+    assert m.count() == m.select("directory_id", "registry_id").distinct().count() > 0
+    assert get(resolution.resolve(d, r)) == get(resolution.resolve(d, r, m))
+    assert get(resolution.top_of(d, r)) == get(resolution.top_candidates(m))
+    assert get(resolution.method_mix_of(d, r)) == get(resolution.method_mix(m))
