@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import company, text
-from .resolution import STATUSES, top_candidates
+from .resolution import STATUSES, hits_of, resolve, top_candidates, top_of
 
 #: Strata in the order in which they claim rows, with their sizes.
 STRATA = (("rebrand", 20), ("weak_domain", 15), ("easy", 20), ("random", 25))
@@ -56,14 +56,24 @@ def judged(labels: DataFrame, resolutions: DataFrame, found: DataFrame) -> DataF
     """Each label (directory_id, gold_id, stratum) that has a resolution, with what the resolution got right."""
     ids = found.groupBy("directory_id").agg(F.sort_array(F.collect_list("registry_id")).alias("match_ids"))
     rows = labels.join(resolutions, "directory_id").join(ids, "directory_id", "left").join(top_candidates(found), "directory_id", "left")
-    present = F.col("gold_id").isNotNull()
     ids = text.as_list(F.col("match_ids"))
-    unique = F.col("status") == STATUSES[0]
-    hit = F.coalesce(F.array_contains(ids, F.col("gold_id")), F.lit(False))
+    return _judged(rows, F.coalesce(F.array_contains(ids, F.col("gold_id")), F.lit(False)), F.size(ids), ids.alias("match_ids"))
+
+
+def judged_of(labels: DataFrame, directory: DataFrame, registry: DataFrame, keep: bool = False) -> DataFrame:
+    """`judged` of the two tables' resolutions and matches but for match_ids: neither matches nor lists of them are made."""
+    gold = labels.where(F.col("gold_id").isNotNull()).select("directory_id", F.col("gold_id").alias("registry_id"))
+    hits = hits_of(gold, directory, registry, keep).select("directory_id", F.col("registry_id").alias("gold_id"), F.lit(True).alias("hit"))
+    rows = labels.join(resolve(directory, registry, keep=keep), "directory_id").join(top_of(directory, registry, keep), "directory_id", "left")
+    return _judged(rows.join(hits, ["directory_id", "gold_id"], "left"), F.coalesce("hit", F.lit(False)), F.col("n_matches"))
+
+
+def _judged(rows: DataFrame, hit: Column, n_ids: Column, *more: Column) -> DataFrame:
+    present, unique = F.col("gold_id").isNotNull(), F.col("status") == STATUSES[0]
     right = F.coalesce(F.col("top_id") == F.col("gold_id"), F.lit(False))
     return rows.select(
-        "directory_id", "directory_name", F.coalesce("stratum", F.lit("unknown")).alias("stratum"), "gold_id", "status", "n_matches", ids.alias("match_ids"), "top_id",
-        "failure_reason", present.alias("present"), hit.alias("gold_in_candidates"), (unique & hit & (F.size(ids) == 1)).alias("unique_correct"), right.alias("top_correct"),
+        "directory_id", "directory_name", F.coalesce("stratum", F.lit("unknown")).alias("stratum"), "gold_id", "status", "n_matches", *more, "top_id",
+        "failure_reason", present.alias("present"), hit.alias("gold_in_candidates"), (unique & hit & (n_ids == 1)).alias("unique_correct"), right.alias("top_correct"),
     )
 
 

@@ -267,8 +267,7 @@ SELECT *, CASE WHEN unique_precision + recall > 0 THEN round(2 * unique_precisio
 
 
 def _judged(spark, sf_dir):
-    _, _, m, st = _er(spark, sf_dir)
-    return evaluation.judged(fx.gold(spark, sf_dir), st, m)
+    return evaluation.judged_of(fx.gold(spark, sf_dir), fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False), keep=True)
 
 
 @query(_ER + _METRICS)
@@ -279,7 +278,7 @@ def er_metrics(spark, sf_dir):
 @query(_ER + """SELECT directory_id, directory_name, stratum, gold_id, status, n_matches, top_id, failure_reason, gold_in_candidates, unique_correct, top_correct FROM judged
 WHERE (present AND NOT gold_in_candidates) OR (status = 'matched_unique' AND NOT unique_correct) OR (n_matches > 0 AND NOT top_correct) OR (n_matches = 0 AND present)""")
 def er_errors(spark, sf_dir):
-    return evaluation.errors(_judged(spark, sf_dir)).drop("match_ids", "present")
+    return evaluation.errors(_judged(spark, sf_dir)).drop("present")
 
 
 _LOOSE = """,
@@ -599,8 +598,7 @@ def pair_features(spark, sf_dir):
 
 @query(_ER + "SELECT directory_id, registry_id FROM m JOIN st USING (directory_id) WHERE status = 'tier1_ambiguous' OR (status = 'matched_unique' AND match_method = 'name+year')")
 def hard_pairs(spark, sf_dir):
-    _, _, m, st = _er(spark, sf_dir)
-    return features.hard_pairs(st, m)
+    return resolution.hard_pairs_of(fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False), keep=True)
 
 
 # answers: a list, an object with results, or one object; a host that is the domain, in capitals, or another one; every seventh says itself whether it matches
@@ -726,7 +724,7 @@ def vector_cache(spark, sf_dir):
 @query(_ER + "SELECT directory_id, status, n_matches, failure_reason FROM st")
 def resolutions_sink(spark, sf_dir):
     path = fx.scratch(spark)
-    _, _, _, st = _er(spark, sf_dir)
+    _, _, _, st = _er(spark, sf_dir, bare=True)
     sinks.write_resolutions(st, resolution.status_counts(st), path)
     return spark.read.schema("directory_id string, status string, n_matches long, failure_reason string").json(f"{path}/matches")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerlens.operators import corpus, enrichment, evaluation, features, judging, prefilter, ranking, resolution, retrieval, search, seeds
-from peerlens.plans import fixtures, similar
+from peerlens.plans import catalogue, fixtures, similar
 from peerlens.sources import readers, sinks
 
 ROW = "record_id string, name string, name_norm string, domain string, founded_year int, former_names array<string>"
@@ -335,3 +335,17 @@ def test_resolution_by_classes(spark, sf_dir):
     assert get(resolution.resolve(d, r)) == get(resolution.resolve(d, r, m))
     assert get(resolution.top_of(d, r)) == get(resolution.top_candidates(m))
     assert get(resolution.method_mix_of(d, r)) == get(resolution.method_mix(m))
+
+
+def test_judging_and_hard_pairs_without_all_matches(spark, sf_dir):
+    d, r, gold = (f(spark, sf_dir) for f in (fixtures.directory, fixtures.registry, fixtures.gold))
+    again = lambda df: df.union(df.withColumn("record_id", F.concat("record_id", F.lit("x"))))
+    d, r = again(d), again(r)
+    found, made = resolution.matches(d, r), resolution.resolve(d, r)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(evaluation.judged_of(gold, d, r)) == rows(evaluation.judged(gold, made, found).drop("match_ids"))
+    assert rows(resolution.hard_pairs_of(d, r)) == rows(features.hard_pairs(made, found))
+    for name in ("er_metrics", "er_errors"):
+        # lists of rows are laid out as pairs by an explode of `l`
+        plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(l#" not in plan, name
