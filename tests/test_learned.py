@@ -338,3 +338,27 @@ def test_only_seeds_with_a_vector_are_paired(spark, sf_dir):
 
     rows, _ = extended._ranked_pairs(spark, sf_dir.replace("sf0.001", "sf0.01"))
     assert 0 < rows.agg(F.max("seed_id")).first()[0] < 500  # of 2,000 records 500 have one
+
+
+def test_pairs_by_kinds_of_rows(spark, sf_dir):
+    """Features, counts of scores, decisions and the review queue without all matches, on rows that repeat, against all matches."""
+    d, r, gold = (f(spark, sf_dir) for f in (fixtures.directory, fixtures.registry, fixtures.gold))
+    again = lambda df: df.union(df.withColumn("record_id", F.concat("record_id", F.lit("00000"))))
+    d, r = again(d.where("corpus_ord % 2 = 0")), again(r)
+    m = resolution.matches(d, r).select("directory_id", "registry_id").persist()
+    rows = lambda df: sorted(map(str, df.collect()))
+    made = features.pair_features(m, d, r).persist()
+    assert rows(features.pair_features_of(d, r)) == rows(made) and m.count() > 0
+    p = F.expr("cast((abs(cast(substr(registry_id, 3) AS int)) * 7) % 11 AS double) / 10.0")
+    true = gold.where("gold_id is not null").select("directory_id", F.col("gold_id").alias("registry_id"))
+    scored = m.join(true.withColumnRenamed("registry_id", "g"), "directory_id", "left").select("directory_id", "registry_id", p.alias("probability"), F.coalesce(F.col("g") == F.col("registry_id"), F.lit(False)).alias("label"))
+    counts = resolution.scored_counts(d, r, p, true)
+    assert rows(features.precision_recall(counts)) == rows(features.precision_recall(scored))
+    assert rows(features.reliability(counts)) == rows(features.reliability(scored))
+    assert rows(features.decide(resolution.best_scored(d, r, p), d)) == rows(features.decide(scored, d))
+    names = ["name_jaro_winkler", "name_edit_ratio", "industries_jaccard"]
+    kinds = features.features_by_kind(d, r).select("dk", "rk", *names)
+    dk, rk = features._kinds(d, "dk")[0].withColumnRenamed("record_id", "directory_id"), features._kinds(r, "rk")[0].withColumnRenamed("record_id", "registry_id")
+    few = review.foremost(kinds, dk.select("dk", "directory_id"), rk.select("rk", "registry_id", p.alias("probability")), 12)
+    every = made.join(scored.select("directory_id", "registry_id", "probability"), ["directory_id", "registry_id"])
+    assert rows(review.queue(few, names, 12)) == rows(review.queue(every, names, 12))
