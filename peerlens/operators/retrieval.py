@@ -21,8 +21,8 @@ from ..functions import text
 MOST_MATRIX_SEEDS = 4096
 #: Vectors and seeds in one cell of a grid.
 TILE_VECTORS, TILE_SEEDS = 32_768, 2048
-#: Seeds whose products with a batch of vectors are held at once.
-STEP = 128
+#: Seeds, and vectors, whose products are held at once.
+STEP, PIECE = 128, 4096
 
 
 def _many(seeds: DataFrame) -> bool:
@@ -113,12 +113,35 @@ def _scored(seed_ids: pa.Array, matrix: np.ndarray, record_ids: pa.Array, x: np.
     """seed_id, record_id and cosine of the k best of each seed among vectors in order of their ids; some seeds at a time.
     mask(start, end) tells the allowed pairs of these seeds."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    m32, x32 = matrix.astype(np.float32), x.astype(np.float32)
+    # twice what a product of single precision may be off, and what rounding to 6 digits may hide
+    margin = 2 * (matrix.shape[-1] + 4) * 6e-8 + 2e-6
     for a in range(0, len(matrix), STEP):
-        c = matrix[a : a + STEP] @ x.T
-        if mask is not None:
-            c[~mask(a, a + len(c))] = -np.inf
-        seed, at = _highest(c, k)
-        found.append((seed + a, at, np.round(c[seed, at], 6) + 0.0))
+        part = matrix[a : a + STEP]
+        allowed = None if mask is None else mask(a, a + len(part))
+        row, column, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        least = np.full(len(part), -2.0, np.float32)
+        # products of single precision by pieces that stay in the cache; what may be among the k best is computed anew
+        for b in range(0, len(x), PIECE):
+            rough = m32[a : a + STEP] @ x32[b : b + PIECE].T
+            if allowed is not None:
+                rough[~allowed[:, b : b + PIECE]] = -np.inf
+            if not b and rough.shape[1] > k:
+                peaks = np.maximum.reduceat(rough, np.arange(0, rough.shape[1], max(1, rough.shape[1] // (8 * k))), axis=1)
+                least = np.maximum(np.partition(peaks, peaks.shape[1] - k, axis=1)[:, peaks.shape[1] - k] - margin, -2.0)
+            r, at = np.divmod(np.flatnonzero(rough >= least[:, None]), rough.shape[1])
+            row, column, c = np.concatenate([row, r]), np.concatenate([column, at + b]), np.concatenate([c, rough[r, at]])
+            order = np.lexsort((-c, row))
+            row, column, c = row[order], column[order], c[order]
+            kth = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+            least[row[kth]] = np.maximum(c[kth] - margin, -2.0)
+            kept = c >= least[row]
+            row, column, c = row[kept], column[kept], c[kept]
+        exact = np.round(np.einsum("ij,ij->i", part[row], x[column]), 6) + 0.0
+        order = np.lexsort((column, -exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        best_ = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((row[best_] + a, column[best_], exact[best_]))
     seed, at, c = (np.concatenate(f) for f in zip(*found))
     return [seed_ids.take(pa.array(seed)), record_ids.take(pa.array(at)), pa.array(c)]
 
