@@ -362,3 +362,30 @@ def test_pairs_by_kinds_of_rows(spark, sf_dir):
     few = review.foremost(kinds, dk.select("dk", "directory_id"), rk.select("rk", "registry_id", p.alias("probability")), 12)
     every = made.join(scored.select("directory_id", "registry_id", "probability"), ["directory_id", "registry_id"])
     assert rows(review.queue(few, names, 12)) == rows(review.queue(every, names, 12))
+
+
+def test_tiles_are_exact_where_single_precision_is_not():
+    """Pieces of the vectors at a time, near ties within what a product of single precision may be off."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 64))
+    x[4000:4400] = x[7] + rng.normal(size=(400, 64)) * 2e-3
+    x[5000:5050] = x[7]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = pa.array([f"r{i:05d}" for i in range(len(x))])
+    seed, record, c = (a.to_pylist() for a in retrieval._scored(ids.slice(0, 20), x[:20], ids, x, 30))
+    want = [(f"r{i:05d}", f"r{j:05d}", v) for i in range(20) for v, j in sorted(((round(float(v), 6), j) for j, v in enumerate(x @ x[i])), key=lambda p: (-p[0], p[1]))[:30]]
+    assert list(zip(seed, record, c)) == want and hasattr(retrieval, "PIECE")
+
+
+def test_equal_names_are_asked_once(spark, monkeypatch):
+    from peerlens.plans import extended
+
+    sizes, real = [], retrieval.top_k_tiled
+    monkeypatch.setattr(retrieval, "top_k_tiled", lambda a, b, k: (sizes.append((a.count(), b.count())), real(a, b, k))[1])
+    extended.contrastive_recall(spark, "/root/testdata/sf0.01")
+    d = fixtures.directory(spark, "/root/testdata/sf0.01")
+    held = d.where(features.held_back(F.col("record_id")))
+    most = held.select(F.col("former_names")[0]).distinct().count(), d.select("name").distinct().count()
+    assert sizes == [most] * 2 and most[1] < d.count()
