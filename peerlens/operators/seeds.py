@@ -54,17 +54,32 @@ def lookup_status(asked: DataFrame, corpus: DataFrame, most: int = 10) -> DataFr
     ways = lambda *keys: F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("way"), k.alias("key")) for i, k in enumerate(keys, 1)]), lambda x: x["key"].isNotNull()))
     keyed = asked.select("seed_id", "hint_year", "hint_country", ways(F.col("by_id"), F.col("by_domain"), F.col("by_name")).alias("w"))
     meta = meta.select("*", ways(F.col("record_id"), F.col("domain"), text.missing_if_empty("name_norm")).alias("w"))
-    hits = keyed.join(meta, "w").withColumn("way", F.col("w.way"))
+    # rows of one key meet as its first rows and numbers of rows by year and country, and requests of one key by their hints
+    slim = meta.select("w", "founded_year", "country", F.struct("corpus_ord", "record_id", "name", "domain", "founded_year", "country", "industries").alias("card"))
+
+    def first_of(rows: DataFrame, by: list[str]) -> DataFrame:
+        r = F.row_number().over(Window.partitionBy(*by).orderBy("card.corpus_ord", "card.record_id"))
+        cards = rows.withColumn("r", r).where(F.col("r") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("card")).alias("cards"))
+        counts, keys = rows.groupBy(*by).agg(F.count("*").alias("n")), F.lit(True)
+        counts = counts.select(*[F.col(c).alias(f"_{c}") for c in by], "n")
+        for c in by:
+            keys = keys & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return cards.join(counts, keys).select(*by, "cards", "n")
+
+    whole = first_of(slim, ["w"])
+    hinted = (F.col("w.way") == 3) & (F.col("hint_year").isNotNull() | F.col("hint_country").isNotNull())
+    hints = keyed.where(hinted).select("w", "hint_year", "hint_country").distinct()
     country = F.lower(F.coalesce("country", F.lit("")))
     year_fits = F.col("hint_year").isNull() | F.col("founded_year").isNull() | (F.abs(F.col("founded_year") - F.col("hint_year")) <= HINT_YEARS)
     country_fits = F.col("hint_country").isNull() | F.contains(country, F.col("hint_country")) | F.contains(F.col("hint_country"), country)
-    hits = hits.withColumn("fits", (F.col("way") < 3) | (year_fits & country_fits))
-    seed, order = Window.partitionBy("seed_id"), Window.partitionBy("seed_id").orderBy("corpus_ord", "record_id")
-    hits = hits.withColumn("best", F.min("way").over(seed)).where(F.col("way") == F.col("best"))
-    hits = hits.withColumn("some_fit", F.max("fits").over(seed)).where(F.col("fits") | ~F.col("some_fit"))
-    hits = hits.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(seed)).where(F.col("r") <= most)
-    card = F.struct("r", "record_id", "name", "domain", "founded_year", "country", "industries")
-    per = hits.groupBy("seed_id").agg(F.min("way").alias("way"), F.max("n").alias("n"), F.min_by("record_id", "r").alias("first"), F.array_sort(F.collect_list(card)).alias("candidates"))
+    fit = hints.join(first_of(slim.where("w.way = 3"), ["w", "founded_year", "country"]), "w").where(year_fits & country_fits)
+    fit = fit.groupBy("w", "hint_year", "hint_country").agg(F.slice(F.array_sort(F.flatten(F.collect_list("cards"))), 1, most).alias("fit_cards"), F.sum("n").alias("fit_n"))
+    fit = fit.select(F.col("w").alias("fw"), F.col("hint_year").alias("fy"), F.col("hint_country").alias("fc"), "fit_cards", "fit_n")
+    met = (F.col("w") == F.col("fw")) & F.col("hint_year").eqNullSafe(F.col("fy")) & F.col("hint_country").eqNullSafe(F.col("fc"))
+    hits = keyed.join(whole, "w").join(fit, met, "left").select("seed_id", F.struct(F.col("w.way").alias("way"), F.coalesce("fit_n", "n").alias("n"), F.coalesce("fit_cards", "cards").alias("cards")).alias("h"))
+    card = lambda c, i: F.struct((i + 1).alias("r"), *[c[x].alias(x) for x in ("record_id", "name", "domain", "founded_year", "country", "industries")])
+    # one row for each way at most
+    per = hits.groupBy("seed_id").agg(F.min_by("h", "h.way").alias("h")).select("seed_id", "h.way", "h.n", F.col("h.cards")[0]["record_id"].alias("first"), F.transform("h.cards", card).alias("candidates"))
     one = (F.col("way") < 3) | (F.col("n") == 1)
     status = F.when(F.col("n").isNull(), NOT_FOUND).when(one, RESOLVED).otherwise(AMBIGUOUS)
     return asked.select("seed_id").join(per, "seed_id", "left").select("seed_id", status.alias("status"), F.when(one, F.col("first")).alias("record_id"), F.when(~one, F.col("candidates")).alias("candidates"))

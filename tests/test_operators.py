@@ -349,3 +349,17 @@ def test_judging_and_hard_pairs_without_all_matches(spark, sf_dir):
         # lists of rows are laid out as pairs by an explode of `l`
         plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(l#" not in plan, name
+
+
+def test_lookup_of_a_frequent_name_by_groups(spark):
+    rows = [(f"r:{i}", i, "x", "x", None, 2000 + i % 20 if i % 7 else None, ("FRANCE", "PERU")[i % 2], ["a"]) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "record_id string, corpus_ord int, name string, name_norm string, domain string, founded_year int, country string, industries array<string>")
+    asks = [("s0", None, None), ("s1", 2003, None), ("s2", 2003, "peru"), ("s3", None, "chile"), ("s4", 1900, "peru")]
+    asked = spark.createDataFrame([(s, "X", y, c) for s, y, c in asks], "seed_id string, name string, founded_year int, country string")
+    made = seeds.lookup_status(asked, corpus)
+    for got in made.collect():
+        _, year, country = next(a for a in asks if a[0] == got["seed_id"])
+        fits = [r for r in rows if (year is None or r[5] is None or abs(r[5] - year) <= 2) and (country is None or country in r[6].lower())] or rows
+        assert got["status"] == "ambiguous" and [c["record_id"] for c in got["candidates"]] == [r[0] for r in fits[:10]] and [c["r"] for c in got["candidates"]] == list(range(1, 11))
+    # pairs of requests and rows of a name aren't ranked one by one
+    assert "windowspecdefinition(seed_id" not in made._jdf.queryExecution().optimizedPlan().toString()
