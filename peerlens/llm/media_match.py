@@ -47,6 +47,8 @@ CELL, PER_CELL = 24, 2
 #: Descriptors behind one in its sorted bucket that it is held against, bits in which it may differ from the nearest of them that
 #: it meets; met corners of one transform from which on a pair of images is compared.
 NEAR, MET_BITS, PROBE = 96, 20, 2
+#: Corners of a block of images, blocks at least, and meetings of corners in memory at once, when all blocks meet.
+BLOCK, LEAST_BLOCKS, AT_ONCE = 400_000, 8, 1 << 20
 WORK, SIDE_MOST, MOST_PIXELS = 1 << 18, 8192, 1 << 28
 RADIUS = 7
 #: Grey levels by which two points have to differ, so that noise in flat parts sets no bits.
@@ -339,22 +341,32 @@ def _transforms(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     return zoom, turn, xb - k * (c * xa - s * ya), yb - k * (s * xa + c * ya)
 
 
+@functools.lru_cache(maxsize=1)
+def _turned() -> tuple[np.ndarray, ...]:
+    """By both scales and the turn between two orientations: zoom times cosine and sine, and the cells of zoom and turn in two grids."""
+    sizes = np.zeros(16)
+    sizes[: len(SCALES)] = np.log2(np.array(SCALES))
+    zoom = np.repeat(sizes[:, None] - sizes[None], 32)
+    turn = np.tile(np.arange(32) * (np.pi / 16), 256)
+    turns = int(np.ceil(2 * np.pi / 0.7))
+    cells = [(np.floor(zoom / 0.9 + 0.5 + h) + 1) * 16 + np.mod(np.floor(turn / 0.7 + 0.5 + h), turns) for h in (0.0, 0.5)]
+    return np.exp2(zoom) * np.cos(turn), np.exp2(zoom) * np.sin(turn), *[c.astype(np.int64) << 22 for c in cells]
+
+
 def _cells(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each match's transform in two coarse grids, half a cell apart, as 29 hashed bits; cells grow with the images."""
-    zoom, turn, tx, ty = _transforms(a, b)
-    side = np.exp2((a >> 12 & 0xF).astype(float))
+    """The cell of each match's transform in two coarse grids, half a cell apart, as 29 bits; cells grow with the images."""
+    kc, ks, *coarse = _turned()
+    t = (a >> 8 & 0xF) << 9 | (b >> 8 & 0xF) << 5 | (b - a & 31)
+    kc, ks = kc[t], ks[t]
+    side = np.exp2(np.arange(16.0))[a >> 12 & 0xF]
     # where a point in the midst of the first image goes: errors of rotation and scale tell less there than at its edge
-    k, q = np.exp2(zoom), 0.375 * side
-    tx, ty = tx + k * q * (np.cos(turn) - np.sin(turn)), ty + k * q * (np.sin(turn) + np.cos(turn))
+    x, y = (a >> 32 & 0xFFFF) / 4 - 0.375 * side, (a >> 16 & 0xFFFF) / 4 - 0.375 * side
     side = np.maximum(24, 0.1875 * side)
-    turns = int(np.ceil(2 * np.pi / 0.7))
+    tx, ty = ((b >> 32 & 0xFFFF) / 4 - kc * x + ks * y) / side, ((b >> 16 & 0xFFFF) / 4 - ks * x - kc * y) / side
     out = []
-    for h in (0.0, 0.5):
-        parts = np.floor(zoom / 0.9 + 0.5 + h), np.mod(np.floor(turn / 0.7 + 0.5 + h), turns), np.floor(tx / side + h), np.floor(ty / side + h)
-        key = np.full(len(a), int(2 * h) + 1, np.int64)
-        for x in parts:
-            key = common.signed(common.mix((key * 0x10001 + x.astype(np.int64)).view(np.uint64)))
-        out.append(key & (1 << 29) - 1)
+    for h, c in zip((0.0, 0.5), coarse):
+        parts = [np.floor(z + h).astype(np.int64) & 0x7FF for z in (tx, ty)]
+        out.append(int(2 * h) << 28 | c[t] | parts[0] << 11 | parts[1])
     return out[0], out[1]
 
 
@@ -473,6 +485,181 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root")
 
 
+class _Side:
+    """The images of a block in the order of f1, and their corners."""
+
+    def __init__(self, f1: np.ndarray, d: np.ndarray, own: np.ndarray, sizes: np.ndarray, place: np.ndarray, bits: np.ndarray):
+        self.f1, self.d, self.own, self.sizes, self.place, self.bits = f1, d, own, sizes, place, bits
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.image = np.repeat(np.arange(len(f1)), sizes)
+        self.corner = (np.arange(len(place)) - self.first[self.image]) % 0x7FFF & 63
+
+    def part(self, i: int, j: int) -> _Side:
+        at = slice(self.first[i], self.first[j])
+        return _Side(self.f1[i:j], self.d[i:j], self.own[i:j], self.sizes[i:j], self.place[at], self.bits[at])
+
+    def band(self, i: int) -> np.ndarray:
+        return self.bits[:, i // 2] >> np.uint64(32 * (i % 2)) & np.uint64(0xFFFFFFFF)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.first[i], self.first[i + 1])
+        return self.place[at], self.bits[at]
+
+
+def candidates(left: _Side, right: _Side):
+    """Pairs (i, j) of images of two classes, the left one's f1 smaller, with `PROBE` corners in one cell of transforms: all corners
+    with an equal band and at most `MET_BITS` different bits meet.  About `AT_ONCE` meetings are in memory at a time."""
+    if not len(left.f1) or not len(right.f1):
+        return
+    tables = []
+    for band in range(TABLES):
+        key = right.band(band)
+        order = np.argsort(key, kind="stable")
+        own = left.band(band)
+        low, high = (np.searchsorted(key[order], own, side) for side in ("left", "right"))
+        tables.append((order, low, high - low))
+    per = np.add.reduceat(sum(n for *_, n in tables), left.first[:-1])
+    if per.max() > 8 * AT_ONCE and len(right.f1) > 1:
+        half = len(right.f1) // 2
+        for i, j in ((0, half), (half, len(right.f1))):
+            for x, y in candidates(left, right.part(i, j)):
+                yield x, y + i
+        return
+    total, n, a = np.cumsum(per), len(right.f1), 0
+    l_own, r_own = left.own[left.image], right.own[right.image]
+    while a < len(left.f1):
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + AT_ONCE, "right"))
+        b = min(max(b, a + 1), a + max(1, (1 << 28) // n), len(left.f1))
+        begin, end = left.first[a], left.first[b]
+        found = []
+        for order, low, count in tables:
+            m = count[begin:end]
+            i = np.repeat(np.arange(begin, end), m)
+            j = order[np.arange(len(i)) + np.repeat(low[begin:end] - np.cumsum(m) + m, m)]
+            ok = l_own[i] != r_own[j]
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(left.bits[i, 0] ^ right.bits[j, 0]) + np.bitwise_count(left.bits[i, 1] ^ right.bits[j, 1]) <= MET_BITS
+            found.append((i[ok], j[ok]))
+        i, j = (np.concatenate(x) for x in zip(*found))
+        p, q = left.image[i], right.image[j]
+        ok = left.f1[p] < right.f1[q]
+        i, j, pair = i[ok], j[ok], ((p - a) * n + q)[ok]
+        hit = []
+        for cell in _cells(left.place[i], right.place[j]):
+            # equal pairs and cells side by side, each corner of the left image once
+            key = np.sort(pair << 34 | (cell & (1 << 28) - 1) << 6 | left.corner[i])
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])] >> 6 if len(key) else key
+            hit.append(key[PROBE - 1 :][key[PROBE - 1 :] == key[: max(0, len(key) - PROBE + 1)]] >> 28)
+        hit = np.unique(np.concatenate(hit))
+        yield a + hit // n, hit % n
+        a = b
+
+
+def _may_follow(pair: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For n pairs, in whose order the matches of places a with places b are, whether `need` matches follow one of them as `agreeing`
+    asks.  A match at most two scales and two orientation steps away may follow; a third step is too far."""
+    zooms, out = 2 * len(SCALES) - 1, np.zeros(n, bool)
+    for low in range(0, n, 4096):
+        these = slice(*np.searchsorted(pair, [low, low + 4096]))
+        p, pa_, pb, m = pair[these] - low, a[these], b[these], min(4096, n - low)
+        zoom, turn = (pb >> 8 & 0xF) - (pa_ >> 8 & 0xF) + len(SCALES) - 1, pb - pa_ & 31
+        count = np.bincount((p * zooms + zoom) * 32 + turn, minlength=m * zooms * 32).astype(np.int32)
+        count = np.pad(np.pad(count.reshape(m, zooms, 32), ((0, 0), (2, 2), (0, 0))), ((0, 0), (0, 0), (2, 2)), mode="wrap")
+        count = sum(count[:, i : i + zooms] for i in range(5))
+        count = sum(count[:, :, i : i + 32] for i in range(5))
+        led = np.flatnonzero(count[p, zoom, turn] >= need[low : low + m][p])
+        sizes = np.bincount(p, minlength=m)
+        first = np.cumsum(sizes) - sizes
+        (xa, ya, _, _), (xb, yb, _, _) = _geometry(pa_), _geometry(pb)
+        zoom, turn, _, _ = _transforms(pa_, pb)
+        k = np.exp2(zoom)
+        c, s = np.cos(turn), np.sin(turn)
+        at = 0
+        total = np.cumsum(sizes[p[led]])
+        while at < len(led):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE // 4, "right")))
+            lead = led[at:to]
+            size = sizes[p[lead]]
+            row = np.repeat(lead, size)
+            i = np.arange(len(row)) + np.repeat(first[p[lead]] - np.cumsum(size) + size, size)
+            off = np.mod(turn[i] - turn[row] + np.pi, 2 * np.pi) - np.pi
+            ok = (np.abs(zoom[i] - zoom[row]) <= 0.6) & (np.abs(off) <= 0.5)
+            row, i, by = row[ok], i[ok], np.repeat(np.arange(len(lead)), size)[ok]
+            dx, dy = xa[i] - xa[row], ya[i] - ya[row]
+            ex, ey = xb[i] - xb[row] - k[row] * (c[row] * dx - s[row] * dy), yb[i] - yb[row] - k[row] * (s[row] * dx + c[row] * dy)
+            ok = np.hypot(ex, ey) <= 3 + 0.1 * k[row] * np.hypot(dx, dy)
+            led_ok = np.bincount(by[ok], minlength=len(lead)) >= need[low : low + m][p[lead]]
+            out[low + p[lead[led_ok]]] = True
+            at = to
+    return out
+
+
+def agreed(left: _Side, right: _Side, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`agreeing` of the images x of one block with the images y of another, for many pairs in the order of x: a pair whose mutually
+    nearest corners can't follow one transform is left out before it is looked at on its own."""
+    need = np.maximum(CONSENSUS, np.ceil(LEAST_SHARE * np.minimum(left.sizes[x], right.sizes[y])).astype(int))
+    out, begin, found = np.zeros(len(x), bool), 0, []
+    l0, l1, r0, r1 = (np.ascontiguousarray(s.bits[:, i]) for s in (left, right) for i in range(2))
+    mean = max(1, len(right.place) // len(right.f1))
+    while begin < len(x):
+        own = slice(left.first[x[begin]], left.first[x[begin] + 1])
+        end = min(int(np.searchsorted(x, x[begin], "right")), begin + max(1, (1 << 17) // (int(left.sizes[x[begin]]) * mean)))
+        sizes = right.sizes[y[begin:end]]
+        first = np.cumsum(sizes) - sizes
+        image = np.repeat(np.arange(end - begin), sizes)
+        at = np.arange(len(image)) + (right.first[y[begin:end]] - first)[image]
+        d = np.bitwise_count(l0[own, None] ^ r0[at]) + np.bitwise_count(l1[own, None] ^ r1[at])
+        j = np.flatnonzero(d.min(0) <= MOST_BITS)
+        i = d[:, j].argmin(0)
+        ok = d[i, j] == np.minimum.reduceat(d, first, axis=1)[i, image[j]]
+        i, j = i[ok], j[ok]
+        found.append((begin + image[j], left.place[own][i], right.place[at[j]]))
+        begin = end
+    if found:
+        pair, a, b = (np.concatenate(c) for c in zip(*found))
+        for k in np.flatnonzero(_may_follow(pair, len(x), a, b, need)).tolist():
+            out[k] = agreeing(left[x[k]], right[y[k]])
+    return out
+
+
+def rest(images: DataFrame, roots: DataFrame) -> DataFrame:
+    """The copies among all pairs of images of two classes that have `PROBE` met corners, however full a bucket is; each image as a
+    struct (d, f1).
+
+    Images are dealt into blocks of about `BLOCK` corners by ranges of f1, a hash, and every two blocks meet in one group: rows
+    grow with the square of the images divided by a block's, and a group holds two blocks."""
+    own = roots.select(F.col("node.f1").alias("f1"), F.col("root.f1").alias("class"))
+    total = images.agg(F.sum(F.size("corners"))).first()[0] or 0
+    blocks = min(1 << 15, max(LEAST_BLOCKS, -(-total // BLOCK)))
+    block = F.floor((F.shiftright("f1", 48) + 32768) * blocks / 65536).cast("int")
+    rows = images.join(own, "f1", "left").select(
+        block.alias("block"), "f1", "d", F.coalesce("class", "f1").alias("class"), *[F.col(f"corners.{x}").alias(x) for x in ("place", "b0", "b1")]
+    )
+    other = F.sequence(F.lit(0), F.lit(blocks - 1))
+    rows = rows.withColumn("tile", F.explode(F.transform(other, lambda x: F.least(x, "block").cast("long") * blocks + F.greatest(x, "block"))))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("f1").combine_chunks()
+        i, j = divmod(t["tile"][0].as_py(), blocks)
+        at = np.searchsorted(t["block"].to_numpy(), [i, i + 1, j, j + 1])
+        lists = [t[x].combine_chunks() for x in ("place", "b0", "b1")]
+        place, b0, b1 = (x.flatten().to_numpy() for x in lists)
+        bits = np.stack([b0, b1], 1).view(np.uint64)
+        sizes = lists[0].value_lengths().to_numpy().astype(np.int64)
+        whole = _Side(*[t[x].to_numpy() for x in ("f1", "d", "class")], sizes, place, bits)
+        left, right = whole.part(at[0], at[1]), whole.part(at[2], at[3])
+        made = []
+        for x, y in candidates(left, right):
+            ok = agreed(left, right, x, y)
+            made.append((x[ok], y[ok]))
+        x, y = (np.concatenate(c).astype(np.int64) for c in zip(*made)) if made else [np.zeros(0, np.int64)] * 2
+        return pa.table({"a_d": left.d[x], "a": left.f1[x], "b_d": right.d[y], "b": right.f1[y]})
+
+    made = rows.groupBy("tile").applyInArrow(run, "a_d long, a long, b_d long, b long")
+    node = lambda x: F.struct(F.col(f"{x}_d").alias("d"), F.col(x).alias("f1")).alias(x)
+    return made.select(node("a"), node("b"))
+
+
 def classes(images: DataFrame) -> DataFrame:
     """A written table (node, root), structs (d, f1), of the images that have copies; images: f1 (one row an image), d and corners."""
     from pyspark.sql import Window
@@ -487,21 +674,13 @@ def classes(images: DataFrame) -> DataFrame:
         roots, old = connected(links.union(more)), roots
         common.drop_tables(old)
     common.drop_tables(links, more)
-    rows, written = descriptor_rows(images), []
-    while True:
-        # where a class fills a bucket: of each class one descriptor
-        own = roots.select(F.col("node.f1").alias("f1"), F.col("root.f1").alias("class"))
-        moved = rows.select("k", "f1").join(own, "f1").groupBy("k", "class").agg(F.count("*").alias("n")).where(F.col("n") >= NEAR // 2).select("k").distinct()
-        left = rows.join(moved, "k").join(own, "f1", "left").groupBy("k", F.coalesce("class", "f1").alias("class"))
-        left = left.agg(F.min(F.struct("f1", "s0", "s1", "p")).alias("e")).select("k", "e.*")
-        rows = common.finish(left, "rows", *written)
-        written = [rows]
-        links = common.materialize(compared(_across(votes(met(rows)), roots), images), "agree")
-        if links.isEmpty():
-            common.drop_tables(links, rows)
-            return roots
+    # what others hid in full buckets, and what met fewer times than it has to
+    links = common.materialize(rest(images, roots), "agree")
+    if not links.isEmpty():
         roots, old = connected(links.union(edges(roots))), roots
-        common.drop_tables(links, old)
+        common.drop_tables(old)
+    common.drop_tables(links)
+    return roots
 
 
 def copies(df: DataFrame, image: str = "image", image_id: str = "image_id") -> DataFrame:

@@ -587,6 +587,55 @@ def test_one_picture_in_very_many_copies(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(60)) and all(got[10 * i] == got[10 * i + 1] for i in range(10, 15))
 
 
+def test_copies_that_others_hide_in_full_buckets(spark):
+    """Two images whose corners each have 240 look-alikes in their bucket that lie nearer than the copy's."""
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 1 << 63, (7, 2), dtype=np.uint64)
+    places = lambda: [int(x) << 34 | int(y) << 18 | 7 << 12 | int(o) for x, y, o in zip(rng.integers(8, 64, 7), rng.integers(8, 64, 7), rng.integers(0, 32, 7))]
+    other = bits ^ np.array([0x3F << 40, 0xFFF << 26], np.uint64)  # 18 bits of the bands 1 to 3
+    own, sides = places(), [bits, other]
+    images = [(own, bits), (own, other)]
+    for k in range(240):
+        flips = np.uint64(1) << rng.integers(0, 64, 7).astype(np.uint64)
+        images.append((places(), sides[k % 2] ^ np.stack([0 * flips, flips], 1)))
+    f1 = rng.integers(-(1 << 62), 1 << 62, len(images)).tolist()
+    rows = [(f1[i], i, [(p, *b) for p, b in zip(place, x.view(np.int64).tolist())]) for i, (place, x) in enumerate(images)]
+    table = spark.createDataFrame(rows, "f1 long, d long, corners array<struct<place:long,b0:long,b1:long>>")
+    got = {r["node"]["d"]: r["root"]["d"] for r in media_match.classes(table).collect()}
+    assert got == {0: 0, 1: 0}
+
+
+def test_all_pairs_of_full_buckets_are_candidates(monkeypatch):
+    """The search by blocks, in pieces of any size, against a plain loop; the batched comparison against that of one pair."""
+    rng = np.random.default_rng(10)
+    base = pictures(rng, 24, 72)
+    base[8:16, :40] = base[8, :40]
+    base[16:] = base[8:16] + rng.normal(0, 8, base[:8].shape)
+    sides = [media_match.describe(x[None])[1:] for x in base]
+    sides = [(place, np.ascontiguousarray(b).view(np.uint64).reshape(-1, 2)) for place, b in sides]
+    own = np.arange(24) // 2
+    block = media_match._Side(np.arange(24), np.arange(24), own, np.array([len(p) for p, _ in sides]), *[np.concatenate(c) for c in zip(*sides)])
+    want = set()
+    for a in range(24):
+        for b in range(a + 1, 24):
+            met = {}
+            for i, (p, x) in enumerate(zip(*sides[a])):
+                for q, y in zip(*sides[b]):
+                    bands = (x ^ y).view(np.uint32) == 0
+                    if own[a] != own[b] and bands.any() and np.bitwise_count(x ^ y).sum() <= media_match.MET_BITS:
+                        for cell in media_match._cells(np.array([p]), np.array([q])):
+                            met.setdefault(int(cell[0]), set()).add(i % 64)
+            if any(len(v) >= media_match.PROBE for v in met.values()):
+                want.add((a, b))
+    for most in (1 << 20, 500, 1):
+        monkeypatch.setattr(media_match, "AT_ONCE", most)
+        got = [(x, y) for x, y in media_match.candidates(block, block) if len(x)]
+        assert {(a, b) for x, y in got for a, b in zip(x.tolist(), y.tolist())} == want
+    x, y = np.triu_indices(24, 1)
+    same = [media_match.agreeing(sides[a], sides[b]) for a, b in zip(x, y)]
+    assert want and any(same) and media_match.agreed(block, block, x, y).tolist() == same
+
+
 def test_copies_in_the_table(spark, sf_dir):
     images = media_match.rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     got = {r["image_id"]: r["class_id"] for r in media_match.copies(images).collect()}
