@@ -15,8 +15,9 @@
    if `CONSENSUS` matches follow the transform of one of them, and in images of many corners a share `LEAST_SHARE` of the fewer
    ones.  Classes are connected components; pairs within a class needn't be compared, so each image's likeliest partners (most
    matches of one transform, in a coarse grid) come first, and then all pairs that are still in two classes.
-6. Where one class fills a bucket with half of `NEAR` descriptors or more, it hides others from each other.  Each class then keeps
-   one descriptor there and the search goes on between classes, until a round finds no new copy.
+6. The search of step 4 is linear but leaves out what nearer descriptors hide.  So every two images that are still in two classes
+   meet in tiles of two blocks of images: all their descriptors with an equal band and at most `MET_BITS` different bits count, however
+   full the bucket, and each pair with `PROBE` of them in one cell is compared.  Its cost grows with the square of the images.
 
 Images with equal bytes (64 hashed bits) are one image from the start.  Pairs whose corners never share a band aren't found;
 the tests measure recall against comparing all pairs, with noise, rescaling, rotation, brightness and crops (see the README).
@@ -44,11 +45,11 @@ SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
 BITS, TABLES, MOST_BITS, CONSENSUS, LEAST_SHARE = 128, 4, 24, 6, 0.08
 #: Corners kept of each cell at each scale.
 CELL, PER_CELL = 24, 2
-#: Descriptors behind one in its sorted bucket that it is held against, bits in which it may differ from the nearest of them that
+#: Descriptors behind one in its sorted bucket that the first search holds it against, bits in which it may differ from the nearest of them that
 #: it meets; met corners of one transform from which on a pair of images is compared.
 NEAR, MET_BITS, PROBE = 96, 20, 2
 #: Corners of a block of images, blocks at least, and meetings of corners in memory at once, when all blocks meet.
-BLOCK, LEAST_BLOCKS, AT_ONCE = 400_000, 8, 1 << 20
+BLOCK, LEAST_BLOCKS, AT_ONCE = 400_000, 8, 1 << 18
 WORK, SIDE_MOST, MOST_PIXELS = 1 << 18, 8192, 1 << 28
 RADIUS = 7
 #: Grey levels by which two points have to differ, so that noise in flat parts sets no bits.
@@ -490,6 +491,7 @@ class _Side:
 
     def __init__(self, f1: np.ndarray, d: np.ndarray, own: np.ndarray, sizes: np.ndarray, place: np.ndarray, bits: np.ndarray):
         self.f1, self.d, self.own, self.sizes, self.place, self.bits = f1, d, own, sizes, place, bits
+        self.halves = np.ascontiguousarray(bits.T)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.image = np.repeat(np.arange(len(f1)), sizes)
         self.corner = (np.arange(len(place)) - self.first[self.image]) % 0x7FFF & 63
@@ -499,7 +501,7 @@ class _Side:
         return _Side(self.f1[i:j], self.d[i:j], self.own[i:j], self.sizes[i:j], self.place[at], self.bits[at])
 
     def band(self, i: int) -> np.ndarray:
-        return self.bits[:, i // 2] >> np.uint64(32 * (i % 2)) & np.uint64(0xFFFFFFFF)
+        return self.halves[i // 2] >> np.uint64(32 * (i % 2)) & np.uint64(0xFFFFFFFF)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.first[i], self.first[i + 1])
@@ -519,7 +521,7 @@ def candidates(left: _Side, right: _Side):
         low, high = (np.searchsorted(key[order], own, side) for side in ("left", "right"))
         tables.append((order, low, high - low))
     per = np.add.reduceat(sum(n for *_, n in tables), left.first[:-1])
-    if per.max() > 8 * AT_ONCE and len(right.f1) > 1:
+    if per.max() > 16 * AT_ONCE and len(right.f1) > 1:
         half = len(right.f1) // 2
         for i, j in ((0, half), (half, len(right.f1))):
             for x, y in candidates(left, right.part(i, j)):
@@ -538,7 +540,7 @@ def candidates(left: _Side, right: _Side):
             j = order[np.arange(len(i)) + np.repeat(low[begin:end] - np.cumsum(m) + m, m)]
             ok = l_own[i] != r_own[j]
             i, j = i[ok], j[ok]
-            ok = np.bitwise_count(left.bits[i, 0] ^ right.bits[j, 0]) + np.bitwise_count(left.bits[i, 1] ^ right.bits[j, 1]) <= MET_BITS
+            ok = sum(np.bitwise_count(x[i] ^ y[j]) for x, y in zip(left.halves, right.halves)) <= MET_BITS
             found.append((i[ok], j[ok]))
         i, j = (np.concatenate(x) for x in zip(*found))
         p, q = left.image[i], right.image[j]
@@ -559,9 +561,9 @@ def _may_follow(pair: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, need: np
     """For n pairs, in whose order the matches of places a with places b are, whether `need` matches follow one of them as `agreeing`
     asks.  A match at most two scales and two orientation steps away may follow; a third step is too far."""
     zooms, out = 2 * len(SCALES) - 1, np.zeros(n, bool)
-    for low in range(0, n, 4096):
-        these = slice(*np.searchsorted(pair, [low, low + 4096]))
-        p, pa_, pb, m = pair[these] - low, a[these], b[these], min(4096, n - low)
+    for low in range(0, n, 1024):
+        these = slice(*np.searchsorted(pair, [low, low + 1024]))
+        p, pa_, pb, m = pair[these] - low, a[these], b[these], min(1024, n - low)
         zoom, turn = (pb >> 8 & 0xF) - (pa_ >> 8 & 0xF) + len(SCALES) - 1, pb - pa_ & 31
         count = np.bincount((p * zooms + zoom) * 32 + turn, minlength=m * zooms * 32).astype(np.int32)
         count = np.pad(np.pad(count.reshape(m, zooms, 32), ((0, 0), (2, 2), (0, 0))), ((0, 0), (0, 0), (2, 2)), mode="wrap")
@@ -577,7 +579,7 @@ def _may_follow(pair: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, need: np
         at = 0
         total = np.cumsum(sizes[p[led]])
         while at < len(led):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE // 4, "right")))
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
             lead = led[at:to]
             size = sizes[p[lead]]
             row = np.repeat(lead, size)
@@ -599,7 +601,6 @@ def agreed(left: _Side, right: _Side, x: np.ndarray, y: np.ndarray) -> np.ndarra
     nearest corners can't follow one transform is left out before it is looked at on its own."""
     need = np.maximum(CONSENSUS, np.ceil(LEAST_SHARE * np.minimum(left.sizes[x], right.sizes[y])).astype(int))
     out, begin, found = np.zeros(len(x), bool), 0, []
-    l0, l1, r0, r1 = (np.ascontiguousarray(s.bits[:, i]) for s in (left, right) for i in range(2))
     mean = max(1, len(right.place) // len(right.f1))
     while begin < len(x):
         own = slice(left.first[x[begin]], left.first[x[begin] + 1])
@@ -608,7 +609,7 @@ def agreed(left: _Side, right: _Side, x: np.ndarray, y: np.ndarray) -> np.ndarra
         first = np.cumsum(sizes) - sizes
         image = np.repeat(np.arange(end - begin), sizes)
         at = np.arange(len(image)) + (right.first[y[begin:end]] - first)[image]
-        d = np.bitwise_count(l0[own, None] ^ r0[at]) + np.bitwise_count(l1[own, None] ^ r1[at])
+        d = sum(np.bitwise_count(x[own, None] ^ y[at]) for x, y in zip(left.halves, right.halves))
         j = np.flatnonzero(d.min(0) <= MOST_BITS)
         i = d[:, j].argmin(0)
         ok = d[i, j] == np.minimum.reduceat(d, first, axis=1)[i, image[j]]
