@@ -521,7 +521,7 @@ def candidates(left: _Side, right: _Side):
         low, high = (np.searchsorted(key[order], own, side) for side in ("left", "right"))
         tables.append((order, low, high - low))
     per = np.add.reduceat(sum(n for *_, n in tables), left.first[:-1])
-    if per.max() > 16 * AT_ONCE and len(right.f1) > 1:
+    if per.max() > 2 * AT_ONCE and len(right.f1) > 1:
         half = len(right.f1) // 2
         for i, j in ((0, half), (half, len(right.f1))):
             for x, y in candidates(left, right.part(i, j)):
