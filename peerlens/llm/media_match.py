@@ -48,8 +48,8 @@ CELL, PER_CELL = 24, 2
 #: Descriptors behind one in its sorted bucket that the first search holds it against, bits in which it may differ from the nearest of them that
 #: it meets; met corners of one transform from which on a pair of images is compared.
 NEAR, MET_BITS, PROBE = 96, 20, 2
-#: Corners of a block of images, blocks at least, and meetings of corners in memory at once, when all blocks meet.
-BLOCK, LEAST_BLOCKS, AT_ONCE = 400_000, 8, 1 << 18
+#: Corners of a block of images, blocks at least, and meetings and comparisons of corners in memory at once, when all blocks meet.
+BLOCK, LEAST_BLOCKS, AT_ONCE, COMPARED = 400_000, 8, 1 << 16, 1 << 18
 WORK, SIDE_MOST, MOST_PIXELS = 1 << 18, 8192, 1 << 28
 RADIUS = 7
 #: Grey levels by which two points have to differ, so that noise in flat parts sets no bits.
@@ -490,22 +490,22 @@ class _Side:
     """The images of a block in the order of f1, and their corners."""
 
     def __init__(self, f1: np.ndarray, d: np.ndarray, own: np.ndarray, sizes: np.ndarray, place: np.ndarray, bits: np.ndarray):
-        self.f1, self.d, self.own, self.sizes, self.place, self.bits = f1, d, own, sizes, place, bits
+        self.f1, self.d, self.own, self.sizes, self.place = f1, d, own, sizes, place
         self.halves = np.ascontiguousarray(bits.T)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.image = np.repeat(np.arange(len(f1)), sizes)
-        self.corner = (np.arange(len(place)) - self.first[self.image]) % 0x7FFF & 63
+        self.image = np.repeat(np.arange(len(f1), dtype=np.int32), sizes)
+        self.corner = ((np.arange(len(place)) - self.first[self.image]) % 0x7FFF & 63).astype(np.uint8)
 
     def part(self, i: int, j: int) -> _Side:
         at = slice(self.first[i], self.first[j])
-        return _Side(self.f1[i:j], self.d[i:j], self.own[i:j], self.sizes[i:j], self.place[at], self.bits[at])
+        return _Side(self.f1[i:j], self.d[i:j], self.own[i:j], self.sizes[i:j], self.place[at], self.halves[:, at].T)
 
     def band(self, i: int) -> np.ndarray:
         return self.halves[i // 2] >> np.uint64(32 * (i % 2)) & np.uint64(0xFFFFFFFF)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.first[i], self.first[i + 1])
-        return self.place[at], self.bits[at]
+        return self.place[at], self.halves[:, at].T
 
 
 def candidates(left: _Side, right: _Side):
@@ -516,11 +516,17 @@ def candidates(left: _Side, right: _Side):
     tables = []
     for band in range(TABLES):
         key = right.band(band)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.concatenate([first, [len(key)]])).astype(np.int32)
         own = left.band(band)
-        low, high = (np.searchsorted(key[order], own, side) for side in ("left", "right"))
-        tables.append((order, low, high - low))
-    per = np.add.reduceat(sum(n for *_, n in tables), left.first[:-1])
+        by, at = np.argsort(own), np.empty(len(own), np.int64)
+        at[by] = np.searchsorted(key[first], own[by])
+        at = np.minimum(at, len(first) - 1)
+        tables.append((order, right.halves[:, order], right.image[order], first[at].astype(np.int32), np.where(key[first[at]] == own, count[at], np.int32(0))))
+        del key, order, first, count, own, by, at
+    per = np.add.reduceat(sum(n.astype(np.int64) for *_, n in tables), left.first[:-1])
     if per.max() > 2 * AT_ONCE and len(right.f1) > 1:
         half = len(right.f1) // 2
         for i, j in ((0, half), (half, len(right.f1))):
@@ -528,24 +534,33 @@ def candidates(left: _Side, right: _Side):
                 yield x, y + i
         return
     total, n, a = np.cumsum(per), len(right.f1), 0
-    l_own, r_own = left.own[left.image], right.own[right.image]
+    apart, low32 = left.f1[-1] < right.f1[0], np.uint64(0xFFFFFFFF)
     while a < len(left.f1):
         b = int(np.searchsorted(total, (total[a - 1] if a else 0) + AT_ONCE, "right"))
-        b = min(max(b, a + 1), a + max(1, (1 << 28) // n), len(left.f1))
+        b = min(max(b, a + 1), a + max(1, (1 << 20) // n), len(left.f1))
         begin, end = left.first[a], left.first[b]
         found = []
-        for order, low, count in tables:
-            m = count[begin:end]
+        for band, (order, halves, image, low, count) in enumerate(tables):
+            m = count[begin:end].astype(np.int64)
             i = np.repeat(np.arange(begin, end), m)
-            j = order[np.arange(len(i)) + np.repeat(low[begin:end] - np.cumsum(m) + m, m)]
-            ok = l_own[i] != r_own[j]
-            i, j = i[ok], j[ok]
-            ok = sum(np.bitwise_count(x[i] ^ y[j]) for x, y in zip(left.halves, right.halves)) <= MET_BITS
-            found.append((i[ok], j[ok]))
-        i, j = (np.concatenate(x) for x in zip(*found))
-        p, q = left.image[i], right.image[j]
-        ok = left.f1[p] < right.f1[q]
-        i, j, pair = i[ok], j[ok], ((p - a) * n + q)[ok]
+            at = np.arange(len(i)) + np.repeat(low[begin:end] - np.cumsum(m) + m, m)
+            u, v = (np.repeat(x[begin:end], m) ^ y[at] for x, y in zip(left.halves, halves))
+            ok = np.bitwise_count(u) + np.bitwise_count(v) <= MET_BITS
+            # two corners with several equal bands meet in the first of them
+            for earlier in range(band):
+                ok &= ((u, v)[earlier // 2] >> np.uint64(32 * (earlier % 2)) & low32) != 0
+            k = np.flatnonzero(ok)
+            i, at = i[k], at[k]
+            p, q = left.image[i], image[at]
+            ok = left.own[p] != right.own[q]
+            if not apart:
+                ok &= left.f1[p] < right.f1[q]
+            i, at, pair = i[ok], at[ok], ((p.astype(np.int64) - a) * n + q)[ok]
+            found.append((i, order[at], pair))
+        i, j, pair = (np.concatenate(x) for x in zip(*found))
+        # the transforms of pairs with fewer meetings needn't be told
+        k = np.flatnonzero((np.bincount(pair, minlength=1) >= PROBE)[pair])
+        i, j, pair = i[k], j[k], pair[k]
         hit = []
         for cell in _cells(left.place[i], right.place[j]):
             # equal pairs and cells side by side, each corner of the left image once
@@ -557,68 +572,106 @@ def candidates(left: _Side, right: _Side):
         a = b
 
 
+@functools.lru_cache(maxsize=1)
+def _zooms() -> tuple[np.ndarray, np.ndarray]:
+    """By the scales (4 bits each) of two matches, whether their zooms are near enough to follow each other; and zooms by both scales
+    and the turn, as `_turned` has them."""
+    sizes = np.zeros(16)
+    sizes[: len(SCALES)] = np.log2(np.array(SCALES))
+    zoom = (sizes[:, None] - sizes[None]).reshape(-1)
+    return (np.abs(zoom[:, None] - zoom[None]) <= 0.6 + 1e-6).reshape(-1), np.exp2(np.repeat(zoom, 32))
+
+
 def _may_follow(pair: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
     """For n pairs, in whose order the matches of places a with places b are, whether `need` matches follow one of them as `agreeing`
     asks.  A match at most two scales and two orientation steps away may follow; a third step is too far."""
     zooms, out = 2 * len(SCALES) - 1, np.zeros(n, bool)
-    for low in range(0, n, 1024):
-        these = slice(*np.searchsorted(pair, [low, low + 1024]))
-        p, pa_, pb, m = pair[these] - low, a[these], b[these], min(1024, n - low)
+    for low in range(0, n, 256):
+        these = slice(*np.searchsorted(pair, [low, low + 256]))
+        p, pa_, pb, m = pair[these] - low, a[these], b[these], min(256, n - low)
         zoom, turn = (pb >> 8 & 0xF) - (pa_ >> 8 & 0xF) + len(SCALES) - 1, pb - pa_ & 31
-        count = np.bincount((p * zooms + zoom) * 32 + turn, minlength=m * zooms * 32).astype(np.int32)
-        count = np.pad(np.pad(count.reshape(m, zooms, 32), ((0, 0), (2, 2), (0, 0))), ((0, 0), (0, 0), (2, 2)), mode="wrap")
+        # two zooms and, around the circle, two turns on either side
+        count = np.bincount((p * (zooms + 4) + zoom + 2) * 36 + turn + 2, minlength=m * (zooms + 4) * 36).astype(np.uint16).reshape(m, zooms + 4, 36)
+        count[:, :, :2], count[:, :, 34:] = count[:, :, 32:34], count[:, :, 2:4]
         count = sum(count[:, i : i + zooms] for i in range(5))
         count = sum(count[:, :, i : i + 32] for i in range(5))
         led = np.flatnonzero(count[p, zoom, turn] >= need[low : low + m][p])
         sizes = np.bincount(p, minlength=m)
         first = np.cumsum(sizes) - sizes
+        both, turn = ((pa_ >> 8 & 0xF) << 4 | pb >> 8 & 0xF), turn.astype(np.int8)
         (xa, ya, _, _), (xb, yb, _, _) = _geometry(pa_), _geometry(pb)
-        zoom, turn, _, _ = _transforms(pa_, pb)
-        k = np.exp2(zoom)
-        c, s = np.cos(turn), np.sin(turn)
+        kc, ks, k = (z[pb - pa_ & 31 | both << 5] for z in (*_turned()[:2], _zooms()[1]))
         at = 0
         total = np.cumsum(sizes[p[led]])
         while at < len(led):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
             lead = led[at:to]
             size = sizes[p[lead]]
-            row = np.repeat(lead, size)
+            by = np.repeat(np.arange(len(lead)), size)
+            row = lead[by]
             i = np.arange(len(row)) + np.repeat(first[p[lead]] - np.cumsum(size) + size, size)
-            off = np.mod(turn[i] - turn[row] + np.pi, 2 * np.pi) - np.pi
-            ok = (np.abs(zoom[i] - zoom[row]) <= 0.6) & (np.abs(off) <= 0.5)
-            row, i, by = row[ok], i[ok], np.repeat(np.arange(len(lead)), size)[ok]
+            # turns and zooms are told by steps; leads with too few matches of theirs need no places
+            ok = np.flatnonzero(((turn[i] - turn[row] + 2 & 31) <= 4) & _zooms()[0][both[i] << 8 | both[row]])
+            enough = np.bincount(by[ok], minlength=len(lead)) >= need[low : low + m][p[lead]]
+            ok = ok[enough[by[ok]]]
+            row, i, by = row[ok], i[ok], by[ok]
             dx, dy = xa[i] - xa[row], ya[i] - ya[row]
-            ex, ey = xb[i] - xb[row] - k[row] * (c[row] * dx - s[row] * dy), yb[i] - yb[row] - k[row] * (s[row] * dx + c[row] * dy)
-            ok = np.hypot(ex, ey) <= 3 + 0.1 * k[row] * np.hypot(dx, dy)
+            ex, ey = xb[i] - xb[row] - (kc[row] * dx - ks[row] * dy), yb[i] - yb[row] - (ks[row] * dx + kc[row] * dy)
+            ok = np.hypot(ex, ey) <= 3 + 0.1 * k[row] * np.hypot(dx, dy) + 1e-6
             led_ok = np.bincount(by[ok], minlength=len(lead)) >= need[low : low + m][p[lead]]
             out[low + p[lead[led_ok]]] = True
             at = to
     return out
 
 
+def _few(flags: np.ndarray) -> np.ndarray:
+    """The places of flags of which few are set, eight at a time; their number is a multiple of eight."""
+    words = np.flatnonzero(flags.view(np.uint64))
+    k = np.flatnonzero(flags.reshape(-1, 8)[words])
+    return words[k >> 3] * 8 + (k & 7)
+
+
 def agreed(left: _Side, right: _Side, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """`agreeing` of the images x of one block with the images y of another, for many pairs in the order of x: a pair whose mutually
     nearest corners can't follow one transform is left out before it is looked at on its own."""
     need = np.maximum(CONSENSUS, np.ceil(LEAST_SHARE * np.minimum(left.sizes[x], right.sizes[y])).astype(int))
-    out, begin, found = np.zeros(len(x), bool), 0, []
+    out, found = np.zeros(len(x), bool), []
     mean = max(1, len(right.place) // len(right.f1))
-    while begin < len(x):
-        own = slice(left.first[x[begin]], left.first[x[begin] + 1])
-        end = min(int(np.searchsorted(x, x[begin], "right")), begin + max(1, (1 << 17) // (int(left.sizes[x[begin]]) * mean)))
-        sizes = right.sizes[y[begin:end]]
-        first = np.cumsum(sizes) - sizes
-        image = np.repeat(np.arange(end - begin), sizes)
-        at = np.arange(len(image)) + (right.first[y[begin:end]] - first)[image]
-        d = sum(np.bitwise_count(x[own, None] ^ y[at]) for x, y in zip(left.halves, right.halves))
-        j = np.flatnonzero(d.min(0) <= MOST_BITS)
-        i = d[:, j].argmin(0)
-        ok = d[i, j] == np.minimum.reduceat(d, first, axis=1)[i, image[j]]
-        i, j = i[ok], j[ok]
-        found.append((begin + image[j], left.place[own][i], right.place[at[j]]))
-        begin = end
+    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, int)
+    differ, bits, more = (np.zeros(0, kind) for kind in (np.uint64, np.uint8, np.uint8))
+    for own, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        corners = slice(left.first[x[own]], left.first[x[own] + 1])
+        n, halves, places = corners.stop - corners.start, left.halves[:, corners, None], left.place[corners]
+        few = max(1, COMPARED // (int(n) * mean))
+        for begin in range(own, stop, few):
+            these = y[begin : min(stop, begin + few)]
+            sizes = right.sizes[these]
+            first = np.cumsum(sizes) - sizes
+            image = np.repeat(np.arange(len(these)), sizes)
+            at = np.arange(len(image)) + (right.first[these] - first)[image]
+            m = len(at)
+            if len(bits) < n * m + 8:
+                differ, bits, more = (np.empty(n * m + 8, z.dtype) for z in (differ, bits, more))
+            d, e, z = (buffer[: n * m].reshape(n, m) for buffer in (bits, more, differ))
+            for half, out_bits in enumerate((d, e)):
+                np.bitwise_count(np.bitwise_xor(halves[half], right.halves[half][at], out=z), out=out_bits)
+            d += e
+            least = d.min(0)
+            least[least > MOST_BITS] = 255
+            same = more.view(bool)
+            np.equal(d, least, out=same[: n * m].reshape(n, m))
+            same[n * m : n * m + 8] = False
+            k = _few(same[: -(-n * m // 8) * 8])
+            i = k // m
+            j = k - i * m
+            k = np.flatnonzero(least[j] == np.minimum.reduceat(d, first, axis=1)[i, image[j]])
+            i, j = i[k], j[k]
+            found.append((begin + image[j], places[i], right.place[at[j]]))
     if found:
         pair, a, b = (np.concatenate(c) for c in zip(*found))
-        for k in np.flatnonzero(_may_follow(pair, len(x), a, b, need)).tolist():
+        k = np.flatnonzero((np.bincount(pair, minlength=len(x)) >= need)[pair])
+        k = k[np.argsort(pair[k], kind="stable")]
+        for k in np.flatnonzero(_may_follow(pair[k], len(x), a[k], b[k], need)).tolist():
             out[k] = agreeing(left[x[k]], right[y[k]])
     return out
 
@@ -640,15 +693,19 @@ def rest(images: DataFrame, roots: DataFrame) -> DataFrame:
     rows = rows.withColumn("tile", F.explode(F.transform(other, lambda x: F.least(x, "block").cast("long") * blocks + F.greatest(x, "block"))))
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("f1").combine_chunks()
         i, j = divmod(t["tile"][0].as_py(), blocks)
-        at = np.searchsorted(t["block"].to_numpy(), [i, i + 1, j, j + 1])
-        lists = [t[x].combine_chunks() for x in ("place", "b0", "b1")]
-        place, b0, b1 = (x.flatten().to_numpy() for x in lists)
-        bits = np.stack([b0, b1], 1).view(np.uint64)
-        sizes = lists[0].value_lengths().to_numpy().astype(np.int64)
-        whole = _Side(*[t[x].to_numpy() for x in ("f1", "d", "class")], sizes, place, bits)
-        left, right = whole.part(at[0], at[1]), whole.part(at[2], at[3])
+        order, block = np.argsort(t["f1"].to_numpy(), kind="stable"), t["block"].to_numpy()
+
+        def side(k: int) -> _Side:
+            part = t.take(pa.array(order[block[order] == k]))
+            lists = [part[x].combine_chunks() for x in ("place", "b0", "b1")]
+            place, b0, b1 = (x.flatten().to_numpy() for x in lists)
+            sizes = lists[0].value_lengths().to_numpy().astype(np.int64)
+            return _Side(*[part[x].to_numpy() for x in ("f1", "d", "class")], sizes, place, np.stack([b0, b1]).view(np.uint64).T)
+
+        left = side(i)
+        right = left if i == j else side(j)
+        del t
         made = []
         for x, y in candidates(left, right):
             ok = agreed(left, right, x, y)
@@ -656,6 +713,9 @@ def rest(images: DataFrame, roots: DataFrame) -> DataFrame:
         x, y = (np.concatenate(c).astype(np.int64) for c in zip(*made)) if made else [np.zeros(0, np.int64)] * 2
         return pa.table({"a_d": left.d[x], "a": left.f1[x], "b_d": right.d[y], "b": right.f1[y]})
 
+    # tiles cost alike, however few bytes they are: a task for nearly every one
+    tiles = blocks * (blocks + 1) // 2
+    rows = rows.repartition(max(common.n_parts(images.sparkSession), min(4 * tiles, 2000)), "tile")
     made = rows.groupBy("tile").applyInArrow(run, "a_d long, a long, b_d long, b long")
     node = lambda x: F.struct(F.col(f"{x}_d").alias("d"), F.col(x).alias("f1")).alias(x)
     return made.select(node("a"), node("b"))

@@ -636,6 +636,24 @@ def test_all_pairs_of_full_buckets_are_candidates(monkeypatch):
     assert want and any(same) and media_match.agreed(block, block, x, y).tolist() == same
 
 
+def test_tiles_of_images_are_dealt_over_tasks(spark):
+    """The tiles of two blocks are few bytes and much work, so Spark mustn't put several of them into one task for their bytes."""
+    rng = np.random.default_rng(11)
+    rows = [(f1, i, [(8 << 34 | 8 << 18 | 7 << 12, i, i)]) for i, f1 in enumerate(rng.integers(-(1 << 63), (1 << 63) - 1, 64).tolist())]
+    images = spark.createDataFrame(rows, "f1 long, d long, corners array<struct<place:long,b0:long,b1:long>>")
+    roots = spark.createDataFrame([], "node struct<d:long,f1:long>, root struct<d:long,f1:long>")
+    links = media_match.rest(images, roots)
+    tiles = media_match.LEAST_BLOCKS * (media_match.LEAST_BLOCKS + 1) // 2
+    assert links.rdd.getNumPartitions() >= tiles and links.isEmpty()
+
+
+def test_places_of_few_flags():
+    rng = np.random.default_rng(12)
+    for share in (0, 0.01, 0.5, 1):
+        flags = rng.random(8 * 40) < share
+        assert media_match._few(flags).tolist() == np.flatnonzero(flags).tolist()
+
+
 def test_copies_in_the_table(spark, sf_dir):
     images = media_match.rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     got = {r["image_id"]: r["class_id"] for r in media_match.copies(images).collect()}
