@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import company, text
-from .resolution import STATUSES, hits_of, resolve, top_candidates, top_of
+from .resolution import STATUSES, first_of, hits_of, resolve, top_candidates, top_of
 
 #: Strata in the order in which they claim rows, with their sizes.
 STRATA = (("rebrand", 20), ("weak_domain", 15), ("easy", 20), ("random", 25))
@@ -117,12 +117,23 @@ def label_differences(template: DataFrame, labels: DataFrame) -> DataFrame:
     return only(a, b, "missing").union(only(b, a, "extra"))
 
 
+#: The columns of a candidate in a template.
+_CANDIDATE = ("registry_id", "registry_name", "registry_domain", "registry_year", "match_method", "via_former")
+
+
 def label_template(directory: DataFrame, chosen: DataFrame, resolutions: DataFrame, found: DataFrame, most: int = 5) -> DataFrame:
     """Rows to label: the chosen directory rows with their status and first candidates by registry id."""
-    cols = ("registry_id", "registry_name", "registry_domain", "registry_year", "match_method", "via_former")
     rank = F.row_number().over(Window.partitionBy("directory_id").orderBy("registry_id"))
-    first = found.withColumn("r", rank).where(F.col("r") <= most).groupBy("directory_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("candidates"))
-    # the labels of one template are a sample of fixed size
+    first = found.withColumn("r", rank).where(F.col("r") <= most).groupBy("directory_id").agg(F.array_sort(F.collect_list(F.struct(*_CANDIDATE))).alias("candidates"))
+    return _template(chosen, resolutions, first)
+
+
+def label_template_of(directory: DataFrame, registry: DataFrame, chosen: DataFrame, most: int = 5, keep: bool = False) -> DataFrame:
+    """`label_template` of the two tables' resolutions and matches, of which only the candidates are made."""
+    return _template(chosen, resolve(directory, registry, keep=keep), first_of(directory, registry, most, _CANDIDATE, keep))
+
+
+def _template(chosen: DataFrame, resolutions: DataFrame, first: DataFrame) -> DataFrame:
     rows = chosen.withColumnRenamed("record_id", "directory_id").join(resolutions, "directory_id").join(first, "directory_id", "left")
     return rows.select("directory_id", "directory_name", "stratum", "status", "n_matches", "candidates").orderBy("stratum", "directory_name", "directory_id")
 

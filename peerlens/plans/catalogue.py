@@ -200,6 +200,10 @@ def _er(spark: SparkSession, sf_dir: str, bare: bool = False) -> tuple[DataFrame
     return d, r, resolution.matches(d, r, keep=True), resolution.resolve(d, r, keep=True)
 
 
+def _twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.twins_of(fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False), keep=True)
+
+
 @query(_ER + "SELECT directory_id, registry_id FROM dom")
 def er_domain_join(spark, sf_dir):
     return resolution.domain_matches(fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False))
@@ -348,9 +352,8 @@ def label_crossed(spark, sf_dir):
 @query(_ER + """, f AS (SELECT directory_id, string_agg(registry_id, ',' ORDER BY registry_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY directory_id ORDER BY registry_id) AS r FROM m) WHERE r <= 5 GROUP BY 1)
 SELECT g.directory_id, st.directory_name, g.stratum, st.status, st.n_matches, coalesce(ids, '') AS ids FROM gold g JOIN st USING (directory_id) LEFT JOIN f USING (directory_id)""")
 def label_template(spark, sf_dir):
-    _, _, m, st = _er(spark, sf_dir)
     chosen = fx.gold(spark, sf_dir).select(F.col("directory_id").alias("record_id"), "stratum")
-    made = evaluation.label_template(fx.directory(spark, sf_dir), chosen, st, m)
+    made = evaluation.label_template_of(fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False), chosen, keep=True)
     return made.select("directory_id", "directory_name", "stratum", "status", "n_matches", F.coalesce(F.array_join(F.col("candidates")["registry_id"], ","), F.lit("")).alias("ids"))
 
 
@@ -398,8 +401,7 @@ FROM (SELECT seed_id, di, ri FROM s2) LEFT JOIN corpus d ON d.record_id = di LEF
 LATERAL (SELECT list(x ORDER BY i) AS list_distinct_in_order FROM (SELECT x, min(i) AS i FROM (
   SELECT unnest(coalesce(d.industries, []) || coalesce(r.industries, [])) AS x, unnest(range(len(coalesce(d.industries, [])) + len(coalesce(r.industries, [])))) AS i) GROUP BY x))""")
 def seed_merge(spark, sf_dir):
-    _, _, m, st = _er(spark, sf_dir)
-    pairs = seeds.with_twins(_looked_up(spark, sf_dir), resolution.twins(st, m))
+    pairs = seeds.with_twins(_looked_up(spark, sf_dir), _twins(spark, sf_dir))
     made = seeds.merge(pairs, fx.corpus(spark, sf_dir))
     return made.select("seed_id", "record_id", "name", "domain", "founded_year", "team_size", "num_employees_enum", F.array_join("industries", "|").alias("industries"))
 
@@ -825,9 +827,9 @@ SELECT g.directory_id, d.name, d.team_size, coalesce(cands, '') AS cands, CASE W
 FROM gold g JOIN st USING (directory_id) JOIN directory d ON d.record_id = g.directory_id LEFT JOIN f USING (directory_id)""")
 def label_rows(spark, sf_dir):
     """Label templates with the directory row, the candidates and the near matches of absent rows."""
-    d, r, m, st = _er(spark, sf_dir)
+    d, r = fx.directory(spark, sf_dir), fx.registry(spark, sf_dir, False)
     chosen = fx.gold(spark, sf_dir).select(F.col("directory_id").alias("record_id"), "stratum")
-    made = evaluation.enriched_template(evaluation.label_template(d, chosen, st, m), d, r, resolution.near_matches(d.select(F.col("name_norm").alias("target")), r))
+    made = evaluation.enriched_template(evaluation.label_template_of(fx.directory(spark, sf_dir, False), fx.registry(spark, sf_dir, False, False), chosen, keep=True), d, r, resolution.near_matches(d.select(F.col("name_norm").alias("target")), r))
     ids = lambda c, f: F.coalesce(F.array_join(F.transform(F.col(c), f), ","), F.lit(""))
     return made.select(
         "directory_id", F.col("directory_row.name").alias("name"), F.col("directory_row.team_size").alias("team_size"),
@@ -889,10 +891,9 @@ every AS (SELECT seed_id, list(criterion_id ORDER BY criterion_id) AS ids FROM c
 
 def _searched(spark, sf_dir):
     corpus, vectors = fx.corpus(spark, sf_dir), fx.vectors(spark, sf_dir)
-    _, _, m, st = _er(spark, sf_dir)
     asked = fx.seeds(spark, sf_dir).select("seed_id", F.col("record_id").alias("query"))
     options = Options(broad_tags=fx.BROAD, criteria=lambda s: judging.criteria_from_tags(s), embedder=retrieval.letter_embedder, work=fx.scratch(spark))
-    return similar_to(asked, corpus, resolution.twins(st, m), vectors, options)
+    return similar_to(asked, corpus, _twins(spark, sf_dir), vectors, options)
 
 
 @query(_ER + _SEARCH + """SELECT placed.seed_id, f.name AS seed_name, f.domain AS seed_domain, t.n AS candidate_count_total, tier AS llm_tier,
